@@ -427,3 +427,30 @@ def message_conversations(messages: DataFrame, conversations: DataFrame) -> Data
     c = conversations.select("session_id", F.col("created_at").alias("ticket_created_at"), "status")
     return messages.join(c, "session_id")
 
+
+# --- searches -------------------------------------------------------------------------
+
+def product_search(products: DataFrame, q: str, k: int = 20) -> DataFrame:
+    """Products whose title or handle contains ``q``, ignoring case, newest first; a search of
+    fewer than two characters finds nothing. ``%`` and ``_`` are plain characters."""
+    needle = q.strip().lower()
+    if len(needle) < 2:
+        return products.where(F.lit(False))
+    hit = F.lower("title").contains(needle) | F.lower("handle").contains(needle)
+    return products.where(hit).orderBy(F.desc("created_at"), "id").limit(k)
+
+
+def product_prefix(products: DataFrame, q: str, k: int = 10) -> DataFrame:
+    """Products whose title starts with ``q``."""
+    return products.where(F.col("title").startswith(q)).orderBy("title", "id").limit(k)
+
+
+def payload_search(audit: DataFrame, needle: str, k: int = 10) -> DataFrame:
+    """Newest events whose payload text contains ``needle``, ignoring case."""
+    return audit.where(F.lower("raw_payload").contains(needle.lower())).orderBy(F.desc("occurred_at"), "audit_id").limit(k)
+
+
+def staff_search(staff: DataFrame, q: str) -> DataFrame:
+    """Staff whose first or last name contains ``q``, ignoring case."""
+    low = q.lower()
+    return staff.where(F.lower("first_name").contains(low) | F.lower("last_name").contains(low))
