@@ -17,11 +17,11 @@ FROM ident a JOIN ident b ON a.identity_key = b.identity_key AND a.channel_origi
   AND abs(datesub('hour', a.created_at, b.created_at)) <= 72"""
 IDENT = f"ident AS (SELECT *, {IDENTITY} AS identity_key FROM crisp_conversations WHERE channel_origin IS NOT NULL)"
 DUPS = f"""{IDENT}, pairs AS ({PAIRS}), both_sides AS (
- SELECT identity_key, people_id, visitor_nickname, visitor_email, channel_a AS channel, created_at_a AS earliest, created_at_b AS latest, session_a AS session_id, created_at_a AS at FROM pairs
+ SELECT identity_key, people_id, visitor_nickname, visitor_email, channel_a AS channel, created_at_a AS earliest, created_at_b AS latest, session_a AS session_id, created_at_a AS moment FROM pairs
  UNION ALL SELECT identity_key, people_id, visitor_nickname, visitor_email, channel_b, created_at_a, created_at_b, session_b, created_at_b FROM pairs),
 dups AS (SELECT identity_key, MIN(people_id) AS people_id, MIN(visitor_nickname) AS visitor_nickname, MIN(visitor_email) AS visitor_email,
   string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels_used, COUNT(DISTINCT channel) AS distinct_channels, MIN(earliest) AS first_contact,
-  MAX(latest) AS last_contact, max_by(session_id, concat(CAST(epoch_us(at) AS VARCHAR), session_id)) AS latest_session_id FROM both_sides GROUP BY identity_key)"""
+  MAX(latest) AS last_contact, max_by(session_id, concat(CAST(epoch_us(moment) AS VARCHAR), session_id)) AS latest_session_id FROM both_sides GROUP BY identity_key)"""
 
 
 def _flat(df):
