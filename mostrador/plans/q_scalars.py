@@ -72,7 +72,7 @@ def _(t):
 
 
 @query("scl_08_epoch", """
-SELECT event_id, epoch_ms(ts) AS ms, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso, make_timestamp(epoch_ms(ts) * 1000) AS back FROM events""", ["back"])
+SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso, make_timestamp(epoch_us(ts) // 1000 * 1000) AS back FROM events""", ["back"])
 def _(t):
     from ..sources.payloads import millis_time
 
