@@ -53,6 +53,11 @@ def exact_avg(c: str | Column, scale: int = 6) -> Column:
     return safe_div(exact_sum(c, scale), F.count(col(c)))
 
 
+def money_mean(c: str | Column, digits: int = 2) -> Column:
+    """Mean of money, rounded half up in decimals, so halves do not depend on binary fractions."""
+    return F.round(F.sum(col(c).cast("decimal(18,2)")) / F.count(col(c)), digits).cast("double")
+
+
 def wavg(value: str | Column, weight: str | Column) -> Column:
     """SUM(value * weight) / NULLIF(SUM(weight), 0)."""
     return safe_div(F.sum(col(value) * col(weight)), F.sum(col(weight)))

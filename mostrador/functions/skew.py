@@ -57,14 +57,15 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
         .withColumn("_anchor", F.substring("needle", 1, anchor))
     )
     anchors = words.groupBy("_anchor").agg(F.collect_set("_len").alias("_lens"))
-    longest = words.agg(F.max("_len")).scalar()
-    sizes = F.array(*[F.lit(i) for i in range(1, anchor + 1)])
+    # One row of facts about the needles: the longest, and the anchor sizes in use.
+    facts = words.agg(F.struct(
+        F.max("_len").alias("longest"), F.sort_array(F.collect_set(F.length("_anchor"))).alias("sizes"))).scalar()
     at = (
         hay.where(F.length(text) > 0)
-        .select(*ids, F.col(text).alias("_text"), F.coalesce(longest, F.lit(0)).alias("_longest"))
-        .select(*ids, "_text", "_longest", F.explode(F.expr("sequence(1, length(_text))")).alias("_pos"))
-        .select(*ids, F.expr("substr(_text, _pos, _longest)").alias("_rest"))
-        .select(*ids, "_rest", F.explode(sizes).alias("_size"))
+        .select(*ids, F.col(text).alias("_text"), facts.alias("_facts"))
+        .select(*ids, "_text", "_facts", F.explode(F.expr("sequence(1, length(_text))")).alias("_pos"))
+        .select(*ids, F.expr("substr(_text, _pos, _facts.longest)").alias("_rest"), F.col("_facts.sizes").alias("_sizes"))
+        .select(*ids, "_rest", F.explode("_sizes").alias("_size"))
         .where(F.length("_rest") >= F.col("_size"))
         .select(*ids, "_rest", F.expr("substr(_rest, 1, _size)").alias("_anchor"))
     )
@@ -74,6 +75,5 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
         .select(*ids, "_rest", F.explode("_lens").alias("_len"))
         .where(F.length("_rest") >= F.col("_len"))
         .select(*ids, F.expr("substr(_rest, 1, _len)").alias("needle"))
-        .distinct()
     )
-    return hits.join(words.select("needle"), "needle", "left_semi").select(*ids, "needle")
+    return hits.join(words.select("needle"), "needle", "left_semi").select(*ids, "needle").distinct()

@@ -139,14 +139,23 @@ def seo_position(products: DataFrame, gsc: DataFrame, d0, d1) -> DataFrame:
     The handle is cut out of the address, so pages and products meet in an equi-join, and
     search rows are summed per handle before it.
     """
-    per_handle = (
-        page_handles(in_dates(gsc, "date", d0, d1).select("page", "position", "impressions"))
-        .groupBy("handle")
-        .agg(wavg("position", "impressions").alias("seo_position"))
-    )
+    per_handle = handle_positions(page_weights(in_dates(gsc, "date", d0, d1)))
     return products.join(per_handle, "handle", "left")
 
 
+def page_weights(gsc: DataFrame) -> DataFrame:
+    """Sums behind the weighted position per page, with the page's handles; summing first
+    leaves one address per page to be cut."""
+    sums = gsc.groupBy("page").agg(
+        F.sum(F.col("position") * F.col("impressions")).alias("weighted"), F.sum("impressions").alias("impressions"))
+    return page_handles(sums)
+
+
+def handle_positions(weights: DataFrame) -> DataFrame:
+    total = F.sum("impressions").cast("double")
+    return weights.groupBy("handle").agg(F.try_divide(F.sum("weighted"), total).alias("seo_position"))
+
+
 def product_pages(gsc: DataFrame, products: DataFrame, product_id: int) -> DataFrame:
     """Search rows of pages whose address contains /products/<handle> (a prefix match: the
     handle 'mini' also takes 'mini-pro'). The handle is a scalar subquery, not a join."""
@@ -249,8 +258,10 @@ def match_launches(candidates: DataFrame, products: DataFrame, name="producto",
         .distinct()
     )
     titles = shelf.select("title").distinct()
-    has_brand = skew.contains_matches(titles, ["title"], "title", brands, "brand").withColumnRenamed("needle", "brand")
-    has_name = skew.contains_matches(titles, ["title"], "title", names, "name").withColumnRenamed("needle", "name")
+    words = brands.select(F.col("brand").alias("word")).unionAll(names.select("name")).distinct()
+    found = skew.contains_matches(titles, ["title"], "title", words, "word")
+    has_brand = found.withColumnRenamed("needle", "brand").join(brands, "brand", "left_semi")
+    has_name = found.withColumnRenamed("needle", "name").join(names, "name", "left_semi")
 
     by_brand = (
         has_brand.join(shelf, "title").join(related, ["brand", "vendor"], "left_semi").select("brand").distinct()
@@ -317,8 +328,13 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     open_events = events.where(fixed.isNull() & not_empty("message").isNotNull()).select(
         F.col("id").alias("event"), tx.normalize_text("message").alias("text"), links.alias("links")
     )
-    texts = open_events.select("event", F.lit(-1).alias("link"), "text")
-    link_texts = open_events.select("event", F.posexplode("links").alias("link", "text"))
+    # The message is unit -1, its links are units 0, 1, ... Texts are padded with a space on
+    # both sides, so that a name padded the same way matches whole words only.
+    units = open_events.select(
+        "event", F.explode(F.concat(
+            F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("text"))),
+            F.transform("links", lambda x, i: F.struct(i.alias("unit"), x.alias("text"))))).alias("u"),
+    ).select("event", "u.unit", F.concat(F.lit(" "), "u.text", F.lit(" ")).alias("text"))
 
     named = staff.where(not_empty("first_name").isNotNull() & not_empty("last_name").isNotNull()).select(
         F.col(position).alias("pos"),
@@ -326,45 +342,43 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
         tx.normalize_text("last_name").alias("ln"),
         tx.normalize_text(F.concat_ws(" ", "first_name", "last_name")).alias("full"),
     )
-    by_full = named.groupBy("full").agg(F.min("pos").alias("pos"))
-    by_pair = named.groupBy("fn", "ln").agg(F.min("pos").alias("pos"))
-    by_first = named.where(F.length("fn") >= 4).groupBy("fn").agg(F.min("pos").alias("pos"))
-    single = named.select(F.explode(F.array("fn", "ln")).alias("name")).distinct()
-    padded = single.where("name != ''").select(F.concat(F.lit(" "), "name", F.lit(" ")).alias("name"))
-
-    anywhere = (
-        skew.contains_matches(texts.unionByName(link_texts), ["event"], "text", by_full, "full")
-        .join(by_full.withColumnRenamed("full", "needle"), "needle")
-        .select("event", "pos")
-    )
-
-    def pairs(found: DataFrame, units: DataFrame) -> DataFrame:
-        """Staff whose first and last name are both among the names found in one text."""
-        per_text = found.groupBy("event", "link").agg(F.collect_set(F.trim("needle")).alias("names"))
-        # A name that normalises to '' is contained in every text.
-        both = units.select("event", "link").join(per_text, ["event", "link"], "left").select(
-            "event", F.array_union(F.coalesce("names", F.array().cast("array<string>")), F.array(F.lit(""))).alias("names")
-        )
-        return (
-            both.select("event", F.explode("names").alias("fn"), "names")
-            .select("event", "fn", F.explode("names").alias("ln"))
-            .join(by_pair, ["fn", "ln"])
-            .select("event", "pos")
-        )
 
-    in_link = pairs(skew.contains_matches(link_texts, ["event", "link"], "text", single, "name"), link_texts)
-    spaced = texts.where("text != ''").withColumn("text", F.concat(F.lit(" "), "text", F.lit(" ")))
-    as_words = pairs(skew.contains_matches(spaced, ["event", "link"], "text", padded, "name"), spaced)
-    first_link = link_texts.where("link = 0").withColumn("text", F.concat(F.lit(" "), "text", F.lit(" ")))
-    first_words = by_first.select(F.concat(F.lit(" "), "fn", F.lit(" ")).alias("fn"))
-    in_first = (
-        skew.contains_matches(first_link, ["event"], "text", first_words, "fn")
-        .select("event", F.trim("needle").alias("fn"))
-        .join(by_first, "fn")
-        .select("event", "pos")
+    def rule(kind: str, a: Column, b: Column = F.lit("")) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    # What each rule looks up, and the first staff member it leads to.
+    keys = F.array(
+        rule("full", F.col("full")), rule("pair", F.col("fn"), F.col("ln")),
+        rule("first", F.when(F.length("fn") >= 4, F.col("fn"))))
+    rules = (
+        named.select("pos", F.explode(keys).alias("k")).select("pos", "k.*")
+        .where(F.col("a").isNotNull() & ~((F.col("kind") == "full") & (F.col("a") == "")))
+        .groupBy("kind", "a", "b").agg(F.min("pos").alias("pos"))
+    )
+    padded = [F.concat(F.lit(" "), c, F.lit(" ")) for c in ("fn", "ln")]
+    needles = named.select(F.explode(F.array("full", "fn", "ln", *padded)).alias("name")).where("trim(name) != ''").distinct()
+    found = skew.contains_matches(units, ["event", "unit"], "text", needles, "name")
+    per_unit = found.groupBy("event", "unit").agg(F.collect_set("needle").alias("names"))
+    # A name that normalises to '' is contained in every text that has a letter or digit.
+    some_text = units.where("trim(text) != '' or unit >= 0").select("event", "unit").join(per_unit, ["event", "unit"], "left")
+    blank = F.array(F.lit(""))
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    inside = F.filter(names, lambda n: ~n.startswith(" "))
+    whole = F.transform(F.filter(names, lambda n: n.startswith(" ")), lambda n: F.trim(n))
+
+    def pairs(both: Column) -> Column:
+        many = F.array_union(both, blank)
+        return F.flatten(F.transform(many, lambda a: F.transform(many, lambda b: rule("pair", a, b))))
+
+    nothing = F.array().cast("array<struct<kind:string,a:string,b:string>>")
+    looked_up = F.concat(
+        F.transform(inside, lambda n: rule("full", n)),
+        F.when(F.col("unit") >= 0, pairs(inside)).otherwise(pairs(whole)),
+        F.when(F.col("unit") == 0, F.transform(whole, lambda n: rule("first", n))).otherwise(nothing),
     )
     best = (
-        anywhere.unionByName(in_link).unionByName(as_words).unionByName(in_first)
+        some_text.select("event", F.explode(F.array_distinct(looked_up)).alias("k")).select("event", "k.*")
+        .join(rules, ["kind", "a", "b"])
         .groupBy("event").agg(F.min("pos").alias("pos"))
         .join(staff.select(F.col(position).alias("pos"), F.col("staff_id").alias("_matched")), "pos")
         .select(F.col("event").alias("id"), "_matched")

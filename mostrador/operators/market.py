@@ -12,7 +12,7 @@ from ..functions import skew
 from ..functions import text as tx
 from ..functions.dates import date_literal, since
 from ..functions.exprs import (
-    SOLD_PAID, count_where, exact_avg, int_or_zero, js_round, money_sum, pct0, safe_div, sold,
+    SOLD_PAID, count_where, exact_avg, int_or_zero, js_round, money_mean, money_sum, pct0, safe_div, sold,
 )
 from .joins import EXISTING, NEW_LAUNCH, attach_volumes, latest_signal
 
@@ -20,7 +20,7 @@ from .joins import EXISTING, NEW_LAUNCH, attach_volumes, latest_signal
 def active_products(products: DataFrame, variants: DataFrame) -> DataFrame:
     """Active products with their mean variant price (to cents) and number of priced variants."""
     prices = variants.where("price > 0").groupBy("product_id").agg(
-        F.round(exact_avg("price"), 2).alias("avg_price"), F.count("id").alias("variant_count"))
+        money_mean("price").alias("avg_price"), F.count("id").alias("variant_count"))
     return (
         products.where("status = 'active'").select(F.col("id").alias("product_id"), "title", "vendor")
         .join(prices, "product_id").where("avg_price > 0")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import skew
 from ..functions.dates import bounds, day, in_dates, in_range, range_days, since
 from ..functions.exprs import (
-    SOLD_NET, SOLD_PAID, SOLD_SCAN, count_where, div0, money_sum, safe_div, sold, sum_where, wavg,
+    SOLD_NET, SOLD_PAID, SOLD_SCAN, count_where, div0, money_sum, safe_div, sold, sum_where,
 )
-from .joins import page_handles, sold_lines
+from .joins import handle_positions, page_weights, sold_lines
 
 # Fixed value: shown for lines without a vendor.
 NO_VENDOR = "Desconocido"
@@ -128,19 +128,15 @@ def top_brands(lines: DataFrame, orders: DataFrame, d0, d1, k: int = 5, statuses
 def top_products_seo(lines: DataFrame, orders: DataFrame, products: DataFrame, gsc: DataFrame, d0, d1, k: int = 100) -> DataFrame:
     """Best ``k`` products with handle and search position; the limit comes before the lookups.
 
-    Search rows are first reduced to the handles of those ``k`` products (at most ``k``
-    rows are broadcast), then summed per handle.
+    Search rows are summed per page, reduced to the handles of those ``k`` products (at most
+    ``k`` rows are broadcast), then summed per handle.
     """
     top = top_products(lines, orders, d0, d1, k).join(
         products.select(F.col("id").alias("product_id"), "handle"), "product_id", "left"
     )
     wanted = top.select("handle").where(F.col("handle").isNotNull()).distinct()
-    rows = page_handles(in_dates(gsc, "date", str(d0)[:10], str(d1)[:10]).select("page", "position", "impressions"))
-    per_handle = (
-        rows.join(F.broadcast(wanted), "handle", "left_semi")
-        .groupBy("handle")
-        .agg(wavg("position", "impressions").alias("seo_position"))
-    )
+    weights = page_weights(in_dates(gsc, "date", str(d0)[:10], str(d1)[:10]))
+    per_handle = handle_positions(weights.join(F.broadcast(wanted), "handle", "left_semi"))
     return top.join(per_handle, "handle", "left").select(
         "product_id", "product_title", "brand", "quantity_sold", "gross_revenue", "handle", "seo_position"
     )

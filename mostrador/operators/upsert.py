@@ -87,20 +87,27 @@ def set_flag(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     return df.join(listed, key, "left").withColumn(flag, F.coalesce("_listed", flag)).select(*df.columns)
 
 
-def scd2_apply(assign: DataFrame, changes: DataFrame) -> DataFrame:
+def scd2_apply(assign: DataFrame, changes: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Close and open assignments.
 
     ``changes`` has employee_code, team, role, allocation_pct, valid_from, valid_to (null
     for open), is_primary, assignment_id and ``seq``, the order of application. A primary
     change closes every open primary of the employee on the day before it starts; several
     changes of one employee close each other in turn.
+
+    The next primary change is looked for inside chunks of ``chunk`` positions and, for the
+    last one of a chunk, in the first primary of the following chunk that has one, so an
+    employee with very many changes is spread over tasks.
     """
     names = assign.columns
-    order = Window.partitionBy("employee_code").orderBy("seq")
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    numbered = changes.withColumn("_chunk", F.floor(F.col("seq") / chunk))
+    later = Window.partitionBy("employee_code", "_chunk").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     starts = F.when(F.col("is_primary"), F.col("valid_from"))
-    # The next primary change, in order of application, closes an open primary row.
-    added = changes.withColumn("_next", F.first(starts, ignorenulls=True).over(ahead))
+    inside = numbered.withColumn("_inside", F.last(starts, ignorenulls=True).over(later))
+    heads = numbered.where("is_primary").groupBy("employee_code", "_chunk").agg(F.min_by("valid_from", "seq").alias("_head"))
+    seam = Window.partitionBy("employee_code").orderBy("_chunk")
+    beyond = heads.select("employee_code", "_chunk", F.lead("_head").over(seam).alias("_beyond"))
+    added = inside.join(beyond, ["employee_code", "_chunk"], "left").withColumn("_next", F.coalesce("_inside", "_beyond"))
     first = changes.where("is_primary").groupBy("employee_code").agg(F.min_by("valid_from", "seq").alias("_next"))
 
     def close(df: DataFrame) -> DataFrame:

@@ -55,8 +55,10 @@ for _id, _version in (("alg_01_keyword_v1", "v1"), ("alg_02_keyword_v2", "v2"),
         return titles(t).withColumn("keyword", tx.extract_keyword("title", _version))
 
 
-PRICED = """SELECT p.id AS product_id, p.title, p.vendor, round(AVG(v.price), 2) AS avg_price, COUNT(v.id) AS variant_count
-FROM shopify_products p JOIN shopify_product_variants v ON v.product_id = p.id WHERE p.status = 'active' AND v.price > 0 GROUP BY 1, 2, 3 HAVING round(AVG(v.price), 2) > 0"""
+# The mean in whole cents, rounded half up.
+CENTS = "(2 * SUM(CAST(round(v.price * 100) AS BIGINT)) + COUNT(v.price)) // (2 * COUNT(v.price))"
+PRICED = f"""SELECT p.id AS product_id, p.title, p.vendor, CAST({CENTS} AS DOUBLE) / 100 AS avg_price, COUNT(v.id) AS variant_count
+FROM shopify_products p JOIN shopify_product_variants v ON v.product_id = p.id WHERE p.status = 'active' AND v.price > 0 GROUP BY 1, 2, 3 HAVING {CENTS} > 0"""
 
 
 def priced(t):
