@@ -3,7 +3,7 @@ bare column so that the scan can prune partitions and row groups."""
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import UTC, date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .exprs import col
 
 
+def _now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 def _parse(text, fallback: datetime) -> datetime:
     if isinstance(text, datetime):
         return text
@@ -36,7 +40,7 @@ def default_start(default: str, now: datetime) -> datetime:
 
 def bounds(start, end, default: str = "mtd", now: datetime | None = None) -> tuple[datetime, datetime]:
     """Unreadable or missing bounds fall back to the default range up to ``now``."""
-    now = now or datetime.utcnow()
+    now = now or _now()
     return _parse(start, default_start(default, now)), _parse(end, now)
 
 
@@ -90,7 +94,7 @@ def in_preset(df: DataFrame, ts: str, name: str, today: date) -> DataFrame:
 
 def since(df: DataFrame, column: str, days: int, as_of) -> DataFrame:
     """Rows at or after ``as_of`` minus ``days`` (timestamps)."""
-    return df.where(F.col(column) >= _literal(_parse(as_of, datetime.utcnow()) - timedelta(days=days)))
+    return df.where(F.col(column) >= _literal(_parse(as_of, _now()) - timedelta(days=days)))
 
 
 def ts_literal(value) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions import text as tx
-from ..functions.dates import day, in_range, maybe_range
+from ..functions.dates import day, in_range, maybe_range, ts_literal
 from ..functions.exprs import count_where, exact_avg, js_round, micros, pct0, safe_div
 from .joins import identified
 
@@ -146,24 +146,24 @@ def omnichannel_duplicates(conversations: DataFrame, hours: int = 72) -> DataFra
             "struct<session_id:string,created_at:timestamp_ntz,channel_origin:string,people_id:string,"
             "visitor_nickname:string,visitor_email:string>").alias("row"),
     )
-    # kind 0: own block; 1: start of the next block, before at + width; 2: end of the previous.
+    # kind 1: start of the next block, before at + width; 2: end of the previous; 10: own block.
     probe = F.explode(F.array(*[
         F.struct(F.lit(kind).alias("kind"), (F.col("_block") + step).alias("block"), (F.col("_at") + step * width).alias("at"))
-        for kind, step in ((0, 0), (1, 1), (2, -1))
+        for kind, step in ((1, 1), (2, -1), (10, 0))
     ])).alias("p")
     probes = rows.select("identity_key", F.col("channel_origin").alias("target"), probe, payload).select(
         "identity_key", "target", "p.block", "p.at", "p.kind", F.lit(None).cast("string").alias("offer"), "row"
     )
     part = Window.partitionBy("identity_key", "target", "block")
-    # Next and previous are strict, so those probes sort before offers of the same time; the
-    # own block joins both directions, so its order among equals does not matter.
+    # Next and previous are strict, so those probes sort before the offers (kind 9) of the same
+    # time; the probe of the own block sorts after them, so that equal times count.
     up = part.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     down = part.orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = (
         offers.unionByName(probes)
         .withColumn("_up_max", F.max("offer").over(up)).withColumn("_up_min", F.min("offer").over(up))
         .withColumn("_down_max", F.max("offer").over(down)).withColumn("_down_min", F.min("offer").over(down))
-        .where("kind < 9")
+        .where("kind <> 9")
     )
     hi = F.when(F.col("kind") == 1, F.col("_up_max")).when(F.col("kind") == 2, F.col("_down_max")).otherwise(
         F.greatest("_up_max", "_down_max"))
@@ -187,8 +187,6 @@ def omnichannel_duplicates(conversations: DataFrame, hours: int = 72) -> DataFra
 def _within(dups: DataFrame, d0, d1) -> DataFrame:
     if not (d0 and d1):
         return dups
-    from ..functions.dates import ts_literal
-
     return dups.where((F.col("first_contact") >= ts_literal(d0)) & (F.col("last_contact") <= ts_literal(d1)))
 
 
@@ -215,8 +213,6 @@ def duplicity_top(dups: DataFrame, d0=None, d1=None, k: int = 50) -> DataFrame:
 
 def source_audit(conversations: DataFrame, t) -> DataFrame:
     """Rows by state, and of each how many changed since ``t`` and the oldest start."""
-    from ..functions.dates import ts_literal
-
     changed = (F.col("created_at") >= ts_literal(t)) | (F.col("updated_at") >= ts_literal(t))
     return conversations.groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(
         F.count(F.lit(1)).alias("rows"), count_where(changed).alias("since"), F.min("created_at").alias("oldest")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day, in_range
+from ..functions.dates import day, in_range, ts_literal
 from .joins import full_name
 
 
@@ -80,8 +80,6 @@ def activity_page(audit: DataFrame, staff: DataFrame, d0, d1, page: int = 1, lim
     ``after=(occurred_at, audit_id)`` continues behind the last row of the page before: deep
     pages then cost the same as the first, while ``page`` has to keep all rows before it.
     """
-    from ..functions.dates import ts_literal
-
     kept = filter_activity(in_range(audit, "occurred_at", d0, d1), ids, actions).select(*EVENT_COLUMNS)
     if after:
         at, last = ts_literal(after[0]), after[1]

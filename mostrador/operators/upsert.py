@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.dates import ts_literal
+from ..sources.tables import by_partition
 
 
 @dataclass(frozen=True)
@@ -200,11 +201,7 @@ def merge_into_path(batch: DataFrame, path: str, part: str, spec: MergeSpec) ->
     spark = batch.sparkSession
     target = spark.read.schema(batch.schema).parquet(path)
     touched = batch.select(part).distinct()
-    merged = upsert(target.join(F.broadcast(touched) if _few_days(part, batch) else touched, part, "left_semi"), batch, spec)
-    (merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    merged = upsert(target.join(touched, part, "left_semi").select(*target.columns), batch, spec)
+    (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
-
-def _few_days(part: str, batch: DataFrame) -> bool:
-    """Dates are at most some tens of thousands of distinct values, whatever the batch holds."""
-    return batch.schema[part].dataType.typeName() == "date"

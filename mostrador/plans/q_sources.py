@@ -102,9 +102,9 @@ def _(t):
     path = scratch_path(t.spark, "tail")
     cols = [c.strip() for c in GA_KEYS.split(",")] + ["sessions"]
     target = t.raw_traffic_ga4.select(*cols)
-    tables.rewrite_tail_on_disk(target.repartition("date"), path, "date")
+    tables.rewrite_tail_on_disk(target, path, "date")
     fresh = target.where("date >= date'2024-01-25'").withColumn("sessions", F.col("sessions") * 2)
-    tables.rewrite_tail_on_disk(fresh.repartition("date"), path, "date")
+    tables.rewrite_tail_on_disk(fresh, path, "date")
     return t.spark.read.schema(target.schema).parquet(path)
 
 

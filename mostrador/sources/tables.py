@@ -108,24 +108,19 @@ def rewrite_tail(target: DataFrame, fresh: DataFrame, date_col: str, cutoff) ->
 
 def rewrite_tail_on_disk(fresh: DataFrame, path: str, part: str) -> None:
     """Replace only the date folders present in ``fresh``."""
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    (by_partition(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(path))
 
 
-def write_layout(df: DataFrame, path: str, part: str, cluster: Sequence[str], files_per_part: int = 1) -> None:
-    """Date folders, rows sorted by the cluster columns so row groups can be skipped.
+def by_partition(df: DataFrame, part: str) -> DataFrame:
+    """Rows gathered by partition value for a write: small values share a task, and a value
+    that holds too much for one task is split over several."""
+    return df.hint("rebalance", part)
 
-    ``files_per_part`` spreads one large date over several tasks and files.
-    """
-    spread = [F.col(part)]
-    if files_per_part > 1:
-        spread.append(F.pmod(F.xxhash64(*cluster), F.lit(files_per_part)))
-    (
-        df.repartition(*spread)
-        .sortWithinPartitions(part, *cluster)
-        .write.mode("overwrite")
-        .partitionBy(part)
-        .parquet(path)
-    )
+
+def write_layout(df: DataFrame, path: str, part: str, cluster: Sequence[str]) -> None:
+    """Date folders, rows sorted by the cluster columns so row groups can be skipped."""
+    by_partition(df, part).sortWithinPartitions(part, *cluster).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
 def retain(df: DataFrame, date_col: str, days: int, as_of: date) -> DataFrame:

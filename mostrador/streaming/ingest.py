@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.upsert import MergeSpec, insert_missing, merge_into_path
+from ..sources.tables import by_partition
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files_per_batch: int = 1000) -> DataFrame:
@@ -58,7 +59,7 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
         target = spark.read.schema(schema).parquet(path)
         days = rows.select(part).distinct()
         merged = insert_missing(target.join(days, part, "left_semi").select(*schema.fieldNames()), rows, keys)
-        (merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part).parquet(path))
         rows.unpersist()
 
@@ -100,7 +101,7 @@ def rewrite_window(path: str, part: str) -> Callable[[DataFrame, int], None]:
     """Sink that replaces the date partitions a batch carries whole (late-window rewrite)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (by_partition(batch, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part).parquet(path))
 
     return write
