@@ -1,4 +1,8 @@
-"""Landed payloads rebuilt from the shop tables, as JSON text in column ``payload``."""
+"""Landed payloads rebuilt from the shop tables, as JSON text in column ``payload``.
+
+Each table row becomes a payload of its own, so nothing is grouped; nested lists carry the
+row and one or more variations of it.
+"""
 
 from __future__ import annotations
 
@@ -15,15 +19,23 @@ def as_payload(df: DataFrame) -> DataFrame:
 
 
 def orders(t) -> DataFrame:
-    """One payload per order with its own lines inside, as the shop sends it."""
-    line = F.struct("id", "product_id", "variant_id", "title", "vendor", "quantity", F.col("price").cast("string").alias("price"))
-    lines = t.shopify_order_lines.groupBy("order_id").agg(F.collect_list(line).alias("line_items"))
     o = t.shopify_orders
-    return as_payload(o.join(lines, F.col("id") == F.col("order_id"), "left").select(
+    return as_payload(o.select(
         "id", "order_number", iso("created_at").alias("created_at"), iso("updated_at").alias("updated_at"),
         *[F.col(c).cast("string").alias(c) for c in ("total_price", "subtotal_price", "total_discounts")],
-        "financial_status", "fulfillment_status", "currency",
-        F.coalesce("line_items", F.array().cast(lines.schema["line_items"].dataType)).alias("line_items")))
+        "financial_status", "fulfillment_status", "currency"))
+
+
+def order_lines(t) -> DataFrame:
+    """Order payloads with two lines each: the table's line and its refund under -id."""
+
+    def line(sign: int, vendor: Column) -> Column:
+        return F.struct((F.col("id") * sign).alias("id"), "product_id", "variant_id", "title", vendor.alias("vendor"), "quantity",
+                        F.col("price").cast("string").alias("price"))
+
+    vendor = F.col("vendor")
+    return as_payload(t.shopify_order_lines.select(
+        F.col("order_id").alias("id"), F.array(line(1, vendor), line(-1, F.coalesce(vendor, F.lit("")))).alias("line_items")))
 
 
 def order_notes(t) -> DataFrame:
@@ -34,13 +46,20 @@ def order_notes(t) -> DataFrame:
 
 
 def products(t) -> DataFrame:
-    v = F.struct("id", "title", F.col("price").cast("string").alias("price"), "sku", "inventory_quantity")
-    variants = t.shopify_product_variants.groupBy("product_id").agg(F.collect_list(v).alias("variants"))
     p = t.shopify_products
-    return as_payload(p.join(variants, F.col("id") == F.col("product_id"), "left").select(
+    return as_payload(p.select(
         "id", "title", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("vendor")).alias("vendor"), "product_type",
         F.when(F.col("id") % 5 != 0, F.col("status")).alias("status"), "handle", iso("created_at").alias("created_at"),
-        iso("created_at").alias("updated_at"), "variants"))
+        iso("created_at").alias("updated_at")))
+
+
+def variants(t) -> DataFrame:
+    """Product payloads with the table's variant and one without price, sku and stock."""
+    full = F.struct("id", "title", F.col("price").cast("string").alias("price"), "sku", "inventory_quantity")
+    bare = F.struct((-F.col("id")).alias("id"), "title", F.lit("n/a").alias("price"), F.lit("").alias("sku"),
+                    F.lit(None).cast("bigint").alias("inventory_quantity"))
+    listed = F.when(F.col("product_id") % 10 != 0, F.array(full, bare))
+    return as_payload(t.shopify_product_variants.select(F.col("product_id").alias("id"), listed.alias("variants")))
 
 
 def customers(t) -> DataFrame:
@@ -104,17 +123,14 @@ def gsc(t) -> DataFrame:
 
 
 def metric_series(t) -> DataFrame:
-    """One payload per metric and source: days and their figures as parallel arrays."""
-    point = F.struct(F.col("date"), F.col("count"), F.col("sum_value"))
-    grouped = t.klaviyo_metrics.groupBy("metric_name", "campaign_name", "flow_name").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    """Parallel arrays of three days: the table's day, an empty day and one without a sum."""
     ids = F.array(F.when(F.col("campaign_name") == "", "").otherwise(F.concat(F.lit("m"), "campaign_name")),
                   F.when(F.col("flow_name") == "", "").otherwise(F.concat(F.lit("f"), "flow_name")))
-    # A day without anything, to be dropped again.
-    return as_payload(grouped.select(
-        "metric_name", F.concat(F.transform("p", lambda x: iso(x["date"])), F.array(F.lit("2024-02-01T00:00:00Z"))).alias("dates"),
-        F.array(F.struct(ids.alias("dimensions"), F.struct(
-            F.concat(F.transform("p", lambda x: x["count"]), F.array(F.lit(0).cast("bigint"))).alias("count"),
-            F.concat(F.transform("p", lambda x: x["sum_value"]), F.array(F.lit(0.0))).alias("sum_value")).alias("measurements"))).alias("data")))
+    days = F.array(iso("date"), F.lit("2024-02-01T00:00:00Z"), F.lit("2024-02-02T00:00:00Z"))
+    figures = F.struct(F.array("count", F.lit(0).cast("bigint"), F.lit(1).cast("bigint")).alias("count"),
+                       F.array("sum_value", F.lit(0.0)).alias("sum_value"))
+    return as_payload(t.klaviyo_metrics.select(
+        "metric_name", days.alias("dates"), F.array(F.struct(ids.alias("dimensions"), figures.alias("measurements"))).alias("data")))
 
 
 def reviews(t) -> DataFrame:
@@ -126,31 +142,35 @@ def reviews(t) -> DataFrame:
 
 
 def trends(t) -> DataFrame:
-    """One payload per brand and year of weekly points with range labels."""
+    """Weekly points with range labels, each beside one whose date cannot be read."""
     label = F.concat(F.date_format("trend_date", "MMM d"), F.lit(" – "), F.date_format(F.date_add("trend_date", 6), "MMM d, yyyy"))
     value = F.when(F.col("interest_value") > 0, F.col("interest_value"))
-    point = F.struct(label.alias("date"), F.lit(False).alias("is_partial"), F.array(F.struct(F.col("keyword").alias("query"), value.alias("extracted_value"))).alias("values"))
-    return as_payload(t.market_trends.groupBy("keyword", F.year("trend_date").alias("y")).agg(F.collect_list(point).alias("timeline")).drop("y"))
+    values = F.array(F.struct(F.col("keyword").alias("query"), value.alias("extracted_value")))
+    points = [F.struct(d.alias("date"), F.lit(False).alias("is_partial"), values.alias("values")) for d in (label, F.lit("next week"))]
+    return as_payload(t.market_trends.select("keyword", F.array(*points).alias("timeline")))
 
 
 def trends_alt(t) -> DataFrame:
     day = F.concat(F.col("trend_date").cast("string"), F.lit("T00:00:00+00:00"))
-    point = F.struct(day.alias("date_from"), F.array("interest_value").alias("values"))
-    return as_payload(t.market_trends.groupBy("keyword", F.year("trend_date").alias("y")).agg(F.collect_list(point).alias("points")).drop("y"))
+    points = [F.struct(d.alias("date_from"), F.array("interest_value").alias("values")) for d in (day, F.lit(""))]
+    return as_payload(t.market_trends.select("keyword", F.array(*points).alias("points")))
+
+
+# The stores of a result list; which one comes first depends on the product.
+STORES = ("'Mi Tienda CL'", "''", "'Tienda Sur'", "competitor_name", "'MI TIENDA'", "'Norte'", "concat(competitor_name, ' Outlet')")
 
 
 def listings(t) -> DataFrame:
-    """One result list per product and own price, cheapest first."""
-    item = F.struct(
-        F.col("competitor_price").alias("_p"), F.col("competitor_name").alias("_n"), F.col("has_stock").alias("_s"),
-        F.concat(F.lit("Offer of "), "competitor_name").alias("title"), F.col("competitor_name").alias("source"),
-        F.concat(F.lit("$"), F.col("competitor_price").cast("bigint").cast("string"), F.lit(",50")).alias("price"),
-        F.when(~F.col("has_stock"), F.lit("Producto AGOTADO hoy")).alias("tag"), F.lit("http://x").alias("link"))
-    grouped = t.competitor_prices.groupBy("product_id").agg(F.sort_array(F.collect_list(item)).alias("shopping_results"))
-    paid = F.transform(F.reverse("shopping_results"), lambda r: F.struct(r["source"].alias("source"), r["price"].alias("price")))
-    return as_payload(grouped.select(
-        F.concat(F.lit("kw "), "product_id").alias("keyword"), "product_id",
-        F.transform("shopping_results", lambda r: r.dropFields("_p", "_n", "_s")).alias("shopping_results"), paid.alias("ads_results")))
+    """Result lists of seven listings per competitor price."""
+    stores = f"array({', '.join(STORES)})"
+    source = [F.expr(f"{stores}[cast((product_id + {i}) % {len(STORES)} as int)]") for i in range(len(STORES))]
+    items = [F.struct(
+        F.concat(F.lit("Offer of "), s).alias("title"), s.alias("source"),
+        F.concat(F.lit("$"), (F.col("competitor_price") + i).cast("bigint").cast("string"), F.lit(",50")).alias("price"),
+        F.when(~F.col("has_stock"), F.lit("Producto AGOTADO hoy")).alias("tag")) for i, s in enumerate(source)]
+    paid = [F.struct(s.alias("source"), F.lit("$1").alias("price")) for s in reversed(source[:3])]
+    return as_payload(t.competitor_prices.select(
+        F.concat(F.lit("kw "), "product_id").alias("keyword"), "product_id", F.array(*items).alias("shopping_results"), F.array(*paid).alias("ads_results")))
 
 
 def volumes(t) -> DataFrame:
@@ -167,9 +187,10 @@ def staff(t) -> DataFrame:
 
 
 def calls(t) -> DataFrame:
-    """One payload per extension and day."""
+    """Pages of at most 200 records per extension, as the call log serves them."""
     record = F.struct(F.col("session_id").alias("sessionId"), "direction", "result", "duration", iso("start_time").alias("startTime"))
-    pages = t.call_log.groupBy("extension_id", "extension_name", F.to_date("start_time").alias("d")).agg(F.collect_list(record).alias("records"))
+    pages = t.call_log.groupBy("extension_id", "extension_name", F.floor(F.col("seq") / 200).alias("page")).agg(
+        F.collect_list(record).alias("records"))
     return as_payload(pages.select(
         F.col("extension_id").alias("ext_pos"), F.struct(F.col("extension_id").alias("id"), F.col("extension_name").alias("name")).alias("extension"),
         (F.col("extension_id") == 6).alias("failed"), "records"))

@@ -17,9 +17,12 @@ def _(t):
     return pl.flatten_orders(pl.parse(landed.orders(t), "payload", "order"), landed.order_notes(t))
 
 
-@query("nrm_02_order_lines", "SELECT id, order_id, product_id, variant_id, title, vendor, quantity, price FROM shopify_order_lines")
+LINE = "order_id, product_id, variant_id, title, vendor, quantity, price FROM shopify_order_lines"
+
+
+@query("nrm_02_order_lines", f"SELECT id, {LINE} UNION ALL SELECT -id, {LINE}")
 def _(t):
-    return pl.flatten_order_lines(pl.parse(landed.orders(t), "payload", "order"))
+    return pl.flatten_order_lines(pl.parse(landed.order_lines(t), "payload", "order"))
 
 
 @query("nrm_03_products", """
@@ -28,9 +31,11 @@ def _(t):
     return pl.flatten_products(pl.parse(landed.products(t), "payload", "product")).drop("updated_at", "published_at")
 
 
-@query("nrm_03_variants", "SELECT id, product_id, title, price, sku, inventory_quantity FROM shopify_product_variants")
+@query("nrm_03_variants", """
+SELECT id, product_id, title, price, sku, inventory_quantity FROM shopify_product_variants WHERE product_id % 10 <> 0
+UNION ALL SELECT -id, product_id, title, 0e0, NULL, 0 FROM shopify_product_variants WHERE product_id % 10 <> 0""")
 def _(t):
-    return pl.flatten_variants(pl.parse(landed.products(t), "payload", "product")).drop("created_at", "updated_at")
+    return pl.flatten_variants(pl.parse(landed.variants(t), "payload", "product")).drop("created_at", "updated_at")
 
 
 @query("nrm_04_customers", """
@@ -92,9 +97,12 @@ def _(t):
     return pl.flatten_gsc(pl.parse(landed.gsc(t), "payload", "gsc"))
 
 
-@query("nrm_12_metric_series", """
-SELECT date, metric_name, CASE WHEN campaign_name = '' THEN '' ELSE concat('m', campaign_name) END AS message_id, CASE WHEN flow_name = '' THEN '' ELSE concat('f', flow_name) END AS flow_id,
-  count, sum_value FROM klaviyo_metrics WHERE count > 0 OR sum_value > 0""", ["date"])
+SOURCE = "metric_name, CASE WHEN campaign_name = '' THEN '' ELSE concat('m', campaign_name) END AS message_id, CASE WHEN flow_name = '' THEN '' ELSE concat('f', flow_name) END AS flow_id"
+
+
+@query("nrm_12_metric_series", f"""
+SELECT date, {SOURCE}, count, sum_value FROM klaviyo_metrics WHERE count > 0 OR sum_value > 0
+UNION ALL SELECT TIMESTAMP '2024-02-02', {SOURCE}, 1, 0e0 FROM klaviyo_metrics""", ["date"])
 def _(t):
     return pl.flatten_metric_series(pl.parse(landed.metric_series(t), "payload", "metric_series"))
 
@@ -117,23 +125,33 @@ def _(t):
     return pl.flatten_trend_alt(pl.parse(landed.trends_alt(t), "payload", "trend_alt"))
 
 
-CHEAPEST = "row_number() OVER (PARTITION BY product_id ORDER BY competitor_price, competitor_name, has_stock)"
+LISTED = f"""listed AS (SELECT product_id, competitor_name, competitor_price, has_stock, i, [{', '.join(landed.STORES)}][(product_id + i) % {len(landed.STORES)} + 1] AS source
+  FROM competitor_prices, (SELECT unnest(range({len(landed.STORES)})) AS i) x)"""
+KEYWORD = "concat('kw ', CAST(product_id AS VARCHAR)) AS keyword"
 
 
 # The comma is not a digit or dot, so '$12,50' reads as 1250.
 @query("nrm_15_listings", f"""
-SELECT keyword, product_id, rank, concat('Offer of ', competitor_name) AS competitor_title, competitor_price * 100 + 50 AS competitor_price, competitor_name, has_stock
-FROM (SELECT *, concat('kw ', CAST(product_id AS VARCHAR)) AS keyword, {CHEAPEST} AS rank FROM competitor_prices) c WHERE rank <= 5""")
+WITH {LISTED} SELECT {KEYWORD}, product_id, i + 1 AS rank, concat('Offer of ', source) AS competitor_title, (competitor_price + i) * 100 + 50 AS competitor_price, source AS competitor_name, has_stock
+FROM listed WHERE i < 5 AND source <> ''""")
 def _(t):
     return pl.flatten_listings(pl.parse(landed.listings(t), "payload", "listings")).drop("competitor_url", "thumbnail_url")
 
 
+def listed_at(i):
+    return f"[{', '.join(landed.STORES)}][(product_id + {i}) % {len(landed.STORES)} + 1]"
+
+
+FIRST_OTHER = "list_position(list_transform(sources, lambda x: contains(lower(x), 'mi tienda')), FALSE)"
+
+
 @query("nrm_16_shelf_position", f"""
-WITH r AS (SELECT *, {CHEAPEST} AS place, COUNT(*) OVER (PARTITION BY product_id) AS n, contains(lower(competitor_name), 'supplier#00000000') AS mine FROM competitor_prices)
-SELECT concat('kw ', CAST(product_id AS VARCHAR)) AS keyword, product_id, MIN(CASE WHEN mine THEN place END) AS organic_position, MIN(CASE WHEN mine THEN n + 1 - place END) AS paid_position,
-  min_by(competitor_name, place) FILTER (WHERE NOT mine) AS top_competitor_name, min_by(competitor_price + 0.5e0, place) FILTER (WHERE NOT mine) AS top_competitor_price FROM r GROUP BY product_id""")
+WITH l AS (SELECT product_id, competitor_price, [{', '.join(listed_at(i) for i in range(len(landed.STORES)))}] AS sources FROM competitor_prices),
+p AS (SELECT *, list_position(list_transform(sources, lambda x: contains(lower(x), 'mi tienda')), TRUE) AS organic,
+  list_position(list_transform([sources[3], sources[2], sources[1]], lambda x: contains(lower(x), 'mi tienda')), TRUE) AS paid, {FIRST_OTHER} AS other FROM l)
+SELECT {KEYWORD}, product_id, NULLIF(organic, 0) AS organic_position, NULLIF(paid, 0) AS paid_position, sources[other] AS top_competitor_name, competitor_price + other - 1 + 0.5e0 AS top_competitor_price FROM p""")
 def _(t):
-    return pl.shelf_position(pl.parse(landed.listings(t), "payload", "listings"), "Supplier#00000000")
+    return pl.shelf_position(pl.parse(landed.listings(t), "payload", "listings"), "Mi Tienda")
 
 
 @query("nrm_17_status_notes", "SELECT id, estado_de_pedido AS note FROM shopify_orders")

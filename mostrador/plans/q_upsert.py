@@ -13,65 +13,67 @@ from .registry import query
 ORDER_COLS = ["id", "financial_status", "fulfillment_status", "total_price", "currency"]
 
 
-def split_orders(t):
-    """A table holding two thirds of the orders, and a batch that overlaps half of it."""
-    o = t.shopify_orders.select(*ORDER_COLS)
-    target = o.where("id % 3 <> 0")
-    batch = o.where("id % 2 = 0").withColumn("financial_status", F.lit("voided")).withColumn(
+def order_batch(t):
+    """The order table, and a later batch as large: even ids come again, odd ones as new keys."""
+    target = t.shopify_orders.select(*ORDER_COLS)
+    key = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id"))
+    batch = target.withColumn("id", key).withColumn("financial_status", F.lit("voided")).withColumn(
         "total_price", F.col("total_price") + 1).withColumn("currency", F.lit("USD"))
     return target, batch
 
 
 @query("ups_01_upsert", """
-SELECT id, CASE WHEN id % 2 = 0 THEN 'voided' ELSE financial_status END AS financial_status, fulfillment_status, CASE WHEN id % 2 = 0 THEN total_price + 1 ELSE total_price END AS total_price,
-  CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'USD' ELSE currency END AS currency FROM shopify_orders WHERE id % 3 <> 0 OR id % 2 = 0""")
+SELECT id, CASE WHEN id % 2 = 0 THEN 'voided' ELSE financial_status END AS financial_status, fulfillment_status, CASE WHEN id % 2 = 0 THEN total_price + 1 ELSE total_price END AS total_price, currency FROM shopify_orders
+UNION ALL SELECT -id, 'voided', fulfillment_status, total_price + 1, 'USD' FROM shopify_orders WHERE id % 2 = 1""")
 def _(t):
-    target, batch = split_orders(t)
+    target, batch = order_batch(t)
     return upsert.upsert(target, batch, MergeSpec(("id",), ("financial_status", "total_price")))
 
 
 @query("ups_02_insert_missing", """
-SELECT id, CASE WHEN id % 3 = 0 THEN 'voided' ELSE financial_status END AS financial_status, CASE WHEN id % 3 = 0 THEN total_price + 1 ELSE total_price END AS total_price
-FROM shopify_orders WHERE id % 3 <> 0 OR id % 2 = 0""")
+SELECT id, financial_status, total_price FROM shopify_orders UNION ALL SELECT -id, 'voided', total_price + 1 FROM shopify_orders WHERE id % 2 = 1""")
 def _(t):
-    target, batch = split_orders(t)
+    target, batch = order_batch(t)
     return upsert.insert_missing(target, batch, ["id"]).select("id", "financial_status", "total_price")
 
 
-def scored_batch(t):
-    """A later fetch of the messages: some with scores, some edited, some new."""
-    m = t.crisp_messages.withColumn("sentiment_magnitude", F.lit(None).cast("double"))
-    target = m.where("length(content) % 4 <> 0")
-    batch = m.where("length(content) % 3 <> 0").withColumn("content", F.concat(F.lit("edited "), "content")).withColumn(
-        "sentiment_score", F.when(F.length("content") % 2 == 0, F.lit(0.25))).withColumn("sentiment_magnitude", F.lit(2.0))
+def message_batch(t):
+    """The messages, and a later fetch of all: edited, some scored, some under new ids."""
+    target = t.crisp_messages.withColumn("sentiment_magnitude", F.lit(None).cast("double"))
+    n = F.length("content")
+    batch = target.select(
+        F.when(n % 3 == 0, F.concat(F.lit("new-"), "message_id")).otherwise(F.col("message_id")).alias("message_id"), "session_id", "created_at",
+        "sender_type", "operator_name", F.concat(F.lit("edited "), "content").alias("content"), F.when(n % 2 == 0, F.lit(0.25)).alias("sentiment_score"),
+        F.lit(2.0).alias("sentiment_magnitude"))
     return target, batch
 
 
 @query("ups_03_ordered_merge", """
-WITH m AS (SELECT *, length(content) AS n FROM crisp_messages), t AS (SELECT * FROM m WHERE n % 4 <> 0),
-s AS (SELECT *, concat('edited ', content) AS new_content, CASE WHEN (n + 7) % 2 = 0 THEN 0.25e0 END AS new_score FROM m WHERE n % 3 <> 0)
+WITH t AS (SELECT * FROM crisp_messages), s AS (SELECT CASE WHEN length(content) % 3 = 0 THEN concat('new-', message_id) ELSE message_id END AS message_id, concat('edited ', content) AS new_content,
+  CASE WHEN length(content) % 2 = 0 THEN 0.25e0 END AS new_score FROM crisp_messages)
 SELECT COALESCE(t.message_id, s.message_id) AS message_id, CASE WHEN t.message_id IS NULL THEN s.new_content WHEN s.message_id IS NOT NULL AND NOT (t.sentiment_score IS NULL AND s.new_score IS NOT NULL) THEN s.new_content ELSE t.content END AS content,
   CASE WHEN t.message_id IS NULL THEN s.new_score WHEN s.message_id IS NOT NULL AND t.sentiment_score IS NULL AND s.new_score IS NOT NULL THEN s.new_score ELSE t.sentiment_score END AS sentiment_score,
   CASE WHEN t.message_id IS NULL OR (s.message_id IS NOT NULL AND t.sentiment_score IS NULL AND s.new_score IS NOT NULL) THEN 2e0 END AS sentiment_magnitude
 FROM t FULL OUTER JOIN s ON t.message_id = s.message_id""")
 def _(t):
-    target, batch = scored_batch(t)
+    target, batch = message_batch(t)
     spec = MergeSpec(("message_id",), clauses=upsert.message_clauses())
     return upsert.upsert(target, batch, spec).select("message_id", "content", "sentiment_score", "sentiment_magnitude")
 
 
 @query("ups_04_keep_columns", """
-SELECT staff_id, CASE WHEN list_pos % 2 = 0 THEN concat('new.', email) ELSE email END AS email, CASE WHEN list_pos % 2 = 0 AND list_pos % 3 = 0 THEN concat('gen.', employee_code) ELSE employee_code END AS employee_code,
-  CASE WHEN list_pos % 2 = 0 THEN FALSE ELSE active END AS active FROM shopify_staff WHERE list_pos % 3 <> 0 OR list_pos % 2 = 0""")
+SELECT staff_id, CASE WHEN list_pos % 2 = 0 THEN concat('new.', email) ELSE email END AS email, employee_code, CASE WHEN list_pos % 2 = 0 THEN FALSE ELSE active END AS active FROM shopify_staff
+UNION ALL SELECT concat('n', staff_id), concat('new.', email), concat('gen.', employee_code), FALSE FROM shopify_staff WHERE list_pos % 2 = 1""")
 def _(t):
     s = t.shopify_staff
     cols = ["staff_id", "email", "employee_code", "active"]
-    batch = s.where("list_pos % 2 = 0").withColumn("email", F.concat(F.lit("new."), "email")).withColumn(
-        "employee_code", F.concat(F.lit("gen."), "employee_code")).withColumn("active", F.lit(False))
-    # The batch may arrive as one array of structs.
-    packed = batch.groupBy((F.col("list_pos") % 64).alias("page")).agg(F.collect_list(F.struct(*cols)).alias("rows"))
+    batch = s.select(
+        "list_pos", F.when(F.col("list_pos") % 2 == 0, F.col("staff_id")).otherwise(F.concat(F.lit("n"), "staff_id")).alias("staff_id"),
+        F.concat(F.lit("new."), "email").alias("email"), F.concat(F.lit("gen."), "employee_code").alias("employee_code"), F.lit(False).alias("active"))
+    # The batch may arrive as arrays of structs, one page of staff each.
+    packed = batch.groupBy(F.floor(F.col("list_pos") / 100).alias("page")).agg(F.collect_list(F.struct(*cols)).alias("rows"))
     rows = packed.select(F.explode("rows").alias("r")).select("r.*")
-    return upsert.upsert(s.where("list_pos % 3 <> 0").select(*cols), rows, MergeSpec(("staff_id",), ("email", "active")))
+    return upsert.upsert(s.select(*cols), rows, MergeSpec(("staff_id",), ("email", "active")))
 
 
 @query("ups_06_set_flag", """
@@ -83,14 +85,13 @@ def _(t):
 
 CHANGES = """changes AS (SELECT employee_code, seq, CASE seq WHEN 1 THEN 'operations' WHEN 2 THEN 'management' ELSE 'executive' END AS team, concat('new', CAST(seq AS VARCHAR)) AS role, CAST(50 AS BIGINT) AS allocation_pct,
   DATE '2024-02-01' + CAST(seq * 10 AS INT) AS valid_from, CAST(NULL AS DATE) AS valid_to, seq <> 2 AS is_primary, concat(employee_code, '#', CAST(seq AS VARCHAR)) AS assignment_id
- FROM (SELECT employee_code, unnest([1, 2, 3]) AS seq FROM shopify_staff) s WHERE length(employee_code) % 2 = 0 OR seq = 2)"""
+ FROM (SELECT employee_code, unnest([1, 2, 3]) AS seq FROM shopify_staff) s)"""
 
 
 def staff_changes(t):
     seq = F.col("seq")
     return (
         t.shopify_staff.select("employee_code", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seq"))
-        .where((F.length("employee_code") % 2 == 0) | (seq == 2))
         .select("employee_code", "seq", F.when(seq == 1, "operations").when(seq == 2, "management").otherwise("executive").alias("team"),
                 F.concat(F.lit("new"), seq).alias("role"), F.lit(50).cast("bigint").alias("allocation_pct"),
                 F.date_add(F.to_date(F.lit("2024-02-01")), seq * 10).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
@@ -126,14 +127,14 @@ def _(t):
 
 
 @query("ups_10_load_batch", """
-WITH b AS (SELECT * FROM (SELECT id, order_id, title, quantity, price, row_number() OVER (PARTITION BY id ORDER BY product_id, quantity, price) AS rn FROM shopify_order_lines) x WHERE rn = 1)
-SELECT id, order_id, CASE WHEN quantity % 2 = 0 THEN concat('old ', title) ELSE title END AS title, quantity FROM b""")
+WITH b AS (SELECT * FROM (SELECT id, order_id, title, quantity, row_number() OVER (PARTITION BY id ORDER BY product_id, quantity, price) AS rn FROM shopify_order_lines) x WHERE rn = 1)
+SELECT id, order_id, concat('new ', title) AS title, quantity FROM b UNION ALL SELECT -id, order_id, title, quantity FROM b WHERE quantity % 2 = 1""")
 def _(t):
     cols = ["id", "order_id", "title", "quantity"]
-    lines = t.shopify_order_lines
     order = [F.col(c) for c in ("product_id", "quantity", "price")]
-    known = series.dedupe_first(lines, ["id"], order).where("quantity % 2 = 0").withColumn("title", F.concat(F.lit("old "), "title")).select(*cols)
-    batch = lines.withColumn("title", F.when(F.col("quantity") % 2 == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
+    key = F.when(F.col("quantity") % 2 == 0, F.col("id")).otherwise(-F.col("id"))
+    known = series.dedupe_first(t.shopify_order_lines, ["id"], order).withColumn("id", key).select(*cols)
+    batch = t.shopify_order_lines.withColumn("title", F.concat(F.lit("new "), "title"))
     return upsert.load_batch(batch, known, MergeSpec(("id",), ("title", "quantity")), order).select(*cols)
 
 
@@ -158,9 +159,9 @@ def _(t):
 
 
 @query("ups_12_merge_preview", """
-SELECT COUNT(*) AS rows, COUNT(CASE WHEN id % 3 = 0 THEN 1 END) AS to_insert, COUNT(CASE WHEN id % 3 <> 0 THEN 1 END) AS to_update FROM shopify_orders WHERE id % 2 = 0""")
+SELECT COUNT(*) AS rows, COUNT(CASE WHEN id % 2 = 1 THEN 1 END) AS to_insert, COUNT(CASE WHEN id % 2 = 0 THEN 1 END) AS to_update FROM shopify_orders""")
 def _(t):
-    target, batch = split_orders(t)
+    target, batch = order_batch(t)
     return upsert.merge_preview(target, batch, ["id"])
 
 
