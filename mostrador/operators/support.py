@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
@@ -134,34 +134,29 @@ def omnichannel_duplicates(conversations: DataFrame, hours: int = 72) -> DataFra
         .where(F.size("_channels") > 1)
     )
     rows = rows.join(channels, "identity_key")
-    payload = F.struct(
-        "session_id", "created_at", "channel_origin", "people_id", "visitor_nickname", "visitor_email"
-    ).alias("row")
-    # What a conversation offers to probes of every other channel of its visitor.
-    offers = rows.select(
-        "identity_key",
-        F.explode(F.filter("_channels", lambda c: c != F.col("channel_origin"))).alias("target"),
-        F.col("_block").alias("block"), F.col("_at").alias("at"), F.lit(9).alias("kind"),
-        F.col("session_id").alias("offer"), F.lit(None).cast(
-            "struct<session_id:string,created_at:timestamp_ntz,channel_origin:string,people_id:string,"
-            "visitor_nickname:string,visitor_email:string>").alias("row"),
-    )
+    payload = F.struct("session_id", "created_at", "channel_origin", "people_id", "visitor_nickname", "visitor_email")
+
+    def entry(target: Column, block: Column, at: Column, kind: int, offer: Column, row: Column) -> Column:
+        names = ("target", "block", "at", "kind", "offer", "row")
+        return F.struct(*[c.alias(n) for c, n in zip((target, block, at, F.lit(kind), offer, row), names)])
+
+    # A conversation offers its id to probes of every other channel of its visitor.
+    others = F.filter("_channels", lambda c: c != F.col("channel_origin"))
+    nobody = F.when(F.lit(False), payload)
+    offers = F.transform(others, lambda c: entry(c, F.col("_block"), F.col("_at"), 9, F.col("session_id"), nobody))
     # kind 1: start of the next block, before at + width; 2: end of the previous; 10: own block.
-    probe = F.explode(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), (F.col("_block") + step).alias("block"), (F.col("_at") + step * width).alias("at"))
+    probes = F.array(*[
+        entry(F.col("channel_origin"), F.col("_block") + step, F.col("_at") + step * width, kind, F.lit(None).cast("string"), payload)
         for kind, step in ((1, 1), (2, -1), (10, 0))
-    ])).alias("p")
-    probes = rows.select("identity_key", F.col("channel_origin").alias("target"), probe, payload).select(
-        "identity_key", "target", "p.block", "p.at", "p.kind", F.lit(None).cast("string").alias("offer"), "row"
-    )
+    ])
+    entries = rows.select("identity_key", F.explode(F.concat(offers, probes)).alias("e")).select("identity_key", "e.*")
     part = Window.partitionBy("identity_key", "target", "block")
     # Next and previous are strict, so those probes sort before the offers (kind 9) of the same
     # time; the probe of the own block sorts after them, so that equal times count.
     up = part.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     down = part.orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = (
-        offers.unionByName(probes)
-        .withColumn("_up_max", F.max("offer").over(up)).withColumn("_up_min", F.min("offer").over(up))
+        entries.withColumn("_up_max", F.max("offer").over(up)).withColumn("_up_min", F.min("offer").over(up))
         .withColumn("_down_max", F.max("offer").over(down)).withColumn("_down_min", F.min("offer").over(down))
         .where("kind <> 9")
     )

@@ -192,16 +192,25 @@ def load_batch(batch: DataFrame, target: DataFrame, spec: MergeSpec, order: Sequ
     return upsert(target, first, spec)
 
 
+def only_partitions(target: DataFrame, batch: DataFrame, part: str, limit: int = 10_000) -> DataFrame:
+    """The target's rows in the partitions a batch names.
+
+    Up to ``limit`` partition values become a literal filter, so the scan lists only those
+    folders; beyond that a semi join decides.
+    """
+    values = [r[0] for r in batch.select(part).distinct().limit(limit + 1).collect()]
+    if len(values) > limit:
+        return target.join(batch.select(part).distinct(), part, "left_semi").select(*target.columns)
+    return target.where(F.col(part).isin(values)) if values else target.where(F.lit(False))
+
+
 def merge_into_path(batch: DataFrame, path: str, part: str, spec: MergeSpec) -> None:
     """Merge a batch into a table partitioned by ``part``, touching only its partitions.
 
     The partition column must not change for a key (a creation day, say). Only the
     partitions the batch names are read, merged and replaced; the others stay as they are.
     """
-    spark = batch.sparkSession
-    target = spark.read.schema(batch.schema).parquet(path)
-    touched = batch.select(part).distinct()
-    merged = upsert(target.join(touched, part, "left_semi").select(*target.columns), batch, spec)
+    target = batch.sparkSession.read.schema(batch.schema).parquet(path)
+    merged = upsert(only_partitions(target, batch, part), batch, spec)
     (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
-

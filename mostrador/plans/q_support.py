@@ -9,19 +9,18 @@ from .registry import count_if, js, pct0, query, safe
 
 S0, S1 = "2023-12-01", "2024-02-28"
 IN = f"created_at >= TIMESTAMP '{S0}' AND created_at <= TIMESTAMP '{S1}'"
-IDENTITY = """COALESCE(people_id, CASE WHEN visitor_email IS NOT NULL AND visitor_email <> '' AND visitor_email <> 'user@example.com' THEN concat('email:', visitor_email) END,
-  CASE WHEN visitor_phone IS NOT NULL AND visitor_phone <> '' THEN concat('phone:', visitor_phone) END)"""
+IDENTITY = "COALESCE(people_id, 'email:' || NULLIF(NULLIF(visitor_email, ''), 'user@example.com'), 'phone:' || NULLIF(visitor_phone, ''))"
+IDENT = f"ident AS (SELECT *, {IDENTITY} AS identity_key FROM crisp_conversations WHERE channel_origin IS NOT NULL)"
+NEAR = "a.identity_key = b.identity_key AND a.channel_origin <> b.channel_origin AND abs(datesub('hour', a.created_at, b.created_at)) <= 72"
 PAIRS = f"""SELECT a.identity_key, a.session_id AS session_a, b.session_id AS session_b, a.channel_origin AS channel_a, b.channel_origin AS channel_b,
   a.created_at AS created_at_a, b.created_at AS created_at_b, a.visitor_nickname, a.visitor_email, a.people_id
-FROM ident a JOIN ident b ON a.identity_key = b.identity_key AND a.channel_origin <> b.channel_origin AND a.session_id < b.session_id
-  AND abs(datesub('hour', a.created_at, b.created_at)) <= 72"""
-IDENT = f"ident AS (SELECT *, {IDENTITY} AS identity_key FROM crisp_conversations WHERE channel_origin IS NOT NULL)"
-DUPS = f"""{IDENT}, pairs AS ({PAIRS}), both_sides AS (
- SELECT identity_key, people_id, visitor_nickname, visitor_email, channel_a AS channel, created_at_a AS earliest, created_at_b AS latest, session_a AS session_id, created_at_a AS moment FROM pairs
- UNION ALL SELECT identity_key, people_id, visitor_nickname, visitor_email, channel_b, created_at_a, created_at_b, session_b, created_at_b FROM pairs),
-dups AS (SELECT identity_key, MIN(people_id) AS people_id, MIN(visitor_nickname) AS visitor_nickname, MIN(visitor_email) AS visitor_email,
-  string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels_used, COUNT(DISTINCT channel) AS distinct_channels, MIN(earliest) AS first_contact,
-  MAX(latest) AS last_contact, max_by(session_id, concat(CAST(epoch_us(moment) AS VARCHAR), session_id)) AS latest_session_id FROM both_sides GROUP BY identity_key)"""
+FROM ident a JOIN ident b ON {NEAR} WHERE a.session_id < b.session_id"""
+# Each conversation with a partner nearby: is it the smaller (a) or the greater (b) id of some pair?
+DUPS = f"""{IDENT}, near AS (SELECT a.session_id, bool_or(a.session_id < b.session_id) AS is_a, bool_or(a.session_id > b.session_id) AS is_b FROM ident a JOIN ident b ON {NEAR} GROUP BY 1),
+dups AS (SELECT identity_key, MIN(people_id) FILTER (WHERE is_a) AS people_id, MIN(visitor_nickname) FILTER (WHERE is_a) AS visitor_nickname, MIN(visitor_email) FILTER (WHERE is_a) AS visitor_email,
+  string_agg(DISTINCT channel_origin, ',' ORDER BY channel_origin) AS channels_used, COUNT(DISTINCT channel_origin) AS distinct_channels, MIN(created_at) FILTER (WHERE is_a) AS first_contact,
+  MAX(created_at) FILTER (WHERE is_b) AS last_contact, max_by(session_id, concat(CAST(epoch_us(created_at) AS VARCHAR), session_id)) AS latest_session_id
+ FROM ident JOIN near USING (session_id) GROUP BY identity_key)"""
 
 
 def _flat(df):
@@ -35,12 +34,11 @@ def _(t):
     return support.support_kpis(t.crisp_conversations, S0, S1)
 
 
-SLA = """WITH u AS (SELECT session_id, MIN(created_at) AS first_user_msg_at FROM crisp_messages WHERE sender_type = 'user' GROUP BY 1),
-o AS (SELECT m.session_id, MIN(m.created_at) AS first_operator_msg_at, MAX(m.operator_name) AS operator_name FROM crisp_messages m JOIN u ON m.session_id = u.session_id
-  WHERE m.sender_type = 'operator' AND m.created_at >= u.first_user_msg_at GROUP BY 1),
-sla AS (SELECT c.session_id, c.created_at AS ticket_created_at, c.status, c.rating_value AS csat_score, u.first_user_msg_at, o.first_operator_msg_at, o.operator_name,
-  datesub('minute', u.first_user_msg_at, o.first_operator_msg_at) AS ttfr_minutes
-FROM crisp_conversations c LEFT JOIN u ON c.session_id = u.session_id LEFT JOIN o ON c.session_id = o.session_id)"""
+SLA = """WITH asked AS (SELECT *, MIN(CASE WHEN sender_type = 'user' THEN created_at END) OVER (PARTITION BY session_id) AS first_at FROM crisp_messages),
+replied AS (SELECT session_id, MIN(first_at) AS first_user_msg_at, MIN(created_at) FILTER (WHERE sender_type = 'operator' AND created_at >= first_at) AS first_operator_msg_at,
+  MAX(operator_name) FILTER (WHERE sender_type = 'operator' AND created_at >= first_at) AS operator_name FROM asked GROUP BY 1),
+sla AS (SELECT session_id, c.created_at AS ticket_created_at, status, rating_value AS csat_score, first_user_msg_at, first_operator_msg_at, operator_name,
+  datesub('minute', first_user_msg_at, first_operator_msg_at) AS ttfr_minutes FROM crisp_conversations c LEFT JOIN replied USING (session_id))"""
 
 
 @query("sup_02_reply_sla", f"{SLA} SELECT * FROM sla", ["ticket_created_at", "first_user_msg_at", "first_operator_msg_at"])

@@ -17,6 +17,18 @@ SETTINGS = {
 }
 
 
+def settings_for(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle settings for a job that reads ``input_bytes``: start with enough partitions
+    that each fits in memory, and let adaptive execution merge the small ones."""
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(2 * partition_bytes),
+    }
+
+
 def build_session(app: str = "mostrador", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; ``master`` only for local runs."""
     builder = SparkSession.builder.appName(app)

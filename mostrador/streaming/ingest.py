@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import MergeSpec, insert_missing, merge_into_path
+from ..operators.upsert import MergeSpec, insert_missing, merge_into_path, only_partitions
 from ..sources.tables import by_partition
 
 
@@ -57,8 +57,7 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
         spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
         rows = batch.groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*").persist()
         target = spark.read.schema(schema).parquet(path)
-        days = rows.select(part).distinct()
-        merged = insert_missing(target.join(days, part, "left_semi").select(*schema.fieldNames()), rows, keys)
+        merged = insert_missing(only_partitions(target, rows, part).select(*schema.fieldNames()), rows, keys)
         (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part).parquet(path))
         rows.unpersist()
@@ -74,7 +73,9 @@ def stream_upsert(path: str, part: str, spec: MergeSpec, schema: StructType, ord
         spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
         first = [order, *[c for c in batch.columns if c != order]]
         newest = batch.groupBy(*spec.keys).agg(F.max(F.struct(*first)).alias("r")).select("r.*")
-        merge_into_path(newest.select(*schema.fieldNames()), path, part, spec)
+        rows = newest.select(*schema.fieldNames()).persist()
+        merge_into_path(rows, path, part, spec)
+        rows.unpersist()
 
     return write
 

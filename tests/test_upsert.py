@@ -70,3 +70,13 @@ def test_window_start():
     assert upsert.window_start(now, mark=datetime(2024, 1, 9), overlap=timedelta(hours=24)) == datetime(2024, 1, 8)
     with pytest.raises(ValueError):
         upsert.window_start(now)
+
+
+def test_merge_lists_only_named_folders(spark):
+    path = scratch_path(spark, "pruned")
+    spark.sql("select id, date_add(date'2024-01-01', cast(id as int)) day from range(5)").write.partitionBy("day").parquet(path)
+    target = spark.read.schema("id long, day date").parquet(path)
+    batch = spark.sql("select 9L id, date'2024-01-03' day")
+    pruned = upsert.only_partitions(target, batch, "day")
+    assert "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in pruned.collect()] == [2] and upsert.only_partitions(target, batch, "day", 0).count() == 1
