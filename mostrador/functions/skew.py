@@ -41,10 +41,14 @@ def collect_parts(
     return marked.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(element)).alias(name))
 
 
+# Characters per piece of a long text.
+PIECE = 1024
+
+
 def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: DataFrame, needle: str, anchor: int = 4) -> DataFrame:
     """Every (row id, needle) where the row's text contains the needle, by equi-joins only.
 
-    Each text position offers its first 1..``anchor`` characters; needles are looked up by
+    Each text position offers its first 1 to ``anchor`` characters; needles are looked up by
     theirs. A position that hits an anchor then offers only the lengths needles with that
     anchor have, and the exact substring is joined with the distinct needles. Rows carry the
     text from the position up to the longest needle, never the whole text, and a needle
@@ -60,11 +64,18 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
     # One row of facts about the needles: the longest, and the anchor sizes in use.
     facts = words.agg(F.struct(
         F.max("_len").alias("longest"), F.sort_array(F.collect_set(F.length("_anchor"))).alias("sizes"))).scalar()
+    # Long texts are cut into pieces that overlap by the longest needle, and each piece into
+    # the windows that start at its characters: every character is visited once per window,
+    # however long the text is.
+    def cut(size: Column, step: str) -> Column:
+        return F.concat(F.lit("(?s)(?=(.{1,"), size.cast("string"), F.lit("})).{1," + step + "}"))
+
     at = (
         hay.where(F.length(text) > 0)
         .select(*ids, F.col(text).alias("_text"), facts.alias("_facts"))
-        .select(*ids, "_text", "_facts", F.explode(F.expr("sequence(1, length(_text))")).alias("_pos"))
-        .select(*ids, F.expr("substr(_text, _pos, _facts.longest)").alias("_rest"), F.col("_facts.sizes").alias("_sizes"))
+        .select(*ids, "_facts", F.explode(F.regexp_extract_all("_text", cut(F.col("_facts.longest") + PIECE, str(PIECE)), F.lit(1))).alias("_piece"))
+        .select(*ids, F.col("_facts.sizes").alias("_sizes"),
+                F.explode(F.regexp_extract_all("_piece", cut(F.col("_facts.longest"), "1"), F.lit(1))).alias("_rest"))
         .select(*ids, "_rest", F.explode("_sizes").alias("_size"))
         .where(F.length("_rest") >= F.col("_size"))
         .select(*ids, "_rest", F.expr("substr(_rest, 1, _size)").alias("_anchor"))

@@ -79,6 +79,17 @@ def test_contains_matches_brute_force(spark):
     assert skew.contains_matches(hay, ["i"], "t", words.where("w = 'none'"), "w").count() == 0
 
 
+def test_contains_matches_in_long_texts(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdé😀 \n") for _ in range(n)) for n in (1023, 1024, 1025, 5000, 40_000)]
+    needles = list({t[i:i + rnd.randrange(1, 60)] for t in texts for i in (0, 1000, 1020, 1023, 1024, len(t) - 30)} | {"zz", "😀" * 9})
+    needles = [n for n in needles if n]
+    hay = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    words = spark.createDataFrame([(n,) for n in needles], "w string")
+    got = {(r.i, r.needle) for r in skew.contains_matches(hay, ["i"], "t", words, "w").collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in needles if n in t}
+
+
 def test_launch_matching_brute_force(spark):
     rnd = random.Random(9)
     words = ["sony", "son", "lg", "galaxy", "s", "tv 4k", "tv", "sonyx", ""]
