@@ -44,13 +44,20 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def email_trend(metrics: DataFrame, d0, d1) -> DataFrame:
-    """Revenue, opens and clicks per day; days with none of them show zeros."""
+    """Revenue, opens and clicks per day; days with none of them show zeros. Like the period
+    figures, a row belongs to the range by its day."""
+    lo, hi = bounds(d0, d1)
+    rows = in_range(metrics, "date", d0, d1).where(_midnight().between(ts_literal(lo), ts_literal(hi)))
     return (
-        in_range(metrics, "date", d0, d1).groupBy(day("date").alias("date"))
+        rows.groupBy(day("date").alias("date"))
         .agg(*_measures()).select("date", "revenue", "opens", "clicks")
     )
 
 
+def _midnight():
+    return day("date").cast("timestamp_ntz")
+
+
 def previous_range(d0, d1):
     """The range shifted back by its duration plus one millisecond."""
     lo, hi = bounds(d0, d1)
@@ -65,7 +72,7 @@ def email_periods(metrics: DataFrame, d0, d1) -> DataFrame:
     """
     p0, p1 = previous_range(d0, d1)
     lo, hi = bounds(d0, d1)
-    at = day("date").cast("timestamp_ntz")
+    at = _midnight()
     period = F.when(at.between(ts_literal(lo), ts_literal(hi)), F.lit("current")).when(
         at.between(ts_literal(p0), ts_literal(p1)), F.lit("previous")
     )
@@ -149,7 +156,7 @@ def review_summary(reviews: DataFrame) -> DataFrame:
             F.avg(F.when(published, F.col("score"))).alias("average_rating"),
             *[count_where(published & (F.col("score") == s)).alias(f"stars_{s}") for s in (5, 4, 3, 2, 1)],
         )
-        .withColumn("average_rating", F.coalesce(js_round("average_rating", 1), F.lit(0.0)))
+        .withColumn("average_rating", F.coalesce("average_rating", F.lit(0.0)))
         .withColumn("sentiment_score", js_round(pct0(F.col("stars_5") + F.col("stars_4"), "published_reviews")))
     )
 

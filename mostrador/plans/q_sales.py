@@ -291,7 +291,7 @@ UNION ALL SELECT 'traffic', 'avg_conversion_rate', {pct0('ord.n', 'sessions')} F
 UNION ALL SELECT 'email', 'total_orders', CAST(n AS DOUBLE) FROM em UNION ALL SELECT 'email', 'total_revenue', v FROM em
 UNION ALL SELECT 'support', 'total_conversations', CAST(n AS DOUBLE) FROM su UNION ALL SELECT 'support', 'resolved_conversations', CAST(r AS DOUBLE) FROM su
 UNION ALL SELECT 'support', 'avg_csat', c FROM su UNION ALL SELECT 'support', 'resolution_rate', {pct0('r', 'n')} FROM su
-UNION ALL SELECT 'reviews', 'total_reviews', CAST(n AS DOUBLE) FROM rv UNION ALL SELECT 'reviews', 'average_rating', {js('a', 1)} FROM rv
+UNION ALL SELECT 'reviews', 'total_reviews', CAST(n AS DOUBLE) FROM rv UNION ALL SELECT 'reviews', 'average_rating', a FROM rv
 UNION ALL SELECT 'reviews', 'sentiment_score', {js(pct0('g', 'p'))} FROM rv""")
 def _(t):
     return overview.overview_metrics(t.shopify_orders, t.shopify_traffic_daily, t.klaviyo_metrics, t.crisp_conversations,

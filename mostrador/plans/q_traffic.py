@@ -323,7 +323,7 @@ def _(t):
 STARS = ", ".join(count_if(f"status = 'published' AND score = {s}") + f" AS stars_{s}" for s in (5, 4, 3, 2, 1))
 REVIEWS = f"""SELECT *, {js(pct0('stars_5 + stars_4', 'published_reviews'))} AS sentiment_score FROM (
 SELECT COUNT(review_id) AS total_reviews, {count_if("status = 'published'")} AS published_reviews, {count_if("status = 'pending'")} AS pending_reviews,
-  {js("AVG(CASE WHEN status = 'published' THEN score END)", 1)} AS average_rating, {STARS} FROM raw_yotpo_reviews) r"""
+  COALESCE(AVG(CASE WHEN status = 'published' THEN score END), 0e0) AS average_rating, {STARS} FROM raw_yotpo_reviews) r"""
 
 
 @query("rev_01_review_summary", REVIEWS)

@@ -86,7 +86,7 @@ def stamp_snapshot(df: DataFrame, synced_at) -> DataFrame:
 
 def append_snapshot(df: DataFrame, path: str, date_col: str, synced_at) -> None:
     """Add a snapshot; earlier ones stay. One folder per ``date_col``."""
-    stamp_snapshot(df, synced_at).write.mode("append").partitionBy(date_col).parquet(path)
+    by_partition(stamp_snapshot(df, synced_at), date_col).write.mode("append").partitionBy(date_col).parquet(path)
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
@@ -120,7 +120,8 @@ def by_partition(df: DataFrame, part: str) -> DataFrame:
 
 def write_layout(df: DataFrame, path: str, part: str, cluster: Sequence[str]) -> None:
     """Date folders, rows sorted by the cluster columns so row groups can be skipped."""
-    by_partition(df, part).sortWithinPartitions(part, *cluster).write.mode("overwrite").partitionBy(part).parquet(path)
+    ordered = by_partition(df, part).sortWithinPartitions(part, *cluster)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(part).parquet(path)
 
 
 def retain(df: DataFrame, date_col: str, days: int, as_of: date) -> DataFrame:
