@@ -38,7 +38,8 @@ def collect_parts(
             F.pmod(F.xxhash64(spread), F.coalesce(F.col("_parts"), F.lit(1)))
         ),
     )
-    return marked.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(element)).alias(name))
+    # Spread by part as well: rows clustered by the keys alone would stay in one task.
+    return marked.repartition(*keys, "part").groupBy(*keys, "part").agg(F.sort_array(F.collect_list(element)).alias(name))
 
 
 # Characters per piece of a long text.
@@ -87,4 +88,6 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
         .where(F.length("_rest") >= F.col("_len"))
         .select(*ids, F.expr("substr(_rest, 1, _len)").alias("needle"))
     )
-    return hits.join(words.select("needle"), "needle", "left_semi").select(*ids, "needle").distinct()
+    # Spread by row id before the distinct, so that a needle many rows contain is not one task.
+    kept = hits.join(words.select("needle"), "needle", "left_semi").select(*ids, "needle")
+    return kept.repartition(*ids, "needle").distinct()

@@ -77,8 +77,11 @@ def out_of_order(df: DataFrame, source: str, seq: str, value: str, chunk: int =
     are compared between the last row of a chunk and the first of the next one, so a source
     of any length is spread over tasks.
     """
-    rows = df.select(F.col(source).alias("source"), F.col(seq).alias("seq"), F.col(value).alias("value")).withColumn(
-        "chunk", F.floor(F.col("seq") / chunk))
+    rows = (
+        df.select(F.col(source).alias("source"), F.col(seq).alias("seq"), F.col(value).alias("value"))
+        .withColumn("chunk", F.floor(F.col("seq") / chunk))
+        .repartition("source", "chunk")
+    )
     w = Window.partitionBy("source", "chunk").orderBy("seq")
     inside = (
         rows.withColumn("_prev", F.lag("value").over(w)).groupBy("source", "chunk")

@@ -149,7 +149,12 @@ def omnichannel_duplicates(conversations: DataFrame, hours: int = 72) -> DataFra
         entry(F.col("channel_origin"), F.col("_block") + step, F.col("_at") + step * width, kind, F.lit(None).cast("string"), payload)
         for kind, step in ((1, 1), (2, -1), (10, 0))
     ])
-    entries = rows.select("identity_key", F.explode(F.concat(offers, probes)).alias("e")).select("identity_key", "e.*")
+    # The rows arrive clustered by visitor; without this shuffle by block the windows would
+    # accept that and keep a hot visitor in one task.
+    entries = (
+        rows.select("identity_key", F.explode(F.concat(offers, probes)).alias("e")).select("identity_key", "e.*")
+        .repartition("identity_key", "target", "block")
+    )
     part = Window.partitionBy("identity_key", "target", "block")
     # Next and previous are strict, so those probes sort before the offers (kind 9) of the same
     # time; the probe of the own block sorts after them, so that equal times count.

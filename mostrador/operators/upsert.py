@@ -101,7 +101,7 @@ def scd2_apply(assign: DataFrame, changes: DataFrame, chunk: int = 100_000) -> D
     employee with very many changes is spread over tasks.
     """
     names = assign.columns
-    numbered = changes.withColumn("_chunk", F.floor(F.col("seq") / chunk))
+    numbered = changes.withColumn("_chunk", F.floor(F.col("seq") / chunk)).repartition("employee_code", "_chunk")
     later = Window.partitionBy("employee_code", "_chunk").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     starts = F.when(F.col("is_primary"), F.col("valid_from"))
     inside = numbered.withColumn("_inside", F.last(starts, ignorenulls=True).over(later))

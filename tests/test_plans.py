@@ -44,6 +44,16 @@ def test_hot_keys_are_cut_before_the_shuffle(spark, key):
     assert re.search(r"WindowGroupLimit[^\n]*Partial", text) and "Exchange" in text[first:]
 
 
+# A shuffle by the hot key alone would satisfy these groupings and keep the key in one task.
+@pytest.mark.parametrize("key, columns", [
+    ("sup_08_omnichannel_duplicates", "identity_key, target, block"), ("win_05_out_of_order", "source, chunk"),
+    ("ups_07_scd2", "employee_code, _chunk"), ("sal_10_open_orders", "id, .*part"), ("mkt_16_keyword_groups", "keyword, part"),
+    ("jn_16_attribute_staff", "event, unit, needle"), ("jn_04_duplicate_pairs", "identity_key, _bucket")])
+def test_hot_keys_are_spread(no_broadcast, key, columns):
+    text = re.sub(r"#\d+L?", "", plan(no_broadcast, key))
+    assert re.search(rf"Exchange hashpartitioning\({columns}, \d+\)", text)
+
+
 def test_scan_reads_only_what_it_needs(spark):
     text = plan(spark, "sal_02_sales_trend")
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", text)
