@@ -177,11 +177,10 @@ def omnichannel_duplicates(conversations: DataFrame, hours: int = 72) -> DataFra
         F.min(F.when(is_a, F.col("row.visitor_nickname"))).alias("visitor_nickname"),
         F.min(F.when(is_a, F.col("row.visitor_email"))).alias("visitor_email"),
         F.sort_array(F.collect_set("row.channel_origin")).alias("channels_used"),
-        F.count_distinct("row.channel_origin").alias("distinct_channels"),
         F.min(F.when(is_a, start)).alias("first_contact"),
         F.max(F.when(is_b, start)).alias("last_contact"),
         F.max(F.struct("row.created_at", "row.session_id"))["session_id"].alias("latest_session_id"),
-    )
+    ).withColumn("distinct_channels", F.size("channels_used").cast("bigint"))
 
 
 def _within(dups: DataFrame, d0, d1) -> DataFrame:
