@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .sides import small
 from .words import columns, emit, emit_arrays, shingles, signed
 
 # The shingles that count as common are at most this many, so that they can be sent to every task.
 COMMON = 1 << 18
 # A shingle is not common below so many documents.
 RARE = 64
-# Rows of ids up to which a side is sent to every task; beyond, both sides are shuffled.
-SENT = 500_000
 
 
 def least_overlap(m, n, percent):
@@ -48,10 +47,6 @@ def order_key(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~is_common], tokens[is_common]])
 
 
-def _small(df: DataFrame, limit: int = SENT) -> DataFrame:
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, m, a, b, key): size and 128-bit hash of each document's set, and its least shingle."""
     schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
@@ -72,7 +67,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (x, y) those whose sets are similar enough; the pairs are a stored table."""
     needed = cut_lineage(docs.sparkSession, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "verified")
-    texts = docs.join(_small(needed), "doc_id", "left_semi")
+    texts = docs.join(small(needed), "doc_id", "left_semi")
     one = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
     both = one.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y")), "y")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -170,7 +165,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     group = cut_lineage(spark, member.groupBy("grp").agg(F.count("*").alias("size"), F.min("m_least").alias("m_least"), F.max("m_most").alias("m_most")), "groups")
 
     # The matrix: shingles that lead the sets of at least two documents.
-    reps = docs.join(_small(member.select(F.col("rep").alias("doc_id"), "grp")), "doc_id")
+    reps = docs.join(small(member.select(F.col("rep").alias("doc_id"), "grp")), "doc_id")
     total = classes.agg(F.coalesce(F.sum(F.col("m") - F.ceil(F.col("m") * percent / 100) + 1), F.lit(0))).first()[0]
     leading = _leading(reps, width, percent, _common(_leading(reps, width, percent).select("token"), int(total)))
     alike = Window.partitionBy("token").orderBy("doc_id")

@@ -150,7 +150,7 @@ def test_substring_real_table(spark):
 
 def brute_contamination(docs, items, window=13):
     def ws(t):
-        return re.findall(decontaminate.WORD, "".join(c.lower() if c < "\x80" else c for c in t or ""))
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
     owners = defaultdict(set)
     for i, t in items:
         w = ws(t)
