@@ -2,7 +2,7 @@
 
 Of every six neighbouring 8-word hashes the least is kept as a fingerprint, in documents and items alike. Any 13 words
 that both share hold a common fingerprint, because they hold six 8-word runs. Documents whose fingerprints meet an
-item's are read again, and each hit is extended to the 13-word windows around it, which are then compared as text.
+item's are read again to place the hits, and each is extended to the 13-word windows around it, which are compared as text.
 Items shorter than a window are one window; their length's runs are all kept, which is winnowing with a step of one.
 
 Words are runs of digits, ASCII letters (A-Z folded) and characters beyond ASCII. Null and empty texts have none: such
@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .sides import small
 
 WINDOW = 13
 GRAM = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# Rows of the benchmark's side up to which it is sent to every task; beyond, both sides are shuffled.
-SENT = 100_000
+# What lies between words, once A-Z are folded, and before.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def let(value: Column, body) -> Column:
@@ -33,11 +33,11 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP_ANY_CASE), "")).cast("long")
 
 
 def runs(items: Column, width: int, each) -> Column:
@@ -46,45 +46,56 @@ def runs(items: Column, width: int, each) -> Column:
                        lambda i: each(F.slice(items, i + 1, width), i))
 
 
-def entry(start: Column, length, h: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), F.lit(length).cast("int").alias("length"), h.alias("h"))
+def grams(items: Column, gram: int) -> Column:
+    return let(F.transform(items, lambda w: F.xxhash64(w)), lambda hs: runs(hs, gram, lambda part, _: F.xxhash64(part)))
+
+
+def minima(values: Column, width: int) -> Column:
+    """Least of each value and its followers, ``width`` in all, by doubling; at the end of those there are."""
+    def shifted(have: int, by: int):
+        return lambda xs: reach(F.transform(xs, lambda x, i: F.least(x, F.get(xs, i + by))), have + by)
+
+    def reach(xs: Column, have: int) -> Column:
+        return xs if have == width else let(xs, shifted(have, min(have, width - have)))
+
+    return reach(values, 1)
 
 
 def fingerprints(items: Column, window: int, gram: int) -> Column:
-    """(start, window, hash) of the 8-word runs that are least among the runs of some window."""
-    step = window - gram + 1
+    """(window, hash) of the 8-word runs that are least among the runs of some window."""
+    marks = F.transform(F.array_distinct(minima(grams(items, gram), window - gram + 1)), lambda h: mark(F.lit(window), h))
+    return F.when(F.size(items) >= window, marks).otherwise(F.array().cast("array<struct<length:int,h:bigint>>"))
 
-    def chosen(grams: Column) -> Column:
-        return let(runs(grams, step, lambda part, _: F.array_min(part)), lambda least: F.filter(
-            F.transform(grams, lambda h, i: F.when(
-                F.array_contains(F.slice(least, F.greatest(i - (step - 2), F.lit(1)), F.least(i + 1, F.lit(step))), h),
-                entry(i, window, h))), lambda x: x.isNotNull()))
 
-    hashed = let(F.transform(items, lambda w: F.xxhash64(w)), lambda hs: runs(hs, gram, lambda part, _: F.xxhash64(part)))
-    return F.when(F.size(items) >= window, let(hashed, chosen)).otherwise(F.array().cast("array<struct<start:int,length:int,h:bigint>>"))
+def mark(length: Column, h: Column) -> Column:
+    return F.struct(length.cast("int").alias("length"), h.alias("h"))
 
 
 def short_runs(items: Column, width: int) -> Column:
     """All runs of a short item's length, hashed with that length."""
-    return runs(items, width, lambda part, i: entry(i, width, F.xxhash64(F.lit(width), part)))
+    return runs(items, width, lambda part, _: mark(F.lit(width), F.xxhash64(F.lit(width), part)))
+
+
+def places(items: Column, window: int, gram: int, lengths: list[int]) -> Column:
+    """(start, length, hash) of every run that may be a fingerprint."""
+    def placed(marks: Column) -> Column:
+        return F.transform(marks, lambda m, i: F.struct(i.alias("start"), m["length"].alias("length"), m["h"].alias("h")))
+
+    return F.concat(placed(F.transform(grams(items, gram), lambda h: mark(F.lit(window), h))), *(placed(short_runs(items, n)) for n in lengths))
 
 
 def candidate_windows(items: Column, hits: Column, window: int, gram: int) -> Column:
     """(start, length, text) of the windows that hold a hit."""
     def near(h: Column) -> Column:
         reach = F.sequence(F.greatest(h["start"] - (window - gram), F.lit(0)), F.least(h["start"], F.size(items) - window))
-        return F.when(h["length"] == window, F.transform(reach, lambda s: F.struct(s.alias("start"), h["length"].alias("length")))).otherwise(
-            F.array(F.struct(h["start"].alias("start"), h["length"].alias("length"))))
+        return F.when((h["length"] == window) & (F.size(items) >= window), F.transform(reach, lambda s: F.struct(s.alias("start"), h["length"].alias("length")))).otherwise(
+            F.when(h["length"] < window, F.array(F.struct(h["start"].alias("start"), h["length"].alias("length")))).otherwise(
+                F.array().cast("array<struct<start:int,length:int>>")))
 
     return F.transform(F.array_distinct(F.flatten(F.transform(hits, near))), lambda s: F.struct(
         s["start"].alias("start"), s["length"].alias("length"), F.array_join(F.slice(items, s["start"] + 1, s["length"]), " ").alias("window")))
 
 
-def small(df: DataFrame, limit: int = SENT) -> DataFrame:
-    """Marked for sending to every task if it was counted to be within the limit; ``df`` is a stored table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def benchmark_windows(items: DataFrame, window: int, gram: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
     """Stored tables of item windows: fingerprints, (window, group), (group, items), and the short lengths in use."""
     spark = items.sparkSession
@@ -95,7 +106,7 @@ def benchmark_windows(items: DataFrame, window: int, gram: int, id_column: str,
              .withColumn("group", F.sha2(F.to_json("items"), 256)))
     owned = cut_lineage(spark, owned, "benchmark-windows")
     prints = ws.select(F.explode(F.when(size >= window, fingerprints(F.col("ws"), window, gram)).otherwise(
-        F.array(entry(F.lit(0), size, F.xxhash64(size, F.col("ws")))))).alias("p")).select(F.col("p.h").alias("h"), F.col("p.length").alias("length")).distinct()
+        F.array(mark(size, F.xxhash64(size, F.col("ws")))))).alias("p")).select(F.col("p.h").alias("h"), F.col("p.length").alias("length")).distinct()
     prints = cut_lineage(spark, prints, "benchmark-fingerprints")
     lengths = sorted(r["length"] for r in prints.filter(F.col("length") < window).select("length").distinct().collect())
     return prints, owned.select("window", "group"), owned.select("group", "items").dropDuplicates(["group"]), lengths
@@ -103,7 +114,8 @@ def benchmark_windows(items: DataFrame, window: int, gram: int, id_column: str,
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id",
                   text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside an occurring window), items (sorted ids as text)."""
+    """One row per document: doc_id, version (hash of its text), n_words, n_hit (words inside an occurring window), items
+    (sorted ids as text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
     prints, owned, groups, lengths = benchmark_windows(items, window, gram, item_id, item_text)
@@ -115,9 +127,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     def marks(ws: Column) -> Column:
         return F.concat(fingerprints(ws, window, gram), *(short_runs(ws, n) for n in lengths))
 
+    sent = small(prints)
     found = (docs.select("doc_id", "version", F.explode(let(words(F.col("text")), marks)).alias("p"))
-             .select("doc_id", "version", "p.start", "p.length", "p.h").join(small(prints), ["h", "length"], "left_semi"))
-    hits = cut_lineage(spark, found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "length")).alias("hits")), "fingerprint-hits")
+             .select("doc_id", "version", "p.length", "p.h").join(sent, ["h", "length"], "left_semi"))
+    met = cut_lineage(spark, found.groupBy("doc_id", "version").agg(F.count("*").alias("n")), "documents-met")
+    placed = (docs.join(renamed(small(met)), same, "left_semi")
+              .select("doc_id", "version", F.explode(let(words(F.col("text")), lambda ws: places(ws, window, gram, lengths))).alias("p"))
+              .select("doc_id", "version", "p.start", "p.length", "p.h").join(sent, ["h", "length"], "left_semi"))
+    hits = cut_lineage(spark, placed.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "length")).alias("hits")), "fingerprint-hits")
     windows = (docs.join(renamed(small(hits)), same).select("doc_id", "version", F.explode(let(
         words(F.col("text")), lambda ws: candidate_windows(ws, F.col("hits"), window, gram))).alias("w"))
         .select("doc_id", "version", "w.start", "w.length", "w.window"))
@@ -132,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     counted = small(cut_lineage(spark, counted, "contaminated"))
     sized = docs.select("doc_id", "version", n_words(F.col("text")).alias("n_words"))
     return sized.join(renamed(counted), same, "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "version", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
