@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .sides import small
 from .words import columns, emit, emit_arrays, rolling, signed, sliding_min, split_words, word_hashes
 
 # Documents of one window in one task, before its rows are dealt over several.
@@ -72,7 +73,7 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     half = cut_lineage(docs.sparkSession, docs.mapInArrow(halves, "h long, doc_id long"), "half-windows")
     shared = (half.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
               .filter("least < most").select("h", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
-    candidates = half.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "salts")).alias("found"))
+    candidates = cut_lineage(docs.sparkSession, half.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "salts")).alias("found")), "candidates")
 
     def extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("salt", pa.int32())])
@@ -93,7 +94,9 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
 
         yield from emit_arrays(parts(), schema)
 
-    windows = docs.join(candidates, "doc_id").select("doc_id", "text", "found").mapInArrow(extended, "h long, doc_id long, salt int")
+    # Only texts that hold a candidate move.
+    held = docs.join(small(candidates.select("doc_id")), "doc_id", "left_semi")
+    windows = held.join(candidates, "doc_id").select("doc_id", "text", "found").mapInArrow(extended, "h long, doc_id long, salt int")
     # The first document of each window; a window that many documents hold is dealt over salts, whose firsts meet again.
     one = Window.partitionBy("h", "salt").orderBy("doc_id")
     ranked = windows.withColumn("first", F.first("doc_id").over(one))
@@ -116,9 +119,10 @@ def covered(h: np.ndarray, marked: np.ndarray, window: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its remaining words, joined by one space)."""
     docs = _prepared(docs, id_column, text_column)
-    ids = cut_lineage(docs.sparkSession, _copies(docs), "copies")
-    distinct = docs.join(ids.filter("NOT copy"), "doc_id", "left_semi")
-    marks = find_repeats(distinct, window)
+    spark = docs.sparkSession
+    copies = small(cut_lineage(spark, _copies(docs).filter("copy").select("doc_id"), "copies"))
+    marks = cut_lineage(spark, find_repeats(docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti"), window), "marks")
+    marked = small(marks.select("doc_id"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,5 +142,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id",
 
         yield from emit(rows(), schema, 1000)
 
-    notes = ids.filter("copy").withColumn("windows", F.lit(None).cast("array<long>")).unionByName(marks.withColumn("copy", F.lit(False)).select("doc_id", "copy", "windows"))
-    return docs.join(notes, "doc_id", "left").select("doc_id", "text", "copy", "windows").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    none = F.lit(None).cast("array<long>")
+    whole = docs.join(copies, "doc_id", "left_semi").select("doc_id", "text", F.lit(True).alias("copy"), none.alias("windows"))
+    parts = docs.join(marked, "doc_id", "left_semi").join(marks, "doc_id").select("doc_id", "text", F.lit(False).alias("copy"), "windows")
+    rest = docs.join(copies, "doc_id", "left_anti").join(marked, "doc_id", "left_anti").select("doc_id", "text", F.lit(False).alias("copy"), none.alias("windows"))
+    return whole.unionByName(parts).unionByName(rest).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
