@@ -155,9 +155,9 @@ def parse_fenced_json(c: str | Column, schema: str) -> Column:
     return F.coalesce(parsed, F.array().cast(f"array<struct<{schema}>>"))
 
 
-def html_body(c: str | Column, limit: int | None = 15000) -> Column:
-    """Inside <body> without scripts and styles, else the page; then the first
-    ``limit`` characters of that result (``None`` keeps all)."""
+def html_body(c: str | Column, limit: int | None = None) -> Column:
+    """Inside <body> without scripts and styles, else the page; with ``limit`` only the
+    first so many characters of that result."""
     pattern = r"(?is)<body[^>]*>(.*?)</body>"
     body = F.regexp_extract(col(c), pattern, 1)
     for tag in ("script", "style"):

@@ -97,7 +97,7 @@ def traffic_with_orders(traffic: DataFrame, orders: DataFrame, d0, d1, statuses:
     """
     days = traffic.where(F.col("date").between(F.lit(str(d0)[:10]).cast("date"), F.lit(str(d1)[:10]).cast("date")))
     per_day = (
-        orders.where(sold("financial_status", statuses))
+        in_range(orders, "created_at", d0, d1).where(sold("financial_status", statuses))
         .groupBy(day("created_at").alias("date"))
         .agg(F.count("id").alias("orders"))
     )
@@ -163,15 +163,17 @@ def product_pages(gsc: DataFrame, products: DataFrame, product_id: int) -> DataF
     return gsc.where(F.col("page").contains(F.concat(F.lit("/products/"), handle)))
 
 
-def product_pages_all(gsc: DataFrame, products: DataFrame, longest: int = 255) -> DataFrame:
+def product_pages_all(gsc: DataFrame, products: DataFrame) -> DataFrame:
     """The same match for every product: each distinct address offers the prefixes after
-    /products/, and handles meet them in an equi-join. Handles have at most 255 characters."""
+    /products/ of the lengths that handles have, and handles meet them in an equi-join."""
+    lengths = products.where(F.length("handle") > 0).agg(F.sort_array(F.collect_set(F.length("handle")))).scalar()
     tails = (
         gsc.select("page").where(F.col("page").contains("/products/")).distinct()
         .select("page", F.explode(F.regexp_extract_all("page", F.lit(r"(?s)(?=/products/(.+))"), F.lit(1))).alias("tail"))
     )
-    prefixes = tails.select(
-        "page", F.explode(F.expr(f"transform(sequence(1, least(length(tail), {longest})), i -> left(tail, i))")).alias("handle")
+    prefixes = tails.withColumn("lengths", lengths).select(
+        "page", F.explode(F.transform(
+            F.filter("lengths", lambda n: n <= F.length("tail")), lambda n: F.substring(F.col("tail"), 1, n))).alias("handle")
     )
     return prefixes.join(products.select(F.col("id").alias("product_id"), "handle"), "handle").distinct()
 

@@ -77,10 +77,10 @@ def market_dimension(metrics: DataFrame, k: int = 200) -> DataFrame:
     )
 
 
-def market_totals(dimension: DataFrame) -> DataFrame:
-    """Rounded totals over the listed products only."""
+def market_totals(metrics: DataFrame) -> DataFrame:
+    """Rounded totals over all products with a market."""
     names = ("market_size_avg", "market_size_last", "market_share_avg", "market_share_last")
-    return dimension.agg(
+    return metrics.where("market_size_avg > 0").agg(
         *[js_round(F.coalesce(money_sum(c), F.lit(0.0))).alias(f"total_{c}") for c in names],
         F.count(F.lit(1)).alias("product_count"),
     )
@@ -107,8 +107,9 @@ def price_gap_live(df: DataFrame, ours: str = "our_price", theirs: str = "compet
     )
 
 
-def first_listings(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 20) -> DataFrame:
-    return skew.top_per_key(df, keys, order, k).drop("rn")
+def first_listings(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = None) -> DataFrame:
+    """All listings, or with ``k`` the first so many per key."""
+    return df if k is None else skew.top_per_key(df, keys, order, k).drop("rn")
 
 
 def price_summary(live: DataFrame, keys: Sequence[str], ours: str = "our_price", theirs: str = "competitor_price") -> DataFrame:

@@ -165,8 +165,8 @@ def event_profile(raw: DataFrame) -> DataFrame:
 
 
 def event_sample(raw: DataFrame, n: int = 20, seed: int = 7) -> DataFrame:
-    """A random sample of human events."""
-    return raw.where("attributeToUser").orderBy(F.rand(seed)).limit(n).select("id", "createdAt", "action", "message")
+    """A random sample of human events, the same for a seed however the rows are dealt out."""
+    return raw.where("attributeToUser").orderBy(F.md5(F.concat("id", F.lit(str(seed)))), "id").limit(n).select("id", "createdAt", "action", "message")
 
 
 def assignments(assign: DataFrame, staff_code: str | None = None, include_expired: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import skew
 from ..functions.dates import ts_literal
@@ -163,14 +164,14 @@ def unsynced(conversations: DataFrame) -> DataFrame:
 MIN_TEXT = 3
 
 
-def pending_sentiment(messages: DataFrame, k: int | None = 1000) -> DataFrame:
-    """User texts without a score, oldest first; ``k`` is the size of one run."""
+def pending_sentiment(messages: DataFrame, k: int | None = None) -> DataFrame:
+    """User texts without a score; with ``k`` the so many oldest, as one run."""
     rows = messages.where(
         (F.col("sender_type") == "user") & F.col("sentiment_score").isNull() & (F.length("content") > MIN_TEXT))
     return rows if k is None else rows.orderBy("created_at", "message_id").limit(k)
 
 
-def enrich_pending(messages: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int | None = 1000) -> DataFrame:
+def enrich_pending(messages: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int | None = None) -> DataFrame:
     """Score pending texts and merge the scores back where there are none."""
     scored = scorer(pending_sentiment(messages, k)).where(F.col("sentiment_score").isNotNull())
     spec = MergeSpec(keys=("message_id",), clauses=message_clauses())
@@ -193,15 +194,28 @@ def load_batch(batch: DataFrame, target: DataFrame, spec: MergeSpec, order: Sequ
 
 
 def only_partitions(target: DataFrame, batch: DataFrame, part: str, limit: int = 10_000) -> DataFrame:
-    """The target's rows in the partitions a batch names.
+    """The target's rows in the partitions a batch names, the null partition included.
 
-    Up to ``limit`` partition values become a literal filter, so the scan lists only those
-    folders; beyond that a semi join decides.
+    Up to ``limit`` partition values become a literal filter, so that the scan lists only
+    those folders; beyond that a semi join gives the same rows.
     """
-    values = [r[0] for r in batch.select(part).distinct().limit(limit + 1).collect()]
+    named = batch.select(F.col(part).alias("_named")).distinct()
+    values = [r[0] for r in named.limit(limit + 1).collect()]
     if len(values) > limit:
-        return target.join(batch.select(part).distinct(), part, "left_semi").select(*target.columns)
-    return target.where(F.col(part).isin(values)) if values else target.where(F.lit(False))
+        return target.join(named, F.col(part).eqNullSafe(F.col("_named")), "left_semi")
+    known = F.col(part).isin([v for v in values if v is not None])
+    return target.where(F.coalesce(known, F.lit(False)) | F.col(part).isNull() if None in values else known)
+
+
+def read_target(spark, path: str, part: str, like: StructType) -> DataFrame:
+    """A partitioned table with all columns any of its files has, and those of ``like``; the
+    partition column keeps the type it has there."""
+    known = spark.read.schema(like).parquet(path)
+    if known.isEmpty():
+        return known
+    own = spark.read.option("mergeSchema", "true").parquet(path).schema
+    fields = [f for f in own if f.name not in like.names] + list(like)
+    return spark.read.schema(StructType(fields)).parquet(path).select([f.name for f in own] + [n for n in like.names if n not in own.names])
 
 
 def merge_into_path(batch: DataFrame, path: str, part: str, spec: MergeSpec) -> None:
@@ -209,8 +223,9 @@ def merge_into_path(batch: DataFrame, path: str, part: str, spec: MergeSpec) ->
 
     The partition column must not change for a key (a creation day, say). Only the
     partitions the batch names are read, merged and replaced; the others stay as they are.
+    Columns that the batch lacks keep their values.
     """
-    target = batch.sparkSession.read.schema(batch.schema).parquet(path)
+    target = read_target(batch.sparkSession, path, part, batch.schema)
     merged = upsert(only_partitions(target, batch, part), batch, spec)
     (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))

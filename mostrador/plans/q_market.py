@@ -113,9 +113,9 @@ def _(t):
 
 @query("mkt_04_totals", "SELECT " + ", ".join(
     f"{js(money(c))} AS total_{c}" for c in ("market_size_avg", "market_size_last", "market_share_avg", "market_share_last"))
-    + f", COUNT(*) AS product_count FROM ({DIMENSION}) d")
+    + f", COUNT(*) AS product_count FROM ({SIZE}) s WHERE market_size_avg > 0")
 def _(t):
-    return mkt.market_totals(mkt.market_dimension(sized(t)))
+    return mkt.market_totals(sized(t))
 
 
 @query("mkt_05_price_gap", f"""
@@ -130,7 +130,7 @@ def _(t):
 BOTH = "our_price > 0 AND competitor_price > 0"
 LIVE = f"""SELECT product_id, competitor_name, our_price, competitor_price, CASE WHEN our_price > 0 THEN competitor_price - our_price END AS diff_amount,
   CASE WHEN {BOTH} THEN {js('(competitor_price - our_price) / our_price * 100', 1)} END AS diff_pct, CASE WHEN {BOTH} THEN our_price <= competitor_price END AS is_competitive_live
-FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY synced_at DESC, competitor_name, competitor_price) AS rn FROM competitor_prices) c WHERE rn <= 20"""
+FROM competitor_prices"""
 
 
 def live(t):

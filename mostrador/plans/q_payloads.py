@@ -133,7 +133,7 @@ KEYWORD = "concat('kw ', CAST(product_id AS VARCHAR)) AS keyword"
 # The comma is not a digit or dot, so '$12,50' reads as 1250.
 @query("nrm_15_listings", f"""
 WITH {LISTED} SELECT {KEYWORD}, product_id, i + 1 AS rank, concat('Offer of ', source) AS competitor_title, (competitor_price + i) * 100 + 50 AS competitor_price, source AS competitor_name, has_stock
-FROM listed WHERE i < 5 AND source <> ''""")
+FROM listed WHERE source <> ''""")
 def _(t):
     return pl.flatten_listings(pl.parse(landed.listings(t), "payload", "listings")).drop("competitor_url", "thumbnail_url")
 
@@ -189,8 +189,8 @@ def _(t):
 
 
 @query("nrm_22_html_body", r"""
-SELECT page_id, substr(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN
-  regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') ELSE html END, 1, 15000) AS content FROM pages""")
+SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN
+  regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') ELSE html END AS content FROM pages""")
 def _(t):
     return t.base("pages").select("page_id", tx.html_body("html").alias("content"))
 

@@ -149,8 +149,7 @@ def _(t):
 
 
 @query("flt_15_pending_sentiment", """
-SELECT message_id, content FROM crisp_messages WHERE sender_type = 'user' AND sentiment_score IS NULL AND content IS NOT NULL AND length(content) > 3
-ORDER BY created_at, message_id LIMIT 1000""")
+SELECT message_id, content FROM crisp_messages WHERE sender_type = 'user' AND sentiment_score IS NULL AND content IS NOT NULL AND length(content) > 3""")
 def _(t):
     return upsert.pending_sentiment(t.crisp_messages).select("message_id", "content")
 

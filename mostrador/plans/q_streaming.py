@@ -16,13 +16,13 @@ MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string"
 
 
-def landed_files(t, files: int = 6):
+def landed_files(t):
     """Events as landed line-delimited JSON, in several files, each line also once more in a
     later file (the overlap of two reads)."""
     path = scratch_path(t.spark, "landed")
     e = t.base("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     for copy in range(2):
-        e.repartitionByRange(files, "ts").write.mode("append").options(**MICROS).json(path)
+        e.repartitionByRange("ts").write.mode("append").options(**MICROS).json(path)
     return path
 
 
@@ -38,7 +38,7 @@ def _(t):
 SELECT split_part(split_part(id, '?', 1), '/', 5) AS audit_id, action, date_trunc('second', created_at) AS occurred_at FROM audit_raw WHERE to_user""", ["occurred_at"])
 def _(t):
     path, out = scratch_path(t.spark, "audit"), scratch_path(t.spark, "audit-out")
-    landed.audit(t).select(F.col("payload").alias("value")).repartition(4).write.text(path)
+    landed.audit(t).select(F.col("payload").alias("value")).write.text(path)
     lines = t.spark.readStream.schema("value string").format("text").load(path)
     flat = flatten_audit(parse(lines, "value", "audit"))
     ingest.run_available(flat, scratch_path(t.spark, "checkpoint"), ingest.append_to(out))
@@ -78,7 +78,7 @@ def _counts(t, width, keys):
     out = scratch_path(t.spark, "counts")
     source = t.base("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     path = scratch_path(t.spark, "landed")
-    source.repartitionByRange(6, "ts").write.options(**MICROS).json(path)
+    source.repartitionByRange("ts").write.options(**MICROS).json(path)
     counted = ingest.stream_counts(ingest.stream_files(t.spark, path, schemas.struct(EVENT), files_per_batch=2), "ts", width, keys, "40 days")
     ingest.run_available(counted, scratch_path(t.spark, "checkpoint"), ingest.append_to(out), "update")
     return ingest.current_counts(ingest.read_batches(t.spark, out, counted.schema), ["window_start", *keys])
@@ -103,8 +103,8 @@ def _(t):
 
     def land(rows):
         rows.write.mode("append").options(**MICROS).json(path)
-        stream = days(ingest.stream_files(t.spark, path, schemas.struct(EVENT)))
-        ingest.run_available(stream, checkpoint, ingest.rewrite_window(out, "day"))
+        stream = days(ingest.stream_files(t.spark, path, schemas.struct(EVENT), files_per_batch=1))
+        ingest.rewrite_window(stream, out, "day", scratch_path(t.spark, "landing"), checkpoint)
 
     land(e)
     land(e.where("ts >= '2024-01-28'").withColumn("user_id", F.col("user_id") + 1000))

@@ -146,7 +146,8 @@ def _(t):
     return team.event_profile(raw_events(t))
 
 
-@query("tea_09_event_sample")
+@query("tea_09_event_sample", """
+SELECT id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS "createdAt", action, message FROM audit_raw WHERE to_user ORDER BY md5(concat(id, '7')), id LIMIT 20""")
 def _(t):
     return team.event_sample(raw_events(t))
 

@@ -130,9 +130,11 @@ def flatten_conversations(raw: DataFrame) -> DataFrame:
 
 def flatten_messages(raw: DataFrame) -> DataFrame:
     """Text messages. Content that is an object arrives as its JSON text, because the
-    declared column is a string; a missing fingerprint gets a random id."""
+    declared column is a string; a missing fingerprint becomes a hash of the message, the
+    same whenever it is read."""
+    own = F.sha2(F.to_json(F.struct("session_id", "timestamp", "from", "content")), 256)
     return raw.where(F.col("type") == "text").select(
-        F.coalesce(not_empty("fingerprint"), F.uuid()).alias("message_id"),
+        F.coalesce(not_empty("fingerprint"), own).alias("message_id"),
         "session_id",
         millis_time("timestamp").alias("created_at"),
         F.col("from").alias("sender_type"),
@@ -280,8 +282,9 @@ def flatten_trend_alt(raw: DataFrame) -> DataFrame:
 OUT_OF_STOCK = ("agotado", "out of stock", "sin stock", "no disponible")
 
 
-def flatten_listings(raw: DataFrame, k: int = 5) -> DataFrame:
-    """First ``k`` listings by rank, then those with a price and a store."""
+def flatten_listings(raw: DataFrame, k: int | None = None) -> DataFrame:
+    """Listings by rank (with ``k`` the first so many), then those with a price and a store."""
+    results = F.col("shopping_results") if k is None else F.slice("shopping_results", 1, k)
     item = F.col("item")
     tags = F.lower(F.concat_ws(" ", item["tag"], item["badge"], item["second_hand_condition"]))
     gone = F.lit(False)
@@ -291,7 +294,7 @@ def flatten_listings(raw: DataFrame, k: int = 5) -> DataFrame:
         F.coalesce(item["extracted_price"], F.lit(0.0))
     )
     return (
-        raw.select("keyword", "product_id", F.posexplode(F.slice("shopping_results", 1, k)).alias("pos", "item"))
+        raw.select("keyword", "product_id", F.posexplode(results).alias("pos", "item"))
         .select(
             "keyword", "product_id",
             (F.col("pos") + 1).cast("bigint").alias("rank"),

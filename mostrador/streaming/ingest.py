@@ -7,12 +7,13 @@ are idempotent, so a batch repeated after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import MergeSpec, insert_missing, merge_into_path, only_partitions
+from ..operators.upsert import MergeSpec, insert_missing, merge_into_path, only_partitions, read_target
 from ..sources.tables import by_partition
 
 
@@ -56,8 +57,8 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
         spark = batch.sparkSession
         spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
         rows = batch.groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*").persist()
-        target = spark.read.schema(schema).parquet(path)
-        merged = insert_missing(only_partitions(target, rows, part).select(*schema.fieldNames()), rows, keys)
+        target = read_target(spark, path, part, schema)
+        merged = insert_missing(only_partitions(target, rows, part), rows, keys)
         (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part).parquet(path))
         rows.unpersist()
@@ -66,7 +67,12 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
 
 
 def stream_upsert(path: str, part: str, spec: MergeSpec, schema: StructType, order: str) -> Callable[[DataFrame, int], None]:
-    """Merge sink: the newest row per key (by ``order``) of a batch enters the table."""
+    """Merge sink: the newest row per key (by ``order``) of a batch enters the table, unless
+    the table's own is newer."""
+    current = F.coalesce(F.col(f"s.{order}") >= F.col(f"t.{order}"), F.col(f"t.{order}").isNull())
+    taken = tuple(c for c in schema.names if c not in spec.keys) if spec.update_cols is None else spec.update_cols
+    clauses = spec.clauses or ((F.lit(True), taken),)
+    spec = replace(spec, clauses=tuple((current & cond, cols) for cond, cols in clauses))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -98,11 +104,16 @@ def current_counts(batches: DataFrame, keys: Sequence[str], value: str = "events
     return batches.groupBy(*keys).agg(F.max(value).alias(value))
 
 
-def rewrite_window(path: str, part: str) -> Callable[[DataFrame, int], None]:
-    """Sink that replaces the date partitions a batch carries whole (late-window rewrite)."""
+def rewrite_window(stream: DataFrame, path: str, part: str, landing: str, checkpoint: str) -> None:
+    """Replace the date partitions that the available files name (late-window rewrite), each
+    once and with everything landed for it, in however many batches it came.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (by_partition(batch, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part).parquet(path))
-
-    return write
+    The batches are landed under ``landing``, a folder of this run; a run that failed is
+    repeated with the same one.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{landing}/batch=none")
+    run_available(stream, checkpoint, append_to(landing))
+    rows = read_batches(spark, landing, stream.schema)
+    (by_partition(rows, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(path))

@@ -84,7 +84,7 @@ def test_notes_and_fences(spark):
 
 def test_html_body(spark):
     pages = ["<p>x", "<BODY a=1>k<script>\n1</script><STYLE>s</style>m</body>t", "<body></body>rest", "y" * 20000]
-    got = evaluate(spark, tx.html_body, pages)
+    got = evaluate(spark, lambda c: tx.html_body(c, 15000), pages)
     assert got == ["<p>x", "km", "", "y" * 15000]
     assert evaluate(spark, lambda c: tx.html_body(c, None), pages)[3] == pages[3]
 
@@ -112,7 +112,7 @@ def test_object_content_becomes_text(spark):
                                  ('{"session_id":"s","fingerprint":"3","type":"file","from":"user","timestamp":1000,"content":"x"}',)], "payload string")
     rows = pl.flatten_messages(pl.parse(raw, "payload", "message")).orderBy("created_at").collect()
     assert [(r.content, r.operator_name) for r in rows] == [('{"a":[1]}', None), ("hi", "Eva")]
-    assert rows[0].message_id == "1" and len(rows[1].message_id) == 36
+    assert rows[0].message_id == "1" and len(rows[1].message_id) == 64
 
 
 def test_listing_rules(spark):
@@ -121,7 +121,7 @@ def test_listing_rules(spark):
         '{"source":"","price":"5"},{"source":"D","price":"gratis"},{"source":"Mi Tienda","price":"$1.299,50"},{"source":"F","price":"1"}],'
         '"ads_results":[{"source":"Z"},{"source":"MI TIENDA cl"}]}',)], "payload string")
     parsed = pl.parse(raw, "payload", "listings")
-    rows = [(r.rank, r.competitor_name, r.competitor_price, r.has_stock) for r in pl.flatten_listings(parsed).orderBy("rank").collect()]
+    rows = [(r.rank, r.competitor_name, r.competitor_price, r.has_stock) for r in pl.flatten_listings(parsed, 5).orderBy("rank").collect()]
     assert rows == [(1, "A", 10.5, False), (2, "B", 7.0, True), (5, "Mi Tienda", 1.2995, True)]
     spot = pl.shelf_position(parsed, "mi tienda").first()
     assert (spot.organic_position, spot.paid_position, spot.top_competitor_name, spot.top_competitor_price) == (5, 2, "A", 105.0)

@@ -5,11 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from mostrador import plans
 
 FOLDER = "/root/testdata/sf0.001"
 # These write files or run streams when they are built; their plans are plain scans.
 WRITERS = ("src_", "str_")
-KEYS = sorted(k for k in entry.queries() if not k.startswith(WRITERS))
+KEYS = sorted(k for k in plans.queries() if not k.startswith(WRITERS))
 
 
 def plan(spark, key):
