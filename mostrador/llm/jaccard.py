@@ -1,7 +1,7 @@
 """Exact Jaccard join on word shingles by a token-group matrix.
 
-Equal shingle sets become one. Documents that share their least shingle form a group around its smallest id, if they are
-verified to link with it; others stand alone. A group is stored as the union of its members' leading shingles (rarest
+Equal shingle sets become one. Documents that share a least shingle, under one of several hashes, are compared with one
+among them, drawn by each hash anew; those connected by verified links form a group, others stand alone. A group is stored as the union of its members' leading shingles (rarest
 kinds first, as many as a partner cannot miss all of). A document meets those groups whose union holds one of its own
 leading shingles; from the number of shared ones follows a bound on the overlap with any member, and only groups within
 the bound are opened: first their leader, then, if that does not link and the two are not yet connected, their members.
@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sides import small
-from .words import columns, emit, emit_arrays, shingles, signed
+from .words import columns, emit, emit_arrays, mix, shingles, signed
 
 # The shingles that count as common are at most this many, so that they can be sent to every task.
 COMMON = 1 << 18
+# Hashes under which documents of the same least shingle are compared.
+HASHES = 3
+# So many times a set's leading shingles are counted to find the common ones, since others move up in their place.
+COUNTED = 2
 # A shingle is not common below so many documents.
 RARE = 64
 
@@ -48,8 +52,9 @@ def order_key(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, m, a, b, key): size and 128-bit hash of each document's set, and its least shingle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+    """(doc_id, m, a, b, keys): size and 128-bit hash of each document's set, and its least values under several hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    seeds = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, HASHES + 1)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -57,11 +62,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 t = shingles(text, width)
                 raw = xxhash.xxh3_128_intdigest(t.tobytes())
                 a, b = np.array([raw >> 64, raw & (1 << 64) - 1], np.uint64).view(np.int64)
-                yield doc_id, len(t), int(a), int(b), int(signed(t[:1])[0]) if len(t) else None
+                yield doc_id, len(t), int(a), int(b), [int(signed(mix(t ^ seed).min(keepdims=True))[0]) for seed in seeds] if len(t) else None
 
         yield from emit(rows(), schema)
 
-    return docs.mapInArrow(run, "doc_id long, m long, a long, b long, key long")
+    return docs.mapInArrow(run, "doc_id long, m long, a long, b long, keys array<long>")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -107,8 +112,9 @@ def components(edges: DataFrame, names: tuple[str, str] = ("x", "y")) -> DataFra
             return state
 
 
-def _leading(sets: DataFrame, width: int, percent: int, common=None) -> DataFrame:
-    """(token, doc_id, grp): the leading shingles of each set; ``common`` is a sent array of sorted common shingles."""
+def _leading(sets: DataFrame, width: int, percent: int, common=None, times: int = 1) -> DataFrame:
+    """(token, doc_id, grp): the leading shingles of each set, or so many times as many; ``common`` is a sent array of
+    sorted common shingles."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("grp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def _leading(sets: DataFrame, width: int, percent: int, common=None) -> DataFram
         def parts():
             for doc_id, grp, text in columns(batches):
                 t = order_key(shingles(text, width), held)
-                t = t[: prefix_size(len(t), percent)]
+                t = t[: times * prefix_size(len(t), percent)]
                 yield signed(t), np.full(len(t), doc_id, np.int64), np.full(len(t), grp, np.int64)
 
         yield from emit_arrays(parts(), schema)
@@ -152,33 +158,35 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
     sets = cut_lineage(spark, _sets(docs, width), "sets")
     known = sets.filter("doc_id IS NOT NULL")
-    classes = known.filter("m > 0").groupBy("m", "a", "b").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
+    classes = known.filter("m > 0").groupBy("m", "a", "b").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     classes = cut_lineage(spark, classes, "classes")
-    nodes = cut_lineage(spark, classes.groupBy("rep").agg(F.min("key").alias("key"), F.min("m").alias("m_least"), F.max("m").alias("m_most")), "nodes")
-
-    # Groups around the smallest id with the same least shingle.
-    leaders = nodes.groupBy("key").agg(F.min("rep").alias("leader"))
-    pairs = nodes.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y"))
-    stars = cut_lineage(spark, _linked(docs, cut_lineage(spark, pairs, "star-pairs"), width, percent), "stars")
-    member = cut_lineage(spark, nodes.join(stars.groupBy(F.col("x").alias("rep")).agg(F.min("y").alias("leader")), "rep", "left")
+    nodes = cut_lineage(spark, classes.groupBy("rep").agg(F.min("keys").alias("keys"), F.min("m").alias("m_least"), F.max("m").alias("m_most")), "nodes")
+
+    # Groups: what verified links with one document of the same least shingle connect; every hash draws its own.
+    keyed = nodes.select("rep", F.posexplode("keys").alias("hash", "key"))
+    leaders = keyed.groupBy("hash", "key").agg(F.min(F.struct(F.xxhash64("hash", "rep").alias("lot"), "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    pairs = keyed.join(leaders, ["hash", "key"]).filter("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct()
+    stars = components(_linked(docs, cut_lineage(spark, pairs, "star-pairs"), width, percent))
+    member = cut_lineage(spark, nodes.join(stars.withColumnsRenamed({"node": "rep", "root": "leader"}), "rep", "left")
                          .select("rep", F.coalesce("leader", "rep").alias("grp"), "m_least", "m_most"), "members")
     group = cut_lineage(spark, member.groupBy("grp").agg(F.count("*").alias("size"), F.min("m_least").alias("m_least"), F.max("m_most").alias("m_most")), "groups")
 
-    # The matrix: shingles that lead the sets of at least two documents.
+    # The matrix: shingles that lead sets of at least two groups.
     reps = docs.join(small(member.select(F.col("rep").alias("doc_id"), "grp")), "doc_id")
     total = classes.agg(F.coalesce(F.sum(F.col("m") - F.ceil(F.col("m") * percent / 100) + 1), F.lit(0))).first()[0]
-    leading = _leading(reps, width, percent, _common(_leading(reps, width, percent).select("token"), int(total)))
-    alike = Window.partitionBy("token").orderBy("doc_id")
-    rows = (leading.withColumn("a", F.lag("doc_id").over(alike)).withColumn("b", F.lead("doc_id").over(alike))
-            .filter("a IS NOT NULL AND a < doc_id OR a IS NULL AND b IS NOT NULL").select("token", "doc_id", "grp"))
+    leading = _leading(reps, width, percent, _common(_leading(reps, width, percent, times=COUNTED).select("token"), COUNTED * int(total)))
+    alike = Window.partitionBy("token")
+    rows = (leading.withColumn("a", F.min("grp").over(alike)).withColumn("b", F.max("grp").over(alike))
+            .filter("a < b").select("token", "doc_id", "grp"))
     rows = cut_lineage(spark, rows, "matrix-rows")
-    matrix = rows.select("token", "grp").distinct()
+    sized = small(cut_lineage(spark, member.join(group.select("grp", "size"), "grp").select(F.col("rep").alias("doc_id"), "size", F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1")), "sizes"))
+    sizes = small(group.select(F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("m_least").alias("g_least"), F.col("m_most").alias("g_most")))
+    asking = rows.join(sized.select("doc_id", "size"), "doc_id")
+    matrix = rows.select(F.col("token").alias("held"), F.col("grp").alias("g")).distinct().join(sizes.select("g", "g_size"), "g")
 
     # Which groups a document's bound lets open; of two groups the smaller one's documents ask.
-    sizes = group.select(F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("m_least").alias("g_least"), F.col("m_most").alias("g_most"))
-    met = (rows.join(matrix.withColumnRenamed("grp", "g"), "token").filter("g <> grp").groupBy("doc_id", "grp", "g").agg(F.count("*").alias("shared"))
-           .join(sizes, "g").join(group.select("grp", "size"), "grp").filter("size < g_size OR size = g_size AND grp < g")
-           .join(member.select(F.col("rep").alias("doc_id"), F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1")), "doc_id"))
+    met = (asking.join(matrix, (F.col("token") == F.col("held")) & ((F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))))
+           .groupBy("doc_id", "grp", "g").agg(F.count("*").alias("shared")).join(sizes, "g").join(sized, "doc_id"))
     # A document with several versions spans sizes; it is then let through unbounded.
     bound = _bounded("shared", "m_0", "g_least", "g_most", percent)
     opened = cut_lineage(spark, met.filter(f"m_0 <> m_1 OR ({bound})").select("doc_id", "grp", "g", "g_size"), "opened")
