@@ -16,18 +16,23 @@ HELD = 300_000
 PIECE = 1 << 20
 
 
+def letter_pieces(text: str | None) -> Iterator[list[str]]:
+    """Lower-case runs of letters of a whole text, a piece at a time; no run is cut."""
+    at = 0
+    while text and at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            cut = LETTERS.match(text, end)
+            end = cut.end() if cut else end
+        yield LETTERS.findall(text[at:end].lower())
+        at = end
+
+
 def letter_words(text: str | None) -> Counter:
     """Lower-case runs of letters of a whole text and how often they occur."""
     found: Counter = Counter()
-    if text:
-        at = 0
-        while at < len(text):
-            end = at + PIECE
-            if end < len(text):
-                cut = LETTERS.match(text, end)
-                end = cut.end() if cut else end
-            found.update(LETTERS.findall(text[at:end].lower()))
-            at = end
+    for words in letter_pieces(text):
+        found.update(words)
     return found
 
 

@@ -11,86 +11,139 @@ language teach nothing. An empty table gives no rows; other columns are not read
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import letter_words, summed
-from .words import columns, emit
+from .counting import letter_pieces
+from .words import columns, emit, emit_arrays
 
-LONGEST = 3
 PLACES = 300
-_GRAMS: dict[str, list[str]] = {}
+# An n-gram as a number whose order is that of the code points: 21 bits a character, the first highest.
+BITS, SPACE = np.uint64(21), np.uint64(32)
+LAST, FIRST = np.uint64((1 << 21) - 1), np.uint64(42)
+# Distinct n-grams that a learning task holds before it hands on what it has.
+HELD = 2_000_000
 
+Counts = tuple[np.ndarray, np.ndarray]
+NONE: Counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-def word_grams(word: str) -> list[str]:
-    """1- to 3-grams of a padded word; those of usual words are kept."""
-    found = _GRAMS.get(word)
-    if found is None:
-        padded = f" {word} "
-        found = [g for n in range(1, LONGEST + 1) for g in (padded[a: a + n] for a in range(len(padded) - n + 1)) if g != " "]
-        if len(_GRAMS) < 200_000 and len(word) < 40:
-            _GRAMS[word] = found
-    return found
 
+def added(parts: list[Counts]) -> Counts:
+    """One sorted list of codes with the sums of their counts."""
+    if len(parts) < 2:
+        return parts[0] if parts else NONE
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    total = np.zeros(len(codes), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in parts]))
+    return codes, total
 
-def gram_counts(words: Counter) -> Counter:
-    counts: Counter = Counter()
-    for word, n in words.items():
-        for g in word_grams(word):
-            counts[g] += n
-    return counts
 
+def by_prefix(codes: np.ndarray, counts: np.ndarray, shift: np.uint64) -> Counts:
+    """Counts of the codes without their last ``shift`` bits."""
+    cut = codes >> shift
+    first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
+    return cut[first] << shift, np.add.reduceat(counts, first)
 
-def ranked(counts: Counter, places: int) -> list[str]:
-    """The most frequent n-grams; equally frequent ones by code point."""
-    if len(counts) > 2 * places:
-        least = sorted(counts.values(), reverse=True)[places - 1]
-        counts = {g: n for g, n in counts.items() if n >= least}
-    return sorted(counts, key=lambda g: (-counts[g], g))[:places]
+
+def gram_counts(text: str | None) -> Counts:
+    """1- to 3-grams of the space-padded lower-case words of a whole text, a piece of a very long one at a time."""
+    longest: list[Counts] = []
+    for words in letter_pieces(text):
+        if words:
+            at = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+            third = np.append(at[2:], np.uint64(0))
+            third[at[1:] == SPACE] = 0  # a word's last character and the space after it start nothing longer
+            codes, counts = np.unique((at[:-1] << FIRST) | (at[1:] << BITS) | third, return_counts=True)
+            longest.append((codes, counts))
+    codes, counts = added(longest)
+    if not len(codes):
+        return NONE
+    two, n_two = by_prefix(codes, counts, BITS)
+    one, n_one = by_prefix(two, n_two, FIRST)
+    letter, three = one != SPACE << FIRST, (codes & LAST) != 0
+    return np.concatenate([one[letter], two, codes[three]]), np.concatenate([n_one[letter], n_two, counts[three]])
+
+
+def ranked(counts: Counts, places: int) -> np.ndarray:
+    """Codes of the most frequent n-grams; equally frequent ones by code point."""
+    codes, n = counts
+    if len(codes) > 2 * places:
+        often = n >= np.partition(n, len(n) - places)[len(n) - places]
+        codes, n = codes[often], n[often]
+    return codes[np.lexsort((codes, -n))][:places]
+
+
+def to_code(gram: str) -> int:
+    return sum(ord(c) << (42 - 21 * k) for k, c in enumerate(gram))
+
+
+def to_gram(code: int) -> str:
+    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
 
 
 def learn_profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", places: int = PLACES) -> dict[str, dict[str, int]]:
     """{language: {n-gram: place}} from all rows given; as large as languages times ``places``."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Words are gathered per language for a while, since each one's n-grams need counting once then.
+        # Counts are gathered per language, and added up whenever as many again have come.
         def parts():
-            words: dict[str, Counter] = {}
+            held: dict[str, list[Counts]] = {}
+            have, most = 0, HELD
             for text, lang in columns(batches):
-                words.setdefault(lang, Counter()).update(letter_words(text))
-                if sum(map(len, words.values())) > 200_000:
-                    yield from grams(words)
-                    words.clear()
-            yield from grams(words)
-
-        def grams(words):
-            for lang, found in words.items():
-                yield (((lang, g), n) for g, n in gram_counts(found).items())
-
-        yield from summed(parts(), schema)
+                found = gram_counts(text)
+                held.setdefault(lang, []).append(found)
+                have += len(found[0])
+                if have > most:
+                    held = {k: [added(v)] for k, v in held.items()}
+                    have = sum(len(v[0][0]) for v in held.values())
+                    if have > HELD // 2:
+                        yield from rows(held)
+                        held, have = {}, 0
+                    most = have + HELD
+            yield from rows(held)
+
+        def rows(held):
+            for lang, found in held.items():
+                codes, n = added(found)
+                yield np.full(len(codes), lang, object), codes.view(np.int64), n
+
+        yield from emit_arrays(parts(), schema)
 
     texts = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    counts = (texts.filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(run, "lang string, gram string, n long")
+    counts = (texts.filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(run, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, dict[str, int]] = {}
     for r in counts.withColumn("place", place).filter(F.col("place") <= places).collect():
-        profiles.setdefault(r["lang"], {})[r["gram"]] = r["place"] - 1
+        profiles.setdefault(r["lang"], {})[to_gram(r["gram"])] = r["place"] - 1
     return profiles
 
 
-def nearest(words: Counter, profiles: dict[str, dict[str, int]], places: int) -> tuple[str, float]:
-    """The language and how clearly it is nearer than the next: its rival's share of both distances."""
-    own = ranked(gram_counts(words), places)
-    far = sorted((sum(abs(profile.get(g, places + k) - k) for k, g in enumerate(own)), lang) for lang, profile in profiles.items())
-    best, lang = far[0]
-    rival = far[1][0] if len(far) > 1 else places * len(own)
-    return lang, rival / (best + rival) if best + rival else 1.0
+class Profiles:
+    """The places of all profiles' n-grams, one row a language; those that a profile lacks are marked."""
+
+    def __init__(self, profiles: dict[str, dict[str, int]], places: int):
+        self.names, self.places = sorted(profiles), places
+        self.codes = np.array(sorted({to_code(g) for p in profiles.values() for g in p}), np.uint64)
+        self.at = np.full((len(self.names), len(self.codes) + 1), -1, np.int64)
+        for row, name in zip(self.at, self.names):
+            row[np.searchsorted(self.codes, np.array([to_code(g) for g in profiles[name]], np.uint64))] = list(profiles[name].values())
+
+    def nearest(self, counts: Counts) -> tuple[str, float]:
+        """The language and how clearly it is nearer than the next: its rival's share of both distances."""
+        own = ranked(counts, self.places)
+        at = np.searchsorted(self.codes, own)
+        known = np.append(self.codes, np.uint64(0))[at] == own
+        place = self.at[:, np.where(known, at, len(self.codes))]
+        far = np.where(place < 0, self.places, np.abs(place - np.arange(len(own)))).sum(axis=1)
+        best, *others = sorted(zip(far.tolist(), self.names))
+        rival = others[0][0] if others else self.places * len(own)
+        return best[1], rival / (best[0] + rival) if best[0] + rival else 1.0
 
 
 def predict_language(docs: DataFrame, profiles: dict[str, dict[str, int]], id_column: str = "doc_id", text_column: str = "text",
@@ -100,10 +153,12 @@ def predict_language(docs: DataFrame, profiles: dict[str, dict[str, int]], id_co
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(sent.value, places)
+
         def rows():
             for doc_id, text in columns(batches):
-                words = letter_words(text)
-                yield (doc_id, *nearest(words, sent.value, places)) if words and sent.value else (doc_id, "und", 0.0)
+                counts = gram_counts(text)
+                yield (doc_id, *known.nearest(counts)) if len(counts[0]) and known.names else (doc_id, "und", 0.0)
 
         yield from emit(rows(), schema)
 
