@@ -13,6 +13,8 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ from ..session import cut_lineage
 
 BLOCK = 16384
 QUERIES = 4096
+# Queries whose windows are looked up at once.
+SLICE = 256
 PROJECTIONS = 64
 # Share of the projections in whose windows a vector must lie to be verified.
 THRESHOLD = 0.6
@@ -50,32 +54,49 @@ class Block:
         turned = np.concatenate([np.linalg.qr(rnd.standard_normal((x.shape[1] + 1, x.shape[1] + 1)))[0] for _ in range(sets)], axis=1)
         self.directions = turned[:, :PROJECTIONS]
         at = x @ self.directions[:-1] + np.sqrt(np.maximum(self.top - norms, 0))[:, None] * self.directions[-1]
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.sort(at, axis=0).T.copy()
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.values = np.take_along_axis(at.T, order, axis=1)
+        # The place of each vector in each sorted array: it collides where that lies in a query's window.
+        self.places = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
         self.first = FIRST * float(np.median(at.std(axis=0))) or 1.0
 
-    def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the nearest found, nearest first."""
+    def windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First places and sizes of the windows around the queries' projections in the sorted arrays; one row a query."""
+        low = np.stack([np.searchsorted(v, a - width) for v, a in zip(self.values, at.T)], axis=1)
+        high = np.stack([np.searchsorted(v, a + width, "right") for v, a in zip(self.values, at.T)], axis=1)
+        return low.astype(self.places.dtype), (high - low).astype(self.places.dtype)
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of the nearest found of each query, nearest first."""
         n = len(self.ids)
         enough = min(n, max(TIMES * k, int(VERIFIED * n)) + 1)
         need = max(1, int(THRESHOLD * PROJECTIONS))
-        # Only the direction of a query matters, so it is put among vectors of the block's norm.
-        at = (q * np.sqrt(self.top / float(q @ q))) @ self.directions[:-1]
-        low = high = [int(np.searchsorted(v, a)) for v, a in zip(self.values, at)]
-        counts, covered, width = np.zeros(n, np.int64), 0, self.first
-        while covered < n * PROJECTIONS:
-            wider_low = [int(np.searchsorted(v, a - width)) for v, a in zip(self.values, at)]
-            wider_high = [int(np.searchsorted(v, a + width, "right")) for v, a in zip(self.values, at)]
-            fresh = np.concatenate([o[a:b] for o, a, b in zip(self.order, wider_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high)])
-            counts += np.bincount(fresh, minlength=n)
-            covered += len(fresh)
-            low, high = wider_low, wider_high
-            if np.count_nonzero(counts >= need) >= enough:
-                break
-            width *= RATIO
-        chosen = np.flatnonzero(counts >= need)
+        for first in range(0, len(query_ids), SLICE):
+            ids, q = query_ids[first: first + SLICE], queries[first: first + SLICE]
+            # Only the direction of a query matters, so it is put among vectors of the block's norm.
+            at = (q * np.sqrt(self.top / np.einsum("ij,ij->i", q, q))[:, None]) @ self.directions[:-1]
+            unmet, width = np.arange(len(ids)), self.first
+            chosen: dict[int, np.ndarray] = {}
+            while len(unmet):
+                for i, low, size in zip(unmet.tolist(), *self.windows(at[unmet], width)):
+                    # Below a window's first place the difference wraps round, and so exceeds any size.
+                    counts = ((self.places - low[:, None]) < size[:, None]).sum(axis=0, dtype=np.uint16)
+                    met = np.flatnonzero(counts >= need)
+                    if len(met) >= enough or size.sum(dtype=np.int64) >= n * PROJECTIONS:
+                        chosen[i] = met
+                unmet, width = np.array([i for i in unmet.tolist() if i not in chosen], int), width * RATIO
+            for i, query_id in enumerate(ids.tolist()):
+                yield query_id, *self.verified(chosen[i], query_id, q[i], k)
+
+    def verified(self, chosen: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact inner products of the best of the chosen vectors."""
         chosen = chosen[self.ids[chosen] != query_id]
-        scores = self.x[chosen] @ q
+        # Row by row, so that equal vectors score equally to the last bit wherever they lie.
+        scores = np.einsum("ij,j->i", self.x[chosen], q)
+        if len(chosen) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            chosen, scores = chosen[near], scores[near]
         best = np.lexsort((self.ids[chosen], -scores))[:k]
         return self.ids[chosen][best], scores[best]
 
@@ -103,7 +124,7 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 20, id_column
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if held.num_rows and wanted.num_rows:
             block = Block(held.column("vec_id").to_numpy(), _vectors(held))
-            found = [(i, *block.nearest(i, q, k)) for i, q in zip(wanted.column("vec_id").to_pylist(), _vectors(wanted))]
+            found = list(block.nearest(wanted.column("vec_id").to_numpy(), _vectors(wanted), k))
         return pa.table({
             "query_id": pa.array(np.concatenate([np.full(len(v), i, np.int64) for i, v, _ in found] or [np.zeros(0, np.int64)])),
             "vec_id": pa.array(np.concatenate([v for _, v, _ in found] or [np.zeros(0, np.int64)])),
