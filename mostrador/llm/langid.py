@@ -18,54 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import letter_pieces
+from .counting import Counts, gathered, gram_counts, to_code, to_gram
 from .words import columns, emit, emit_arrays
 
 PLACES = 300
-# An n-gram as a number whose order is that of the code points: 21 bits a character, the first highest.
-BITS, SPACE = np.uint64(21), np.uint64(32)
-LAST, FIRST = np.uint64((1 << 21) - 1), np.uint64(42)
-# Distinct n-grams that a learning task holds before it hands on what it has.
-HELD = 2_000_000
-
-Counts = tuple[np.ndarray, np.ndarray]
-NONE: Counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def added(parts: list[Counts]) -> Counts:
-    """One sorted list of codes with the sums of their counts."""
-    if len(parts) < 2:
-        return parts[0] if parts else NONE
-    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    total = np.zeros(len(codes), np.int64)
-    np.add.at(total, at, np.concatenate([n for _, n in parts]))
-    return codes, total
-
-
-def by_prefix(codes: np.ndarray, counts: np.ndarray, shift: np.uint64) -> Counts:
-    """Counts of the codes without their last ``shift`` bits."""
-    cut = codes >> shift
-    first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
-    return cut[first] << shift, np.add.reduceat(counts, first)
-
-
-def gram_counts(text: str | None) -> Counts:
-    """1- to 3-grams of the space-padded lower-case words of a whole text, a piece of a very long one at a time."""
-    longest: list[Counts] = []
-    for words in letter_pieces(text):
-        if words:
-            at = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
-            third = np.append(at[2:], np.uint64(0))
-            third[at[1:] == SPACE] = 0  # a word's last character and the space after it start nothing longer
-            codes, counts = np.unique((at[:-1] << FIRST) | (at[1:] << BITS) | third, return_counts=True)
-            longest.append((codes, counts))
-    codes, counts = added(longest)
-    if not len(codes):
-        return NONE
-    two, n_two = by_prefix(codes, counts, BITS)
-    one, n_one = by_prefix(two, n_two, FIRST)
-    letter, three = one != SPACE << FIRST, (codes & LAST) != 0
-    return np.concatenate([one[letter], two, codes[three]]), np.concatenate([n_one[letter], n_two, counts[three]])
 
 
 def ranked(counts: Counts, places: int) -> np.ndarray:
@@ -77,42 +33,13 @@ def ranked(counts: Counts, places: int) -> np.ndarray:
     return codes[np.lexsort((codes, -n))][:places]
 
 
-def to_code(gram: str) -> int:
-    return sum(ord(c) << (42 - 21 * k) for k, c in enumerate(gram))
-
-
-def to_gram(code: int) -> str:
-    return "".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
-
-
 def learn_profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", places: int = PLACES) -> dict[str, dict[str, int]]:
     """{language: {n-gram: place}} from all rows given; as large as languages times ``places``."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Counts are gathered per language, and added up whenever as many again have come.
-        def parts():
-            held: dict[str, list[Counts]] = {}
-            have, most = 0, HELD
-            for text, lang in columns(batches):
-                found = gram_counts(text)
-                held.setdefault(lang, []).append(found)
-                have += len(found[0])
-                if have > most:
-                    held = {k: [added(v)] for k, v in held.items()}
-                    have = sum(len(v[0][0]) for v in held.values())
-                    if have > HELD // 2:
-                        yield from rows(held)
-                        held, have = {}, 0
-                    most = have + HELD
-            yield from rows(held)
-
-        def rows(held):
-            for lang, found in held.items():
-                codes, n = added(found)
-                yield np.full(len(codes), lang, object), codes.view(np.int64), n
-
-        yield from emit_arrays(parts(), schema)
+        parts = ((np.full(len(codes), lang, object), codes.view(np.int64), n) for lang, codes, n in gathered((lang, text) for text, lang in columns(batches)))
+        yield from emit_arrays(parts, schema)
 
     texts = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     counts = (texts.filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(run, "lang string, gram long, n long")

@@ -21,15 +21,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sides import small
-from .counting import letter_words, summed
-from .words import columns, emit, shingles, signed
+from .counting import gathered, letter_pieces, summed, to_gram
+from .words import columns, emit, emit_arrays, shingles, signed
 
 GRAMS = 200_000
 LEXICON = 20_000
@@ -106,16 +108,23 @@ class Speller:
         return found
 
 
+def spelling(token: str) -> str | None:
+    """What may hide a word in a token, without the signs around it."""
+    core = token.strip(EDGES)
+    if 3 <= len(core) <= LONGEST_WORD and ODD.search(core):
+        return core
+    core = token.lstrip(".,;:?\"'[]{}<>").rstrip(EDGES)
+    return core if 3 <= len(core) <= LONGEST_WORD and core[0] in "@$!|(*" and any(x.isalpha() for x in core) else None
+
+
+usual_spelling = lru_cache(1 << 16)(spelling)
+
+
 def disguised(text: str) -> Iterator[str]:
     """Spellings in a lower-case text that may hide a word."""
     for token in set(text.split()):
-        core = token.strip(EDGES)
-        if 3 <= len(core) <= LONGEST_WORD and ODD.search(core):
+        if core := usual_spelling(token) if len(token) <= LONGEST_WORD else spelling(token):
             yield core
-        else:
-            core = token.lstrip(".,;:?\"'[]{}<>").rstrip(EDGES)
-            if 3 <= len(core) <= LONGEST_WORD and core[0] in "@$!|(*" and any(x.isalpha() for x in core):
-                yield core
     for m in SPACED.finditer(text):
         core = re.sub(r"\s+", "", m[0])
         if len(core) <= 2 * LONGEST_WORD:
@@ -124,7 +133,7 @@ def disguised(text: str) -> Iterator[str]:
 
 def text_words(text: str | None, speller: Speller) -> set[str]:
     """The words of a text, plain and restored."""
-    words = set(letter_words(text))
+    words = {w for piece in letter_pieces(text) for w in piece}
     for spelling in disguised((text or "").lower()):
         words.add(speller.decode(spelling))
         for m in SPLIT_RUN.findall(spelling):
@@ -138,30 +147,16 @@ SPLIT_RUN = re.compile(r"[^\W\d_]{3,}")
 
 def learn_characters(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
     """Counts of 1- to 3-character runs in the words of all documents; ``^`` and ``$`` mark a word's ends."""
-    schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            words: Counter = Counter()
-            for (text,) in columns(batches):
-                words.update(letter_words(text))
-                if len(words) > 200_000:
-                    yield grams(words)
-                    words.clear()
-            yield grams(words)
-
-        def grams(words):
-            for word, n in words.items():
-                padded = f"^{word}$"
-                for k in (1, 2, 3):
-                    for a in range(max(0, 2 - k), len(padded) - k + 1):
-                        yield (padded[a: a + k],), n
-
-        yield from summed(parts(), schema)
-
-    counts = (docs.select(F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(run, "gram string, n long")
+        yield from emit_arrays(((codes.view(np.int64), n) for _, codes, n in gathered(((None, text) for (text,) in columns(batches)), ends=True)), schema)
+
+    counts = (docs.select(F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(run, "gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")))
-    return {r["gram"]: r["n"] for r in counts.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()}
+    most = counts.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()
+    # A space ends a word, and where more follows it begins one.
+    return {re.sub("^ (?=.)", "^", to_gram(r["gram"])).replace(" ", "$"): r["n"] for r in most}
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str = "doc_id", text_column: str = "text",
