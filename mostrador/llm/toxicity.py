@@ -21,7 +21,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sides import small
-from .counting import gathered, letter_pieces, summed, to_gram
+from .counting import LETTERS, gathered, letter_pieces, summed, to_gram
 from .words import columns, emit, emit_arrays, shingles, signed
 
 GRAMS = 200_000
@@ -117,14 +116,22 @@ def spelling(token: str) -> str | None:
     return core if 3 <= len(core) <= LONGEST_WORD and core[0] in "@$!|(*" and any(x.isalpha() for x in core) else None
 
 
-usual_spelling = lru_cache(1 << 16)(spelling)
+def tripled(text: str) -> list[str]:
+    """Letters that come three times in a row somewhere."""
+    at = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    rows = at[2:][(at[2:] == at[1:-1]) & (at[1:-1] == at[:-2])]
+    return [c for c in map(chr, np.unique(rows).tolist()) if LETTERS.match(c)]
 
 
-def disguised(text: str) -> Iterator[str]:
-    """Spellings in a lower-case text that may hide a word."""
-    for token in set(text.split()):
-        if core := usual_spelling(token) if len(token) <= LONGEST_WORD else spelling(token):
-            yield core
+def disguised(text: str, words: set[str]) -> Iterator[str]:
+    """Spellings in a lower-case text that may hide a word; ``words`` are its runs of letters."""
+    tokens = set(text.split())
+    # A run of letters alone hides nothing unless one is tripled.
+    plain = tokens & words
+    odd = tokens - plain
+    for row in (3 * c for c in tripled(text)):
+        odd.update(w for w in plain if row in w)
+    yield from filter(None, map(spelling, odd))
     for m in SPACED.finditer(text):
         core = re.sub(r"\s+", "", m[0])
         if len(core) <= 2 * LONGEST_WORD:
@@ -134,10 +141,9 @@ def disguised(text: str) -> Iterator[str]:
 def text_words(text: str | None, speller: Speller) -> set[str]:
     """The words of a text, plain and restored."""
     words = {w for piece in letter_pieces(text) for w in piece}
-    for spelling in disguised((text or "").lower()):
-        words.add(speller.decode(spelling))
-        for m in SPLIT_RUN.findall(spelling):
-            words.add(m)
+    for odd in list(disguised((text or "").lower(), words)):
+        words.add(speller.decode(odd))
+        words.update(SPLIT_RUN.findall(odd))
     words.discard("")
     return words
 
