@@ -1,10 +1,12 @@
 """Exact Jaccard join on word shingles by a token-group matrix.
 
-Equal shingle sets become one. Documents that share a least shingle, under one of several hashes, are compared with one
-among them, drawn by each hash anew; those connected by verified links form a group, others stand alone. A group is stored as the union of its members' leading shingles (rarest
-kinds first, as many as a partner cannot miss all of). A document meets those groups whose union holds one of its own
-leading shingles; from the number of shared ones follows a bound on the overlap with any member, and only groups within
-the bound are opened: first their leader, then, if that does not link and the two are not yet connected, their members.
+Equal shingle sets become one. Documents that share least shingles, under several of some hashes, are compared with the
+one among them that shares most; those connected by verified links form a group, others stand alone. A group is stored as
+the union of its members' leading shingles (rarest first, as many as a partner cannot miss all of). A document meets those
+groups whose union holds one of its own leading shingles, if the sizes of both without the leading shingles of no other
+group suffice for a link; from the number of shared ones follows a bound on the overlap with any member, and only
+groups within the bound are opened: first their leader, then, if that does not link and the two are not yet connected,
+their members.
 
 Null and blank texts have no shingle, link with nothing and are their own component. Fewer words than a shingle make
 one shingle of the whole sequence. Rows that repeat an id are versions of one document, and so connected. Rows without an id
@@ -27,8 +29,9 @@ from .words import columns, emit, emit_arrays, mix, shingles, signed
 
 # The shingles that count as common are at most this many, so that they can be sent to every task.
 COMMON = 1 << 18
-# Hashes under which documents of the same least shingle are compared.
-HASHES = 3
+# Hashes under which least shingles are compared, and how many must agree with a leader's for a comparison of texts.
+HASHES = 8
+AGREE = 3
 # So many times a set's leading shingles are counted to find the common ones, since others move up in their place.
 COUNTED = 2
 # A shingle is not common below so many documents.
@@ -45,10 +48,13 @@ def prefix_size(m: int, percent: int) -> int:
     return m + (percent * m) // -100 + 1
 
 
-def order_key(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Shingles sorted with the common ones last, each kind by its own hash."""
-    is_common = np.isin(tokens, common, assume_unique=True) if len(common) else np.zeros(len(tokens), bool)
-    return np.concatenate([tokens[~is_common], tokens[is_common]])
+def order_key(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Sorted shingles with the common ones last, those by their rank. ``common`` is sorted, ``ranks`` goes with it."""
+    if not len(common):
+        return tokens
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    is_common = common[at] == tokens
+    return np.concatenate([tokens[~is_common], tokens[is_common][np.argsort(ranks[at[is_common]])]])
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -113,16 +119,16 @@ def components(edges: DataFrame, names: tuple[str, str] = ("x", "y")) -> DataFra
 
 
 def _leading(sets: DataFrame, width: int, percent: int, common=None, times: int = 1) -> DataFrame:
-    """(token, doc_id, grp): the leading shingles of each set, or so many times as many; ``common`` is a sent array of
-    sorted common shingles."""
+    """(token, doc_id, grp): the leading shingles of each set, or so many times as many; ``common`` is what ``_common``
+    sent."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("grp", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = common.value if common is not None else np.zeros(0, np.uint64)
+        held = common.value if common is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         def parts():
             for doc_id, grp, text in columns(batches):
-                t = order_key(shingles(text, width), held)
+                t = order_key(shingles(text, width), *held)
                 t = t[: times * prefix_size(len(t), percent)]
                 yield signed(t), np.full(len(t), doc_id, np.int64), np.full(len(t), grp, np.int64)
 
@@ -132,11 +138,27 @@ def _leading(sets: DataFrame, width: int, percent: int, common=None, times: int
 
 
 def _common(leading: DataFrame, total: int):
-    """The common shingles as a sent array. By its threshold their number never exceeds COMMON."""
+    """The common shingles, sorted, and the place of each by frequency, sent to the tasks. By its threshold their number
+    never exceeds COMMON."""
     least = max(RARE, -(-total // COMMON))
-    rows = leading.groupBy("token").count().filter(F.col("count") > least).select("token").toArrow()
-    held = np.unique(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    return leading.sparkSession.sparkContext.broadcast(held)
+    rows = leading.groupBy("token").count().filter(F.col("count") > least).toArrow()
+    held, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(held)
+    ranks = np.empty(len(held), np.int64)
+    ranks[np.lexsort((held[order], counts[order]))] = np.arange(len(held))
+    return leading.sparkSession.sparkContext.broadcast((held[order], ranks))
+
+
+def _fits(m_least: str, m_most: str, own: str, n_least: str, n_most: str, other: str, percent: int) -> str:
+    """SQL: sets of m_least to m_most and sets of n_least to n_most may link; ``own`` and ``other`` are their sizes without
+    the leading shingles that no other group leads with.
+
+    Of the set whose leading part ends first, the other one leads with all leading shingles that both hold, so that the
+    intersection is within that one's own or other. The least overlap grows with both sizes.
+    """
+    p = percent / 100
+    low, high = f"greatest({n_least}, ceil({p} * {m_least}))", f"least({n_most}, floor({m_most} / {p}))"
+    return f"({low} <= {high} AND greatest({own}, {other}) >= {percent / (100 + percent)} * ({m_least} + {low}) - 1e-6)"
 
 
 def _bounded(shared: str, m: str, n_least: str, n_most: str, percent: int) -> str:
@@ -162,10 +184,14 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     classes = cut_lineage(spark, classes, "classes")
     nodes = cut_lineage(spark, classes.groupBy("rep").agg(F.min("keys").alias("keys"), F.min("m").alias("m_least"), F.max("m").alias("m_most")), "nodes")
 
-    # Groups: what verified links with one document of the same least shingle connect; every hash draws its own.
-    keyed = nodes.select("rep", F.posexplode("keys").alias("hash", "key"))
-    leaders = keyed.groupBy("hash", "key").agg(F.min(F.struct(F.xxhash64("hash", "rep").alias("lot"), "rep"))["rep"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(leaders, ["hash", "key"]).filter("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct()
+    # Groups: what verified links connect with the document that shares most among those of the same least shingles.
+    keyed = nodes.select("rep", "m_least", "m_most", F.posexplode("keys").alias("hash", "key"))
+    often = keyed.groupBy("hash", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = keyed.join(often, ["hash", "key"]).withColumn("shares", F.sum("n").over(Window.partitionBy("rep"))).drop("n")
+    keyed = cut_lineage(spark, keyed, "least-shingles")
+    leaders = keyed.groupBy("hash", "key").agg(F.max(F.struct("shares", "rep", "m_least", "m_most")).alias("leader"))
+    pairs = (keyed.join(leaders, ["hash", "key"]).filter(f"rep <> leader.rep AND {percent} * greatest(m_least, leader.m_least) <= 100 * least(m_most, leader.m_most)")
+             .groupBy(F.col("rep").alias("x"), F.col("leader.rep").alias("y")).count().filter(F.col("count") >= AGREE).select("x", "y"))
     stars = components(_linked(docs, cut_lineage(spark, pairs, "star-pairs"), width, percent))
     member = cut_lineage(spark, nodes.join(stars.withColumnsRenamed({"node": "rep", "root": "leader"}), "rep", "left")
                          .select("rep", F.coalesce("leader", "rep").alias("grp"), "m_least", "m_most"), "members")
@@ -179,14 +205,22 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     rows = (leading.withColumn("a", F.min("grp").over(alike)).withColumn("b", F.max("grp").over(alike))
             .filter("a < b").select("token", "doc_id", "grp"))
     rows = cut_lineage(spark, rows, "matrix-rows")
-    sized = small(cut_lineage(spark, member.join(group.select("grp", "size"), "grp").select(F.col("rep").alias("doc_id"), "size", F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1")), "sizes"))
+    # With each set's size without the leading shingles left out. A document with several versions spans sizes, and counts
+    # as its largest.
+    left_out = F.col("m_least") - F.ceil(F.col("m_least") * percent / 100) + 1 - F.col("n")
+    open_size = F.when(F.col("m_least") == F.col("m_most"), F.col("m_least") - left_out).otherwise(F.col("m_most"))
+    sized = (rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(member.withColumnRenamed("rep", "doc_id"), "doc_id")
+             .join(group.select("grp", "size"), "grp").select("doc_id", "size", F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1"), open_size.alias("own")))
+    sized = small(cut_lineage(spark, sized, "sizes"))
     sizes = small(group.select(F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("m_least").alias("g_least"), F.col("m_most").alias("g_most")))
-    asking = rows.join(sized.select("doc_id", "size"), "doc_id")
-    matrix = rows.select(F.col("token").alias("held"), F.col("grp").alias("g")).distinct().join(sizes.select("g", "g_size"), "g")
+    asking = cut_lineage(spark, rows.join(sized, "doc_id"), "asking")
+    matrix = (asking.groupBy(F.col("token").alias("held"), F.col("grp").alias("g"))
+              .agg(F.first("size").alias("h_size"), F.min("m_0").alias("h_0"), F.max("m_1").alias("h_1"), F.max("own").alias("h_own")))
 
     # Which groups a document's bound lets open; of two groups the smaller one's documents ask.
-    met = (asking.join(matrix, (F.col("token") == F.col("held")) & ((F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))))
-           .groupBy("doc_id", "grp", "g").agg(F.count("*").alias("shared")).join(sizes, "g").join(sized, "doc_id"))
+    smaller = "token = held AND (size < h_size OR size = h_size AND grp < g) AND " + _fits("m_0", "m_1", "own", "h_0", "h_1", "h_own", percent)
+    met = (asking.join(matrix, F.expr(smaller)).groupBy("doc_id", "grp", "g").agg(F.count("*").alias("shared"), F.first("m_0").alias("m_0"), F.first("m_1").alias("m_1"))
+           .join(sizes, "g"))
     # A document with several versions spans sizes; it is then let through unbounded.
     bound = _bounded("shared", "m_0", "g_least", "g_most", percent)
     opened = cut_lineage(spark, met.filter(f"m_0 <> m_1 OR ({bound})").select("doc_id", "grp", "g", "g_size"), "opened")
@@ -203,11 +237,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     # Members of opened groups that neither the leader nor a chain of links connects.
     apart = (opened.filter("g_size > 1").join(root_of("grp"), "grp", "left").join(root_of("g"), "g", "left")
              .filter("coalesce(grp_root, grp) <> coalesce(g_root, g)").select("doc_id", "g"))
-    inner = (rows.join(apart, "doc_id").join(rows.select("token", F.col("doc_id").alias("y"), F.col("grp").alias("g")), ["token", "g"])
-             .filter("y <> g").groupBy(F.col("doc_id").alias("x"), "y").agg(F.count("*").alias("shared"))
-             .join(member.select(F.col("rep").alias("x"), F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1")), "x")
-             .join(member.select(F.col("rep").alias("y"), F.col("m_least").alias("n_0"), F.col("m_most").alias("n_1")), "y")
-             .filter(f"m_0 <> m_1 OR ({_bounded('shared', 'm_0', 'n_0', 'n_1', percent)})").select("x", "y"))
+    held = asking.select("token", F.col("doc_id").alias("y"), F.col("grp").alias("g"), F.col("m_0").alias("n_0"), F.col("m_1").alias("n_1"), F.col("own").alias("other"))
+    ask = asking.drop("grp", "size").join(apart, "doc_id").withColumnsRenamed({"token": "asked", "g": "of"})
+    inner = (ask.join(held, F.expr("asked = token AND of = g AND y <> g AND " + _fits("m_0", "m_1", "own", "n_0", "n_1", "other", percent)))
+             .groupBy(F.col("doc_id").alias("x"), "y").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("m_0", "m_1", "n_0", "n_1")))
+             .filter(f"m_0 <> m_1 OR n_0 <> n_1 OR ({_bounded('shared', 'm_0', 'n_0', 'n_1', percent)})").select("x", "y"))
     inner = cut_lineage(spark, inner, "member-pairs")
     if not inner.isEmpty():
         roots = joined(by_leader.union(_linked(docs, inner, width, percent)))
