@@ -199,15 +199,21 @@ def is_purchase(category: str | Column) -> Column:
     return F.coalesce(c.cast("string").isin("4", "PURCHASE"), F.lit(False))
 
 
+def _removed(ads: DataFrame) -> DataFrame:
+    """Campaigns that are removed on their latest day."""
+    gone = F.max(F.when(F.col("status") == REMOVED, F.col("date")))
+    return ads.groupBy("campaign_id").agg(F.max("date").alias("last"), gone.alias("gone")).where("last = gone").select("campaign_id")
+
+
 def _live(ads: DataFrame, d0, d1) -> DataFrame:
-    return in_dates(ads, "date", d0, d1).where(F.col("status") != REMOVED)
+    """All days in the range of campaigns that are not removed."""
+    return in_dates(ads, "date", d0, d1).join(_removed(ads), "campaign_id", "left_anti")
 
 
 def _counted(conv: DataFrame, ads: DataFrame, d0, d1) -> DataFrame:
     """Conversions above 0 of campaigns that are not removed."""
-    removed = ads.where(F.col("status") == REMOVED).select("campaign_id").distinct()
     kept = in_dates(conv, "date", d0, d1).where(F.col("conversions") > 0)
-    return kept.join(removed, "campaign_id", "left_anti").withColumn("purchase", is_purchase("category"))
+    return kept.join(_removed(ads), "campaign_id", "left_anti").withColumn("purchase", is_purchase("category"))
 
 
 def _split(prefix_value: bool = True) -> list[Column]:

@@ -178,9 +178,11 @@ def _(t):
 
 # --- ads ------------------------------------------------------------------------------
 
-ADS = f"(SELECT * FROM ads_campaign_daily WHERE {DAY} AND status <> 'REMOVED')"
+GONE = """(SELECT campaign_id FROM ads_campaign_daily GROUP BY campaign_id
+  HAVING MAX(date) = MAX(CASE WHEN status = 'REMOVED' THEN date END))"""
+ADS = f"(SELECT * FROM ads_campaign_daily WHERE {DAY} AND campaign_id NOT IN {GONE})"
 CONV = f"""(SELECT *, category IN ('4', 'PURCHASE') AS purchase FROM ads_conversions WHERE {DAY} AND conversions > 0
-  AND campaign_id NOT IN (SELECT campaign_id FROM ads_campaign_daily WHERE status = 'REMOVED'))"""
+  AND campaign_id NOT IN {GONE})"""
 WON = """SUM(CASE WHEN purchase THEN conversions END) AS purchases, SUM(CASE WHEN NOT purchase THEN conversions END) AS micro,
   SUM(CASE WHEN purchase THEN conversions_value END) AS value"""
 

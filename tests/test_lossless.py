@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from mostrador.operators import joins, team, upsert
+from mostrador.operators import joins, team, traffic, upsert
 from mostrador.operators.upsert import MergeSpec
 from mostrador.sources import payloads as pl
 from mostrador.sources import schemas
@@ -86,3 +86,12 @@ def test_orders_are_filtered_before_they_are_counted(spark, tmp_path):
     assert sorted((str(r.date), r.orders) for r in df.collect()) == [("2024-01-01", 1), ("2024-01-02", 0)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(created_at" in plan
+
+
+def test_spend_and_conversions_cover_the_same_campaigns(spark):
+    days = [(1, "2024-01-01", "REMOVED"), (1, "2024-01-02", "ENABLED"), (2, "2024-01-01", "ENABLED"), (2, "2024-01-02", "REMOVED")]
+    ads = spark.createDataFrame(days, "campaign_id long, date string, status string").withColumn("date", F.col("date").cast("date"))
+    conv = ads.withColumn("conversions", F.lit(1.0)).withColumn("category", F.lit("PURCHASE"))
+    spent = traffic._live(ads, "2024-01-01", "2024-01-02").groupBy("campaign_id").count().collect()
+    bought = traffic._counted(conv, ads, "2024-01-01", "2024-01-02").groupBy("campaign_id").count().collect()
+    assert spent == bought == [(1, 2)]
