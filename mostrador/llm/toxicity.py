@@ -2,7 +2,8 @@
 
 Disguised words (letters written as digits or signs, spaced out, or repeated) are decoded by the noisy-channel rule: a
 lattice of what each character may stand for, and the Viterbi path through it that a character model of the corpus's own
-words and the channel's costs find likeliest. A text is then scored by the words that labelled texts show to be toxic,
+words and the channel's costs find likeliest; in a spaced-out passage of any length each space may be a gap in a word
+or the end of one. A text is then scored by the words that labelled texts show to be toxic,
 plain or restored.
 
 The character model counts the words of all documents. The toxic words are those whose share of toxic documents is above
@@ -36,7 +37,6 @@ GRAMS = 200_000
 LEXICON = 20_000
 # Least share of toxic documents among those with a word of the lexicon.
 LEAST_SHARE = 0.5
-LONGEST_WORD = 32
 
 # Letters that digits and signs are written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -47,30 +47,47 @@ EDGES = ".,;:?!\"'()[]{}<>*_-~#%&^=/\\"
 
 ODD = re.compile(r"[^\W\d_][0-9@$!|+€£(*#._~'-]+[^\W\d_]|^[0-9@$|+€£(]+[^\W\d_]{2}|[^\W\d_]{2}[0-9$@]+$|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<![^\s])(?:[^\s][ ._~*-]{1,2}){2,}[^\s](?![^\s.,;:!?])")
+# What parts the letters of a spaced-out passage.
+BETWEEN = re.compile(r"[ ._~*-]+")
+ENDED = " \n"
+# Longest spelling whose decoding is remembered.
+REMEMBERED = 64
 
 
 class Speller:
     """Viterbi decoding of a disguised word under a character trigram model."""
 
     SUBSTITUTE, REPEAT, GAP, KEEP = -1.0, -0.7, -1.0, -12.0
+    # What the end of a word costs at a narrow space of a spaced-out passage, reading by reading, and how many words are joined.
+    ENDS, JOINED = (0.0, -4.0), 4
+    # A space wider than the others of its passage hardly stands inside a word.
+    WIDE = -6.0
+    # Least share of a letter among the words it begins to count as a word of its own.
+    ALONE = 0.01
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.context: Counter = Counter()
         for g, n in counts.items():
             self.context[g[:-1]] += n
-        self.cache: dict[str, str] = {}
+        self.cache: dict[tuple[str, float], str] = {}
+        self.known: dict[str, float] = {}
 
     def logp(self, context: str, c: str) -> float:
         """Character after two others, each order leaning on the one below."""
+        found = self.known.get(context + c)
+        if found is not None:
+            return found
         p = 1e-4
         for k in range(3):
             before = context[len(context) - k:] if k else ""
             p = (self.counts.get(before + c, 0) + 4 * p) / (self.context.get(before, 0) + 4)
+        if len(self.known) < 1_000_000:
+            self.known[context + c] = math.log(p)
         return math.log(p)
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character, the strings it may stand for and their costs."""
+    def lattice(self, word: str, end: float = 0.0) -> list[list[tuple[str, float]]]:
+        """For each run of one character, the strings it may stand for and their costs; a space or line end in them ends a word."""
         steps = []
         for m in re.finditer(r"(.)\1*", word, re.S):
             c, n = m[1], len(m[0])
@@ -83,37 +100,65 @@ class Speller:
                     choices.append((letter * 2, 2 * self.SUBSTITUTE))
             if c in GAPS:
                 choices.append(("", self.GAP))
+            if c == " ":
+                choices = [("", 0.0), (" ", end)] if n == 1 else [("", self.WIDE), ("\n", 0.0)]
             steps.append(choices or [("", self.KEEP)])
         return steps
 
-    def decode(self, word: str) -> str:
-        found = self.cache.get(word)
+    def decode(self, word: str, end: float = 0.0) -> str:
+        """The likeliest reading; words of a spaced-out passage are parted by spaces, and by line ends at wide spaces."""
+        found = self.cache.get((word, end))
         if found is None:
-            paths = {"^": (0.0, "")}
-            for choices in self.lattice(word):
-                reached: dict[str, tuple[float, str]] = {}
+            # Of each state the cost, and the path as (path before, text): linear in the length.
+            paths: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
+            for choices in self.lattice(word, end):
+                reached: dict[str, tuple[float, tuple | None]] = {}
                 for state, (cost, done) in paths.items():
                     for text, penalty in choices:
                         at, total = state, cost + penalty
                         for c in text:
-                            total += self.logp(at, c)
-                            at = (at + c)[-2:]
+                            total += self.logp(at, "$" if c in ENDED else c)
+                            at = "^" if c in ENDED else (at + c)[-2:]
                         if at not in reached or total > reached[at][0]:
-                            reached[at] = (total, done + text)
+                            reached[at] = (total, (done, text) if text else done)
                 paths = reached
-            found = max((cost + self.logp(state, "$"), done) for state, (cost, done) in paths.items())[1]
-            if len(self.cache) < 200_000:
-                self.cache[word] = found
+            done = max(((cost + self.logp(state, "$"), state, done) for state, (cost, done) in paths.items()), key=lambda x: x[:2])[2]
+            parts = []
+            while done:
+                done, text = done
+                parts.append(text)
+            found = "".join(reversed(parts))
+            if len(word) <= REMEMBERED and len(self.cache) < 200_000:
+                self.cache[word, end] = found
         return found
 
+    def alone(self, c: str) -> bool:
+        """Whether a letter is a word of its own often enough."""
+        n = self.counts.get(f"^{c}$", 0)
+        return n > 0 and n >= self.ALONE * self.context.get(f"^{c}", 0)
+
+    def passage(self, spaced: str) -> set[str]:
+        """The words of a spaced-out passage, and neighbours joined where only a narrow space parts them, as letters alone do
+        not tell where words end; each also without a one-letter word at either end."""
+        words = set()
+        for end in self.ENDS:
+            for part in self.decode(spaced, end).split("\n"):
+                row = part.split(" ")
+                words.update("".join(row[k: k + n]) for n in range(1, self.JOINED + 1) for k in range(max(1, len(row) - n + 1)))
+        for w in list(words):
+            if len(w) > 3:
+                rest = w[1:] if self.alone(w[0]) else w
+                words.update((rest, *((w[:-1], rest[:-1]) if self.alone(w[-1]) else ())))
+        return words
+
 
 def spelling(token: str) -> str | None:
     """What may hide a word in a token, without the signs around it."""
     core = token.strip(EDGES)
-    if 3 <= len(core) <= LONGEST_WORD and ODD.search(core):
+    if len(core) >= 3 and ODD.search(core):
         return core
     core = token.lstrip(".,;:?\"'[]{}<>").rstrip(EDGES)
-    return core if 3 <= len(core) <= LONGEST_WORD and core[0] in "@$!|(*" and any(x.isalpha() for x in core) else None
+    return core if len(core) >= 3 and core[0] in "@$!|(*" and any(x.isalpha() for x in core) else None
 
 
 def tripled(text: str) -> list[str]:
@@ -132,18 +177,27 @@ def disguised(text: str, words: set[str]) -> Iterator[str]:
     for row in (3 * c for c in tripled(text)):
         odd.update(w for w in plain if row in w)
     yield from filter(None, map(spelling, odd))
+
+
+def passages(text: str) -> Iterator[str]:
+    """Spaced-out passages of a lower-case text: one space where the gap is the narrowest of its passage, else two."""
     for m in SPACED.finditer(text):
-        core = re.sub(r"\s+", "", m[0])
-        if len(core) <= 2 * LONGEST_WORD:
-            yield re.sub(r"[._~*-]", "", core)
+        core = m[0].strip(" ._~*-")
+        gaps = [len(g) for g in BETWEEN.findall(core)]
+        if len(gaps) >= 2:
+            least = min(gaps)
+            yield BETWEEN.sub(lambda g: " " if len(g[0]) == least else "  ", core)
 
 
 def text_words(text: str | None, speller: Speller) -> set[str]:
     """The words of a text, plain and restored."""
     words = {w for piece in letter_pieces(text) for w in piece}
-    for odd in list(disguised((text or "").lower(), words)):
+    lower = (text or "").lower()
+    for odd in list(disguised(lower, words)):
         words.add(speller.decode(odd))
         words.update(SPLIT_RUN.findall(odd))
+    for spaced in set(passages(lower)):
+        words |= speller.passage(spaced)
     words.discard("")
     return words
 
@@ -191,7 +245,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(characters.value)
-        parts = ((((w, y > 0), 1) for w in text_words(text, speller) if len(w) <= 2 * LONGEST_WORD) for _, text, y in columns(batches))
+        parts = ((((w, y > 0), 1) for w in text_words(text, speller)) for _, text, y in columns(batches))
         yield from summed(parts, pa.schema([("word", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())]))
 
     seen = (texts.mapInArrow(words, "word string, toxic boolean, n long").groupBy("word")

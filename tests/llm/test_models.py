@@ -59,6 +59,17 @@ def test_toxicity_restores_disguises(spark):
     assert right >= 0.98 * len(labels)
 
 
+def test_toxicity_spaced_passages(spark):
+    docs, labels = labelled()
+    texts = {1000: "you are a m o r o n", 1001: "such a l o s e r", 1002: "y o u a r e a n i d i o t", 1003: "y o u  a r e  s c u m", 1004: " ".join("you are such a worthless moron ".replace(" ", "") * 9),
+             1005: "so m" + "o" * 60 + "ron", 1006: "y.o.u.a.r.e.a.n.i.d.i.o.t."}
+    clean = {2000: "b r i g h t w o r d s", 2001: "a b c d e f", 2002: "- - - - -", 2003: "x y " * 500}
+    talk = [(3000 + i, "you are such a fine person and an able writer") for i in range(40)]
+    df = frame(spark, docs + talk + list(texts.items()) + list(clean.items()))
+    score = {r.doc_id: r.score for r in toxicity.toxicity(df, df, spark.createDataFrame(labels + [(i, 0) for i, _ in talk], "doc_id long, toxic int")).collect()}
+    assert [i for i in texts if score[i] < 0.5] == [] and [i for i in clean if score[i] >= 0.5] == []
+
+
 def test_toxicity_viterbi_takes_the_best_path():
     """Against all paths through the lattice."""
     speller = toxicity.Speller(Counter(g for w in BAD * 5 + vocabulary(50) for p in [f"^{w}$"] for k in (1, 2, 3) for a in range(max(0, 2 - k), len(p) - k + 1) for g in [p[a: a + k]]))
