@@ -9,7 +9,7 @@ plain or restored.
 The character model counts the words of all documents. The toxic words are those whose share of toxic documents is above
 the overall one beyond chance (a likelihood-ratio statistic above what the best of as many words would reach); equal and
 nearly equal texts (same least five-word shingle) count once, so that copies are not evidence. The model sent to the
-tasks holds at most ``GRAMS`` character runs, the most frequent, and ``LEXICON`` words, the strongest.
+tasks holds all character runs counted, as two arrays of numbers (16 bytes a run), and all words beyond the threshold.
 
 Null and empty texts get the score of a text without evidence. Rows without an id are scored, and teach nothing. A
 document labelled twice counts as toxic if one label says so; null labels say nothing. Without labels all scores are 0.
@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sides import small
-from .counting import LETTERS, gathered, letter_pieces, summed, to_gram
+from .counting import LETTERS, gathered, letter_pieces, summed, to_code
 from .words import columns, emit, emit_arrays, shingles, signed
 
-GRAMS = 200_000
-LEXICON = 20_000
 # Least share of toxic documents among those with a word of the lexicon.
 LEAST_SHARE = 0.5
 
@@ -54,6 +52,47 @@ ENDED = " \n"
 REMEMBERED = 64
 
 
+class Grams:
+    """Counts of 1- to 3-character runs, held as sorted numbers; ``^`` and ``$`` mark a word's ends."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        length = 1 + ((codes >> 21 & 0x1FFFFF) != 0) + ((codes & 0x1FFFFF) != 0)
+        self.by_length = []
+        for k in (1, 2, 3):
+            own, n = codes[length == k], counts[length == k]
+            order = np.argsort(own)
+            self.by_length.append((own[order], np.concatenate([[0], np.cumsum(n[order])])))
+
+    def between(self, length: int, low: int, high: int) -> int:
+        """Sum of the counts of the runs of a length from code ``low`` up to below ``high``."""
+        codes, sums = self.by_length[length - 1]
+        a, b = codes.searchsorted([low, high])
+        return int(sums[b] - sums[a])
+
+    def get(self, gram: str, other: int = 0) -> int:
+        code = to_code(gram.replace("^", " ").replace("$", " "))
+        return self.between(len(gram), code, code + 1) or other
+
+    def after(self, before: str) -> int:
+        """How often any character follows ``before``."""
+        code = to_code(before.replace("^", " "))
+        return self.between(len(before) + 1, code, code + (1 << (63 - 21 * len(before))) - (not before))
+
+
+class Following(dict):
+    """Sums of ``Grams`` by what comes before, worked out when asked for."""
+
+    def __init__(self, grams: Grams):
+        super().__init__()
+        self.grams = grams
+
+    def get(self, before: str, other: int = 0) -> int:
+        found = super().get(before)
+        if found is None:
+            found = self[before] = self.grams.after(before)
+        return found or other
+
+
 class Speller:
     """Viterbi decoding of a disguised word under a character trigram model."""
 
@@ -65,11 +104,14 @@ class Speller:
     # Least share of a letter among the words it begins to count as a word of its own.
     ALONE = 0.01
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int] | Grams):
         self.counts = counts
-        self.context: Counter = Counter()
-        for g, n in counts.items():
-            self.context[g[:-1]] += n
+        if isinstance(counts, Grams):
+            self.context = Following(counts)
+        else:
+            self.context = Counter()
+            for g, n in counts.items():
+                self.context[g[:-1]] += n
         self.cache: dict[tuple[str, float], str] = {}
         self.known: dict[str, float] = {}
 
@@ -205,8 +247,8 @@ def text_words(text: str | None, speller: Speller) -> set[str]:
 SPLIT_RUN = re.compile(r"[^\W\d_]{3,}")
 
 
-def learn_characters(docs: DataFrame, text_column: str = "text") -> dict[str, int]:
-    """Counts of 1- to 3-character runs in the words of all documents; ``^`` and ``$`` mark a word's ends."""
+def learn_characters(docs: DataFrame, text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of all 1- to 3-character runs in the words of all documents; a space marks a word's ends."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +256,8 @@ def learn_characters(docs: DataFrame, text_column: str = "text") -> dict[str, in
 
     counts = (docs.select(F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(run, "gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")))
-    most = counts.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()
-    # A space ends a word, and where more follows it begins one.
-    return {re.sub("^ (?=.)", "^", to_gram(r["gram"])).replace(" ", "$"): r["n"] for r in most}
+    found = counts.toArrow()
+    return tuple(found[c].to_numpy().astype(np.int64) for c in ("gram", "n"))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str = "doc_id", text_column: str = "text",
@@ -244,7 +285,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str
     texts = texts.join(small(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(characters.value)
+        speller = Speller(Grams(*characters.value))
         parts = ((((w, y > 0), 1) for w in text_words(text, speller)) for _, text, y in columns(batches))
         yield from summed(parts, pa.schema([("word", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())]))
 
@@ -256,7 +297,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str
     strength = 2 * (part("t", base) + part("c", 1 - base))
     least = 2 * math.log(max(seen.count(), 1)) + 4
     rows = (seen.withColumn("strength", strength).filter((F.col("strength") >= least) & (F.col("t") > max(base, LEAST_SHARE) * (F.col("t") + F.col("c"))))
-            .orderBy(F.desc("strength"), "word").limit(LEXICON).collect())
+            .collect())
     odds = {r["word"]: math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) for r in rows}
     return odds, math.log(base / (1 - base))
 
@@ -265,7 +306,7 @@ def scorer(characters, lexicon, prior: float):
     """A column function: the score of a text, from 0 to 1."""
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        speller, odds = Speller(characters.value), lexicon.value
+        speller, odds = Speller(Grams(*characters.value)), lexicon.value
 
         def one(text: str | None) -> float:
             if math.isinf(prior):

@@ -70,6 +70,37 @@ def test_toxicity_spaced_passages(spark):
     assert [i for i in texts if score[i] < 0.5] == [] and [i for i in clean if score[i] >= 0.5] == []
 
 
+def test_toxicity_model_holds_all_runs(spark):
+    """Against counting by hand, with more distinct runs than any fixed number of the most frequent would hold."""
+    rnd = random.Random(5)
+    hot = " ".join(vocabulary(50)) * 3
+    rows = [(i, hot) for i in range(50)] + [(100 + i, " ".join("".join(chr(0x4E00 + rnd.randrange(20000)) for _ in range(8)) for _ in range(1500))) for i in range(25)]
+    grams = toxicity.Grams(*toxicity.learn_characters(frame(spark, rows)))
+    want, context = Counter(), Counter()
+    for _, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            p = f"^{w}$"
+            want.update(p[a: a + k] for k in (1, 2, 3) for a in range(len(p) - k + 1) if p[a: a + k] != "^")
+    for g, n in want.items():
+        context[g[:-1]] += n
+    assert len(want) > 250_000 and sum(len(c) for c, _ in grams.by_length) == len(want)
+    speller = toxicity.Speller(grams)
+    for g in rnd.sample(sorted(want), 3000) + ["$", "a", "^a"]:
+        assert grams.get(g) == want[g] and speller.context.get(g[:-1], 0) == context[g[:-1]]
+    assert grams.get("zqx") == 0 == grams.after("zq")
+
+
+def test_toxicity_lexicon_by_threshold_alone(spark):
+    letters = "abcdefghijklmnoprstuv"
+    words = [x + y + z + u for x in letters for y in letters for z in letters for u in "klm"]
+    rows = [(i, " ".join(random.Random(i).sample(words[2100 * (i % 10): 2100 * (i % 10) + 2100], 2100))) for i in range(100)]
+    rows += [(100 + i, " ".join(vocabulary(30, i))) for i in range(900)]
+    df, ys = frame(spark, rows), spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    sent = spark.sparkContext.broadcast(toxicity.learn_characters(df))
+    odds, _ = toxicity.learn_lexicon(df, ys, sent)
+    assert len(odds) > 20_000
+
+
 def test_toxicity_viterbi_takes_the_best_path():
     """Against all paths through the lattice."""
     speller = toxicity.Speller(Counter(g for w in BAD * 5 + vocabulary(50) for p in [f"^{w}$"] for k in (1, 2, 3) for a in range(max(0, 2 - k), len(p) - k + 1) for g in [p[a: a + k]]))
