@@ -3,7 +3,8 @@
 Known forms (kinds ``assign``, ``access``, ``hex``) are patterns, leftmost and not overlapping within a kind. The kind
 ``dense`` adds long runs of mixed characters whose characters per token under a vocabulary made for prose stay below a
 limit: words of any language take few tokens, random strings many. Digests of usual lengths and identifiers (UUIDs,
-numbers, paths and names of plain words) are excluded from it, as is what a known form covers already.
+numbers, paths and names of plain words) are excluded from it, as is what a known form covers already. Where a run holds
+such parts beside others, what is left between them is tested by itself, as is the whole run.
 
 Null and empty texts have no span. Every row gives one row, also those without or with repeated ids. An empty table
 gives no rows; other columns are not read.
@@ -27,6 +28,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+SIGNS = "+/_=-"
+PART = re.compile(r"[A-Za-z0-9]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_SIZES = (32, 40, 56, 64, 96, 128)
@@ -50,21 +54,49 @@ def known_spans(text: str) -> list[tuple[str, int, int, int]]:
 
 def is_identifier(run: str) -> bool:
     """A digest, a UUID, a number, or plain words and short numbers in a row."""
-    return bool(UUID.search(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES or not re.search("[A-Za-z]", run) or NAME.fullmatch(run))
+    return bool(UUID.fullmatch(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES or not re.search("[A-Za-z]", run) or NAME.fullmatch(run))
+
+
+def between(start: int, end: int, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span without the spans ``gone``."""
+    out, at = [], start
+    for s, e in sorted(gone) + [(end, end)]:
+        if min(s, end) > at:
+            out.append((at, min(s, end)))
+        at = max(at, e)
+    return out
+
+
+def is_dense(run: str, count_tokens, most: float) -> bool:
+    if len(run) < LEAST or is_identifier(run):
+        return False
+    kinds = bool(re.search("[a-z]", run)) + bool(re.search("[A-Z]", run)) + bool(re.search("[0-9]", run))
+    return kinds >= 2 and bool(re.search("[0-9]", run)) and len(run) <= most * count_tokens(run)
 
 
 def dense_spans(text: str, count_tokens, most: float, taken: list[tuple]) -> list[tuple[str, int, int, int]]:
     """Runs with at most ``most`` characters per token, apart from identifiers and known spans."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        kinds = bool(re.search("[a-z]", run)) + bool(re.search("[A-Z]", run)) + bool(re.search("[0-9]", run))
-        if kinds < 2 or not re.search("[0-9]", run) or is_identifier(run):
-            continue
-        if any(s < m.end() and m.start() < e for _, s, e, _ in taken):
+        if NAME.fullmatch(m[0]):
             continue
-        if len(run) <= most * count_tokens(run):
-            found.append(("dense", m.start(), m.end(), m.start()))
+        words = [(w.start(), w.end(), w[0]) for w in PART.finditer(text, m.start(), m.end())]
+        gone = [(s, e) for _, s, e, _ in taken if s < m.end() and m.start() < e]
+        gone += [u.span() for u in UUID.finditer(text, m.start(), m.end())]
+        gone += [(s, e) for s, e, w in words if len(w) in DIGEST_SIZES and DIGEST.fullmatch(w)]
+        for start, end in between(*m.span(), gone):
+            while m.start() < start < end and text[start] in SIGNS:
+                start += 1
+            while start < end < m.end() and text[end - 1] in SIGNS:
+                end -= 1
+            plain = [(s, e) for s, e, w in words if start <= s and e <= end and is_identifier(w)]
+            left = between(start, end, plain + [(k, k + 1) for k in range(start, end) if plain and text[k] in SIGNS])
+            # As it stands, without the plain words at its ends, and without any.
+            for parts in ([(start, end)], [(left[0][0], left[-1][1])] if left else [], between(start, end, plain)):
+                dense = [(s, e) for s, e in parts if is_dense(text[s:e], count_tokens, most)]
+                if dense:
+                    found += [("dense", s, e, s) for s, e in dense]
+                    break
     return found
 
 

@@ -316,6 +316,17 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, []), RANKS).count() == 0
 
 
+def test_secrets_beside_identifiers():
+    key, uuid = "aX9kQz7Lw2Vb8Rt4Yp6Mn3Jd5Hs1Gf0", "123e4567-e89b-12d3-a456-426614174000"
+    count = secrets.token_counter(RANKS)
+    for before in (f"tenant/{uuid}/", f"{'0a' * 12}/", f"{'9F' * 20}/", "international/organisation/documentation/collection/understanding/information/"):
+        text = f"see {before}{key} there"
+        spans = [s for s in secrets.text_spans(text, count, 2.0) if s[0] == "dense"]
+        assert spans and all(s <= text.index(key) and e >= text.index(key) + len(key) for _, s, e, _ in spans) and key not in secrets.redact(text, spans)
+    for text in (uuid, f"{uuid}/{uuid}", f"tenant/{uuid}/{'9F' * 20}/release-2024-build-1234", "some/path/of/plain/words_here-2024"):
+        assert secrets.text_spans(text, count, 2.0) == []
+
+
 def test_secrets_real_table(spark):
     texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
     for r in queries.op8_secret_scan(spark, SF).collect():
