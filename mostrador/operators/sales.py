@@ -192,15 +192,30 @@ def open_orders(orders: DataFrame, lines: DataFrame, max_lines: int = 50_000) ->
 
 
 def filter_open_orders(open_: DataFrame, q: str = "", status: str = "all") -> DataFrame:
-    """Orders whose number or any line title contains ``q`` and whose note starts with ``status``."""
+    """Orders whose number or any line title contains ``q`` and whose note starts with ``status``, with all their parts."""
     in_lines = F.exists("lines", lambda l: F.coalesce(F.lower(l["title"]).contains(q.lower()), F.lit(False)))
     hit = F.col("order_number").cast("string").contains(q) | in_lines
-    kept = open_.where(hit)
-    return kept if status == "all" else kept.where(F.col("estado_de_pedido").startswith(status))
+    kept = open_ if status == "all" else open_.where(F.col("estado_de_pedido").startswith(status))
+    if "part" not in open_.columns:
+        return kept.where(hit)
+    # A match in one part keeps the whole order. Orders of equal keys are one order; keys may be null.
+    found = kept.where(hit).select(F.struct(*OPEN_KEYS).alias("_key")).distinct()
+    return kept.withColumn("_key", F.struct(*OPEN_KEYS)).join(found, "_key", "left_semi").drop("_key").select(*open_.columns)
+
+
+def search_open_orders(orders: DataFrame, lines: DataFrame, q: str = "", status: str = "all") -> DataFrame:
+    """The same search on long rows, one row per order without its lines: a semi join whatever the size of an order."""
+    open_ = orders.where(open_orders_pred()).select(*OPEN_KEYS)
+    kept = open_ if status == "all" else open_.where(F.col("estado_de_pedido").startswith(status))
+    titled = lines.where(F.lower("title").contains(q.lower())).select(F.col("order_id").alias("id")).distinct()
+    numbered = F.col("order_number").cast("string").contains(q)
+    hit = kept.join(titled.withColumn("_titled", F.lit(True)), "id", "left").where(numbered | F.col("_titled"))
+    return hit.select(*OPEN_KEYS).distinct()
 
 
 def open_orders_total(filtered: DataFrame) -> DataFrame:
-    first = filtered.where("part = 0") if "part" in filtered.columns else filtered
+    # No part is sure to be there: equal lines all fall into one, whichever that is.
+    first = filtered.select(*OPEN_KEYS).distinct() if "part" in filtered.columns else filtered
     return first.agg(
         F.coalesce(money_sum("total_price"), F.lit(0.0)).alias("total_amount"), F.count(F.lit(1)).alias("orders")
     )

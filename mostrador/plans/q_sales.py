@@ -131,8 +131,7 @@ WITH o AS ({OPEN_LINES}), hit AS (SELECT id, MAX(total_price) AS total_price FRO
   HAVING (CAST(MAX(order_number) AS VARCHAR) LIKE '%widget%' OR bool_or(lower(title) LIKE '%widget%')) AND MAX(estado_de_pedido) LIKE '1%')
 SELECT COALESCE({money('total_price')}, 0e0) AS total_amount, COUNT(*) AS orders FROM hit""")
 def _(t):
-    found = sales.filter_open_orders(sales.open_orders(t.shopify_orders, t.shopify_order_lines), "widget", "1")
-    return sales.open_orders_total(found)
+    return sales.open_orders_total(sales.search_open_orders(t.shopify_orders, t.shopify_order_lines, "widget", "1"))
 
 
 @query("flt_13_upcoming", """

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from mostrador.functions import skew
-from mostrador.operators import joins, series, support, upsert
+from mostrador.operators import joins, sales, series, support, upsert
 
 CONV = ("session_id string, created_at timestamp_ntz, channel_origin string, people_id string, visitor_nickname string, "
         "visitor_email string, visitor_phone string")
@@ -131,6 +131,25 @@ def test_collect_in_parts_keeps_everything(spark):
     assert all(r.ids == sorted(r.ids) for r in out)
 
 
+def test_open_order_search_keeps_large_orders(spark):
+    at = datetime(2024, 1, 1)
+    orders = spark.createDataFrame(
+        [(i, 100 + i, at, 10.0 * i, None if i == 1 else "USD", "1. open", "paid", None) for i in range(1, 6)],
+        "id long, order_number long, created_at timestamp_ntz, total_price double, currency string, estado_de_pedido string, financial_status string, fulfillment_status string")
+    rows = [(1000 + k, 1, "A Widget" if k == 7 else "ring", 1, 1.0, "v") for k in range(40)]
+    rows += [(2000, 2, "widget", 1, 1.0, "v") for _ in range(40)] + [(3000, 3, "ring", 1, 1.0, "v"), (4000, 4, None, 1, 1.0, "v")]
+    lines = spark.createDataFrame(rows, "id long, order_id long, title string, quantity long, price double, vendor string")
+    for q, status, want in (("widget", "1", {1, 2}), ("widget", "2", set()), ("103", "all", {3}), ("", "all", {1, 2, 3, 4, 5}), ("RING", "all", {1, 3})):
+        long = sales.search_open_orders(orders, lines, q, status)
+        assert {r.id for r in long.collect()} == want
+        total = [tuple(sales.open_orders_total(long).first())]
+        for limit in (3, 10, 50_000):
+            found = sales.filter_open_orders(sales.open_orders(orders, lines, limit), q, status)
+            assert sum(len(r.lines) for r in found.collect() if r.id == 1) == (40 if 1 in want else 0)
+            total.append(tuple(sales.open_orders_total(found).first()))
+        assert set(total) == {(sum(10.0 * i for i in want), len(want))}
+
+
 def test_chunked_order_check(spark):
     rnd = random.Random(3)
     values = [rnd.randrange(10) for _ in range(500)]
