@@ -286,6 +286,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licenses_notices_and_whole_texts():
+    every = licenses.Wanted({n: licenses.template_words(t) for n, t in sorted(licenses.all_templates().items())}, 0.8)
+    names = lambda text: [n[0] for n in licenses.notices(text, every, 0.8)]
+    assert names("x Licensed under CC BY-NC 4.0. y") == ["CC-BY-NC-4.0 short"] and names("Licensed under CC BY 3.0.") == ["CC-BY-3.0 short"]
+    for name, text in licenses.all_templates().items():
+        found = licenses.notices(f"some words {text} more words", every, 0.8)
+        assert (name, 1.0) in [n[:2] for n in found], (name, [n[:3] for n in found])
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0"]
+    ws = licenses.TEMPLATES["MIT terms"].split()
+    rare = [k for k, w in enumerate(ws) if licenses.template_words(licenses.TEMPLATES["MIT terms"]).count(licenses.template_words(w)[0]) == 1][:12]
+    assert names(" ".join("qq" if k in rare else w for k, w in enumerate(ws))) == ["MIT terms"]
+
+
 # --- secrets
 
 def brute_known(text):
