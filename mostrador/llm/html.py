@@ -2,11 +2,12 @@
 
 Markup is stripped to lines, one for each block; what scripts, styles, comments and containers of another purpose (by
 element, role, class or id: menus, page headers, footers, sidebars, notices, adverts, forms, reader comments) held
-goes, and what stood around the text becomes blank lines. Over windows of neighbouring lines the lengths of unlinked text are summed. Text surges where a sum
-exceeds the limit and dives where sums are zero; lines between are kept, down to the last short one. A part that the
-page itself marks as its article or main part counts as surged from its first line.
+goes, and what stood around the text becomes blank lines, unless its container goes on with text. Over windows of neighbouring lines the lengths of unlinked text are summed. Text surges where a sum
+exceeds the limit and dives where sums are zero; lines between are kept, down to the last short one. Where no sum exceeds
+it, the part with most unlinked text is kept if that is more than a word. Of a part that the page itself marks as its
+article or main part all lines are kept, linked ones too.
 
-Null and empty pages give an empty text, and so do pages without a surge. Every row gives one row, also with null or
+Null and empty pages give an empty text, and so do pages without unlinked text of two words. Every row gives one row, also with null or
 repeated ids. An empty table gives no rows; other columns are not read. Unclosed elements end with the page.
 """
 
@@ -39,6 +40,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "source", "ruby", "rb", "rt", "rp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 MAIN = {"article", "main"}
+# Elements that hold a text's lines; what holds them is a container.
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
+         "caption", "figure", "figcaption", "address", "center", "hgroup"}
 # Words of classes, ids and roles that name another purpose.
 PURPOSES = {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "topbar", "footer",
             "contentinfo", "sidebar", "aside", "complementary", "widget", "notice", "notification", "alert", "banner", "cookie", "cookies", "consent", "gdpr",
@@ -68,16 +72,25 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
     end = html.rfind(">") + 1
     html = html[:end] + UNCLOSED.sub("", html[end:])
     lines: list[tuple[str, int, bool]] = []
+    # Open block elements (name, number); of each line the container's number.
+    opened: list[tuple[str, int]] = [("", 0)]
+    inside: list[int] = []
+    boxes: list[int] = []
+    number = 0
     parts: list[str] = []
     linked: list[str] = []
     at, main, anchors = 0, 0, 0
     gap = [("", 0, False)] * WINDOW
 
+    def container() -> int:
+        return next(k for name, k in reversed(opened) if name not in LINES)
+
     def close() -> None:
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             links = SPACE.sub(" ", unescape("".join(linked))).strip()
             lines.append((text, max(0, len(text) - len(links)), main > 0))
+            inside.append(container())
         parts.clear()
         linked.clear()
 
@@ -105,15 +118,34 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
             close()
             at = after_element(html, at, name)
             # A box inside the text, such as an advert, is skipped; a part of the page around it parts the text.
-            lines.extend(gap if name in OTHER else [])
+            if name in OTHER:
+                boxes.append(len(lines))
+                inside.extend([container()] * WINDOW)
+                lines.extend(gap)
             continue
         if name not in INLINE:
             close()
+            if closing:
+                at_name = next((k for k in range(len(opened) - 1, max(0, len(opened) - 200), -1) if opened[k][0] == name), 0)
+                if at_name:
+                    del opened[at_name:]
+            elif name not in VOID and not attributes.endswith("/"):
+                if opened[-1][0] == "p":
+                    opened.pop()
+                number += 1
+                opened.append((name, number))
         if name in MAIN:
             main = max(0, main + (-1 if closing else 1))
     add(html[at:])
     close()
-    return lines
+    # Text of the same container before and after a box: the box stands inside the text.
+    first, last = {}, {}
+    for k, (_, n, _) in enumerate(lines):
+        if n:
+            first.setdefault(inside[k], k)
+            last[inside[k]] = k
+    left_out = {k + j for k in boxes if first.get(inside[k], k) < k < last.get(inside[k], k) for j in range(WINDOW)}
+    return [line for k, line in enumerate(lines) if k not in left_out]
 
 
 def after_element(html: str, at: int, name: str) -> int:
@@ -135,10 +167,12 @@ def after_element(html: str, at: int, name: str) -> int:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = page_lines(html or "")
-    marked = any(main for _, _, main in lines)
-    lengths = [n if not marked or main else 0 for _, n, main in lines]
+    if any(main for _, _, main in lines):
+        return " ".join(text for text, _, main in lines if text and main)
+    lengths = [n for _, n, _ in lines]
     sums = [sum(lengths[i: i + window]) for i in range(len(lines))]
     kept: list[str] = []
+    densest: tuple[int, list[str]] = (0, [])
     i = 0
     while i < len(lines):
         if not sums[i]:
@@ -147,10 +181,13 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         end = i
         while end < len(lines) and sums[end]:
             end += 1
-        if marked or max(sums[i:end]) > surge:
-            kept += [text for text, _, main in lines[i:end] if text and (main or not marked)]
+        texts = [text for text, _, _ in lines[i:end] if text]
+        if max(sums[i:end]) > surge:
+            kept += texts
+        densest = max(densest, (sum(lengths[i:end]), texts), key=lambda d: d[0])
         i = end
-    return " ".join(kept)
+    found = " ".join(kept or densest[1])
+    return found if kept or " " in found else ""
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -224,6 +224,19 @@ def test_pages_articles():
     assert html.main_text(PAGE % "<article><p>Only.</article>") == "Only."
 
 
+def test_pages_boxes_links_and_short_lines():
+    long = "More text that fills the page so that its sums surge. " * 3
+    for box in ("<aside><p>Side</p></aside>", "<form><input> Newsletter</form>", "<nav><a href='/'>Menu</a></nav>", "<header>Head</header>", "<dialog open>Ask</dialog>"):
+        for around in ("<div class='content'>%s</div>", "%s"):
+            inner = f"<p>{long}</p>{box}<p>A short last paragraph.</p>"
+            assert html.main_text("<body>" + around % inner + "<footer>us</footer></body>") == f"{long}A short last paragraph."
+    assert html.main_text(f"<body><div class='x'><p>{long}</p></div><aside>Side</aside><div>Powered by us</div></body>") == long.strip()
+    links = "".join(f"<p><a href='/{k}'>Link {k}</a></p>" for k in range(4))
+    assert html.main_text(f"<article><p>Text.</p>{links}<p>On.</p><p><a href='/'>Last</a></p></article>") == "Text. Link 0 Link 1 Link 2 Link 3 On. Last"
+    poem = [f"Line {k} of a poem" for k in range(12)]
+    assert html.main_text("<nav>Menu</nav><div>" + "".join(f"<p>{x}</p>" for x in poem) + "</div><footer>us</footer><p>Up</p>") == " ".join(poem)
+
+
 def test_pages_odd_rows(spark):
     assert [html.main_text(x) for x in (None, "", "   ", "<nav>a", "<script>x", "<!-- open")] == [""] * 6
     assert html.main_text("plain " * 40) == ("plain " * 40).strip()
