@@ -1,9 +1,9 @@
-"""Repeated passages across documents by level-wise doubling.
+"""Repeated passages across documents by one doubling.
 
 Windows of half the wanted length come first: of each document only those that are the least hash in some wanted
 window (so that every wanted window holds one, the same wherever it occurs). Half windows that occur in a single
-document end there; the rest alone are extended to twice the length, and so on up to the wanted length and, for
-``longest``, beyond it until no candidate survives.
+document end there; the rest alone are extended to twice the length, which is the wanted one. That is the only
+doubling: longer shared passages are removed as overlapping windows, but not reported by their length.
 
 A word is removed if a window covering it also starts in a document with a smaller id. Null texts and texts shorter
 than the window lose nothing. Rows that repeat an id count as one document (none precedes the other). Rows without an
