@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, jaccard, langid, licenses, packing, secrets, substring, toxicity
+from . import ann, decontaminate, html, jaccard, langid, lexical, licenses, oracles, packing, secrets, substring, toxicity, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+# The other operators' results are beyond SQL.
+ORACLES: dict[str, str] = {"op11_url_filter": oracles.url_filter(), "op12_prefix_trie": oracles.PREFIX_TRIE, "op13_lexical_search": oracles.LEXICAL_SEARCH}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -103,3 +104,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces in sequences of 1024."""
     found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URLs of all pages, by rules and else by character models of what the rules decide."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), oracles.URL_RULES)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, first turns shared within families of 20."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
