@@ -1,12 +1,13 @@
 """Exact Jaccard join on word shingles by a token-group matrix.
 
-Equal shingle sets become one. Documents that share least shingles, under several of some hashes, are compared with the
-one among them that shares most; those connected by verified links form a group, others stand alone. A group is stored as
-the union of its members' leading shingles (rarest first, as many as a partner cannot miss all of). A document meets those
-groups whose union holds one of its own leading shingles, if the sizes of both without the leading shingles of no other
-group suffice for a link; from the number of shared ones follows a bound on the overlap with any member, and only
-groups within the bound are opened: first their leader, then, if that does not link and the two are not yet connected,
-their members.
+Equal shingle sets become one. Similar documents are partitioned into groups: those that share least shingles, under several
+of some hashes, go with the one among them that shares most, whether they link to it or not; a large group is dealt into
+parts of bounded size. A group is stored as the union of its members' leading shingles (rarest first, as many as a
+partner cannot miss all of). A document meets those groups whose union holds one of its own leading shingles, if the sizes
+of both without the leading shingles of no other group suffice for a link, and unless all members are connected with it
+already; from the number of shared ones follows a bound on the overlap with any member, and only groups within the bound
+are opened. An opened group and a bounded number of the documents that opened it meet in one task, which counts all their
+overlaps from the shingles themselves and returns links that connect something new; so no pair of documents is a row.
 
 Null and blank texts have no shingle, link with nothing and are their own component. Fewer words than a shingle make
 one shingle of the whole sequence. Rows that repeat an id are versions of one document, and so connected. Rows without an id
@@ -16,27 +17,31 @@ have no component (null) and connect nothing. Empty tables give no rows; other c
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .sides import small
-from .words import columns, emit, emit_arrays, mix, shingles, signed
+from .words import columns, emit, mix, shingles, signed
 
 # The shingles that count as common are at most this many, so that they can be sent to every task.
 COMMON = 1 << 18
-# Hashes under which least shingles are compared, and how many must agree with a leader's for a comparison of texts.
+# Hashes under which least shingles are compared, and how many must agree with a leader's to be taken for similar.
 HASHES = 8
 AGREE = 3
-# So many times a set's leading shingles are counted to find the common ones, since others move up in their place.
+# So many times a set's leading shingles are kept and counted to find the common ones, since others move up in their place.
 COUNTED = 2
 # A shingle is not common below so many documents.
 RARE = 64
-
+# Documents and shingles of a part of a group, and of those that meet it in one task.
+PART, PART_SHINGLES = 2048, 1 << 22
+# Shingles that are compared in one task, and that a task holds before it deals them out.
+RANGE, HELD = 1 << 18, 1 << 21
 
 def least_overlap(m, n, percent):
     """The smallest intersection of sets of m and n that links them."""
@@ -48,18 +53,21 @@ def prefix_size(m: int, percent: int) -> int:
     return m + (percent * m) // -100 + 1
 
 
-def order_key(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Sorted shingles with the common ones last, those by their rank. ``common`` is sorted, ``ranks`` goes with it."""
+def order_key(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted shingles with the common ones last, those by their rank, and the number of the others. ``common`` is sorted,
+    ``ranks`` goes with it."""
     if not len(common):
-        return tokens
+        return tokens, len(tokens)
     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
     is_common = common[at] == tokens
-    return np.concatenate([tokens[~is_common], tokens[is_common][np.argsort(ranks[at[is_common]])]])
+    rare = tokens[~is_common]
+    return np.concatenate([rare, tokens[is_common][np.argsort(ranks[at[is_common]])]]), len(rare)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, m, a, b, keys): size and 128-bit hash of each document's set, and its least values under several hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, m, a, b, keys, lead): size and 128-bit hash of each document's set, its least values under several hashes,
+    and its first shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64())), ("lead", pa.binary())])
     seeds = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, HASHES + 1)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,35 +76,182 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 t = shingles(text, width)
                 raw = xxhash.xxh3_128_intdigest(t.tobytes())
                 a, b = np.array([raw >> 64, raw & (1 << 64) - 1], np.uint64).view(np.int64)
-                yield doc_id, len(t), int(a), int(b), [int(signed(mix(t ^ seed).min(keepdims=True))[0]) for seed in seeds] if len(t) else None
+                keys = [int(signed(mix(t ^ seed).min(keepdims=True))[0]) for seed in seeds] if len(t) else None
+                yield doc_id, len(t), int(a), int(b), keys, t[: COUNTED * prefix_size(len(t), percent)].tobytes()
+
+        yield from emit(rows(), schema, 2000)
+
+    return docs.mapInArrow(run, "doc_id long, m long, a long, b long, keys array<long>, lead binary")
+
+
+def _by_range(n_ranges: int, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Columns of ``rows`` by the range of their shingle, which is the first row; leading shingles being least values, ranges
+    go by another hash."""
+    at = (mix(rows[0] + np.uint64(1)) % np.uint64(n_ranges)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[:, order]
+    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(at) else []
+    for first, last in zip(edges, [*edges[1:], len(at)]):
+        yield int(at[first]), rows[:, first:last].tobytes()
 
-        yield from emit(rows(), schema)
 
-    return docs.mapInArrow(run, "doc_id long, m long, a long, b long, keys array<long>")
+def _unpacked(table: pa.Table, n: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(p, np.uint64).reshape(n, -1) for p in table.column("packed").to_pylist()], axis=1)
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (x, y) those whose sets are similar enough; the pairs are a stored table."""
-    needed = cut_lineage(docs.sparkSession, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "verified")
-    texts = docs.join(small(needed), "doc_id", "left_semi")
-    one = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-    both = one.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y")), "y")
+def _common(leads: DataFrame, total: int):
+    """The common shingles, sorted, and the place of each by frequency, sent to the tasks. By its threshold their number
+    never exceeds COMMON. Each task counts its own shingles and hands them on by range, packed."""
+    n_ranges, least = max(1, total // RANGE), max(RARE, -(-total // COMMON))
+    schema = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            held: list[np.ndarray] = [np.zeros(0, np.uint64)]
+            have = 0
+            for (lead,) in columns(batches):
+                held.append(np.frombuffer(lead, np.uint64))
+                have += len(held[-1])
+                if have > HELD:
+                    yield from _by_range(n_ranges, np.stack([c.astype(np.uint64) for c in np.unique(np.concatenate(held), return_counts=True)]))
+                    held, have = held[:1], 0
+            yield from _by_range(n_ranges, np.stack([c.astype(np.uint64) for c in np.unique(np.concatenate(held), return_counts=True)]))
+
+        yield from emit(rows(), schema, 64)
+
+    def merged(table: pa.Table) -> pa.Table:
+        tokens, counts = _unpacked(table, 2)
+        order = np.argsort(tokens)
+        tokens, counts = tokens[order], signed(counts[order])
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sums = np.add.reduceat(counts, first)
+        often = sums > least
+        return pa.table({"token": pa.array(signed(tokens[first][often])), "n": pa.array(sums[often])})
+
+    rows = leads.select("lead").mapInArrow(packed, "range int, packed binary").groupBy("range").applyInArrow(merged, "token long, n long").toArrow()
+    held, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(held)
+    ranks = np.empty(len(held), np.int64)
+    ranks[np.lexsort((held[order], counts[order]))] = np.arange(len(held))
+    return leads.sparkSession.sparkContext.broadcast((held[order], ranks))
+
+
+def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: int, percent: int) -> DataFrame:
+    """(token, doc_id, g): the leading shingles that documents of at least two groups lead with. ``leads`` has doc_id, g, m
+    and lead.
+
+    Shingles are compared by range. The common ones, of which a range might hold any number, are rows at once. Where too
+    many of a document's kept shingles are common, its text is read again.
+    """
+    spark, n_ranges = leads.sparkSession, max(1, total // RANGE)
+    schema = pa.schema([("range", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int64()), ("packed", pa.binary())])
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ranks = common.value
+
+        def rows():
+            held: list[np.ndarray] = [np.zeros((3, 0), np.uint64)]
+            have = 0
+            out = lambda: ((k, None, None, None, p) for k, p in _by_range(n_ranges, np.concatenate(held, axis=1)))
+            for doc_id, g, m, lead, text in columns(batches):
+                t = np.frombuffer(lead, np.uint64) if text is None else shingles(text, width)
+                m = m if text is None else len(t)
+                size = prefix_size(m, percent)
+                whole = len(t) == m
+                t, rare = order_key(t, tokens, ranks)
+                if rare < size and not whole:
+                    yield None, None, doc_id, g, None
+                    continue
+                yield from ((None, token, doc_id, g, None) for token in signed(t[rare:size]).tolist())
+                t = t[: min(rare, size)]
+                held.append(np.concatenate([t[None, :], np.repeat(np.array([[doc_id], [g]], np.int64).view(np.uint64), len(t), axis=1)]))
+                have += len(t)
+                if have > HELD:
+                    yield from out()
+                    held, have = held[:1], 0
+            yield from out()
+
+        yield from emit(rows(), schema, 256)
+
+    def shared(table: pa.Table) -> pa.Table:
+        token, doc, g = _unpacked(table, 3)
+        order = np.lexsort((g, token))
+        token, doc, g = token[order], doc[order], g[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        last = np.concatenate([first[1:], [len(token)]])
+        many = np.repeat(g[first] != g[last - 1], last - first)
+        return pa.table({"token": pa.array(signed(token[many])), "doc_id": pa.array(signed(doc[many])), "g": pa.array(signed(g[many]))})
+
+    made = "range int, token long, doc_id long, g long, packed binary"
+    kept = cut_lineage(spark, leads.select("doc_id", "g", "m", "lead", F.lit(None).cast("binary").alias("text")).mapInArrow(dealt, made), "leading-shingles")
+    unread = cut_lineage(spark, kept.filter("range IS NULL AND token IS NULL").select("doc_id", "g").distinct(), "texts-to-read-again")
+    texts = docs.join(small(unread), "doc_id").select("doc_id", "g", F.lit(0).cast("long").alias("m"), F.lit(b"").alias("lead"), "text").filter("text IS NOT NULL")
+    kept = kept.filter("range IS NOT NULL OR token IS NOT NULL").unionByName(texts.mapInArrow(dealt, made))
+    compared = kept.filter("range IS NOT NULL").select("range", "packed").groupBy("range").applyInArrow(shared, "token long, doc_id long, g long")
+    return compared.unionByName(kept.filter("token IS NOT NULL").select("token", "doc_id", "g"))
+
+
+def cell_links(members: list[tuple], askers: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of roots that links between members and askers, both (doc_id, root, shingles), connect; no more than connect
+    anything new."""
+    of = np.repeat(np.arange(len(members)), [len(t) for _, _, t in members])
+    tokens = np.concatenate([t for _, _, t in members])
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], of[order]
+    sizes = np.array([len(t) for _, _, t in members])
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x] = up.get(up[x], up[x])
+        return x
+
+    for doc_id, root, own in askers:
+        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+        found = high > low
+        low, n = low[found], (high - low)[found]
+        entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else low
+        both = np.bincount(of[entry], minlength=len(members))
+        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (len(own) + sizes - both))).tolist():
+            a, b = find(root), find(members[j][1])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                yield root, members[j][1]
+
+
+def _linked(docs: DataFrame, asks: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(x, y): roots of linked documents. ``asks`` (doc_id, root, m, g) are documents that meet the group g, ``members``
+    (doc_id, root, g) those in it; both are stored."""
+    spark = docs.sparkSession
+    cells = asks.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("m") / PART_SHINGLES), F.lit(1)).cast("int").alias("cells"))
+    cells = small(cut_lineage(spark, cells, "cells"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")
+    rows = asks.join(cells, "g").select("g", cell.alias("cell"), "doc_id", "root", F.lit(True).alias("asks")).unionByName(
+        members.join(cells, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "doc_id", "root", F.lit(False).alias("asks")))
+    rows = cut_lineage(spark, rows, "cell-rows")
+    needed = small(cut_lineage(spark, rows.select("doc_id").distinct(), "compared"))
+    set_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from emit(((i, shingles(t, width).tobytes()) for i, t in columns(batches)), set_schema, 1000)
+
+    sets = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "doc_id long, tokens binary")
+    met = rows.join(sets, "doc_id").select("g", "cell", "asks", "doc_id", "root", "tokens")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            last, right = None, None
-            for x, y, text_x, text_y in columns(batches):
-                if last != (y, text_y):
-                    last, right = (y, text_y), shingles(text_y, width)
-                left = shingles(text_x, width)
-                both_have = len(np.intersect1d(left, right, assume_unique=True))
-                if both_have and 100 * both_have >= percent * (len(left) + len(right) - both_have):
-                    yield x, y
+        def links():
+            for _, cell in groupby(columns(batches), key=lambda r: r[:2]):
+                sides: tuple[list, list] = ([], [])
+                for _, _, asking, doc_id, root, tokens in cell:
+                    if tokens:
+                        sides[asking].append((doc_id, root, np.frombuffer(tokens, np.uint64)))
+                if sides[0] and sides[1]:
+                    yield from cell_links(*sides, percent)
 
-        yield from emit(rows(), schema)
+        yield from emit(links(), schema)
 
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long").distinct()
+    return met.repartition("g", "cell").sortWithinPartitions("g", "cell").mapInArrow(run, "x long, y long").distinct()
 
 
 def components(edges: DataFrame, names: tuple[str, str] = ("x", "y")) -> DataFrame:
@@ -118,37 +273,6 @@ def components(edges: DataFrame, names: tuple[str, str] = ("x", "y")) -> DataFra
             return state
 
 
-def _leading(sets: DataFrame, width: int, percent: int, common=None, times: int = 1) -> DataFrame:
-    """(token, doc_id, grp): the leading shingles of each set, or so many times as many; ``common`` is what ``_common``
-    sent."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("grp", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = common.value if common is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def parts():
-            for doc_id, grp, text in columns(batches):
-                t = order_key(shingles(text, width), *held)
-                t = t[: times * prefix_size(len(t), percent)]
-                yield signed(t), np.full(len(t), doc_id, np.int64), np.full(len(t), grp, np.int64)
-
-        yield from emit_arrays(parts(), schema)
-
-    return sets.select("doc_id", "grp", "text").mapInArrow(run, "token long, doc_id long, grp long")
-
-
-def _common(leading: DataFrame, total: int):
-    """The common shingles, sorted, and the place of each by frequency, sent to the tasks. By its threshold their number
-    never exceeds COMMON."""
-    least = max(RARE, -(-total // COMMON))
-    rows = leading.groupBy("token").count().filter(F.col("count") > least).toArrow()
-    held, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
-    order = np.argsort(held)
-    ranks = np.empty(len(held), np.int64)
-    ranks[np.lexsort((held[order], counts[order]))] = np.arange(len(held))
-    return leading.sparkSession.sparkContext.broadcast((held[order], ranks))
-
-
 def _fits(m_least: str, m_most: str, own: str, n_least: str, n_most: str, other: str, percent: int) -> str:
     """SQL: sets of m_least to m_most and sets of n_least to n_most may link; ``own`` and ``other`` are their sizes without
     the leading shingles that no other group leads with.
@@ -178,78 +302,79 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable over links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
-    sets = cut_lineage(spark, _sets(docs, width), "sets")
+    sets = cut_lineage(spark, _sets(docs, width, percent), "sets")
     known = sets.filter("doc_id IS NOT NULL")
     classes = known.filter("m > 0").groupBy("m", "a", "b").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     classes = cut_lineage(spark, classes, "classes")
     nodes = cut_lineage(spark, classes.groupBy("rep").agg(F.min("keys").alias("keys"), F.min("m").alias("m_least"), F.max("m").alias("m_most")), "nodes")
 
-    # Groups: what verified links connect with the document that shares most among those of the same least shingles.
+    # Similar documents: those of the same least shingles, and of them the one that shares most.
     keyed = nodes.select("rep", "m_least", "m_most", F.posexplode("keys").alias("hash", "key"))
     often = keyed.groupBy("hash", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = keyed.join(often, ["hash", "key"]).withColumn("shares", F.sum("n").over(Window.partitionBy("rep"))).drop("n")
-    keyed = cut_lineage(spark, keyed, "least-shingles")
+    keyed = keyed.join(often, ["hash", "key"])
+    keyed = cut_lineage(spark, keyed.join(keyed.groupBy("rep").agg(F.sum("n").alias("shares")), "rep").drop("n"), "least-shingles")
     leaders = keyed.groupBy("hash", "key").agg(F.max(F.struct("shares", "rep", "m_least", "m_most")).alias("leader"))
     pairs = (keyed.join(leaders, ["hash", "key"]).filter(f"rep <> leader.rep AND {percent} * greatest(m_least, leader.m_least) <= 100 * least(m_most, leader.m_most)")
-             .groupBy(F.col("rep").alias("x"), F.col("leader.rep").alias("y")).count().filter(F.col("count") >= AGREE).select("x", "y"))
-    stars = components(_linked(docs, cut_lineage(spark, pairs, "star-pairs"), width, percent))
-    member = cut_lineage(spark, nodes.join(stars.withColumnsRenamed({"node": "rep", "root": "leader"}), "rep", "left")
-                         .select("rep", F.coalesce("leader", "rep").alias("grp"), "m_least", "m_most"), "members")
-    group = cut_lineage(spark, member.groupBy("grp").agg(F.count("*").alias("size"), F.min("m_least").alias("m_least"), F.max("m_most").alias("m_most")), "groups")
+             .groupBy(F.col("rep").alias("doc_id"), F.col("leader.rep").alias("g")).agg(F.count("*").alias("agree"), F.max("m_most").alias("m")).filter(F.col("agree") >= AGREE))
+    pairs = cut_lineage(spark, pairs, "star-pairs")
+    stars = _linked(docs, pairs.withColumn("root", F.col("doc_id")), pairs.select(F.col("g").alias("doc_id"), F.col("g").alias("root"), "g").distinct(), width, percent)
+    roots = components(stars.unionByName(_versions(known, classes)))
+
+    # Groups: a star, and who is most like one of it; in parts of bounded size.
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    like = pairs.groupBy(F.col("doc_id").alias("rep")).agg(F.max_by("g", F.struct("agree", "g")).alias("like"))
+    member = (nodes.drop("keys").join(of("rep"), "rep", "left").join(like, "rep", "left").join(of("like"), "like", "left")
+              .select("rep", "m_least", "m_most", F.coalesce("rep_root", "rep").alias("root"), F.coalesce("rep_root", "like_root", "like", "rep").alias("head")))
+    member = cut_lineage(spark, member, "heads")
+    parts = member.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("m_most") / PART_SHINGLES)).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
+    member = member.join(small(cut_lineage(spark, parts, "parts")), "head", "left").withColumn("g", F.xxhash64("head", part)).select("rep", "root", "g", "m_least", "m_most")
+    member = cut_lineage(spark, member, "members")
+    group = cut_lineage(spark, member.groupBy("g").agg(F.count("*").alias("size"), F.min("m_least").alias("g_least"), F.max("m_most").alias("g_most"),
+                                                       F.min("root").alias("g_root_0"), F.max("root").alias("g_root_1")), "groups")
 
     # The matrix: shingles that lead sets of at least two groups.
-    reps = docs.join(small(member.select(F.col("rep").alias("doc_id"), "grp")), "doc_id")
-    total = classes.agg(F.coalesce(F.sum(F.col("m") - F.ceil(F.col("m") * percent / 100) + 1), F.lit(0))).first()[0]
-    leading = _leading(reps, width, percent, _common(_leading(reps, width, percent, times=COUNTED).select("token"), COUNTED * int(total)))
-    alike = Window.partitionBy("token")
-    rows = (leading.withColumn("a", F.min("grp").over(alike)).withColumn("b", F.max("grp").over(alike))
-            .filter("a < b").select("token", "doc_id", "grp"))
-    rows = cut_lineage(spark, rows, "matrix-rows")
+    ours = classes.select("m", "a", "b", F.col("rep").alias("doc_id"))
+    leads = known.select("doc_id", "m", "a", "b", "lead").join(small(ours), ["doc_id", "m", "a", "b"], "left_semi")
+    leads = leads.join(small(member.select(F.col("rep").alias("doc_id"), "g")), "doc_id")
+    total = int(classes.agg(F.coalesce(F.sum(F.col("m") - F.ceil(F.col("m") * percent / 100) + 1), F.lit(0))).first()[0])
+    rows = cut_lineage(spark, _matrix_rows(leads, docs, _common(leads, COUNTED * total), total, width, percent), "matrix-rows")
     # With each set's size without the leading shingles left out. A document with several versions spans sizes, and counts
     # as its largest.
     left_out = F.col("m_least") - F.ceil(F.col("m_least") * percent / 100) + 1 - F.col("n")
     open_size = F.when(F.col("m_least") == F.col("m_most"), F.col("m_least") - left_out).otherwise(F.col("m_most"))
     sized = (rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(member.withColumnRenamed("rep", "doc_id"), "doc_id")
-             .join(group.select("grp", "size"), "grp").select("doc_id", "size", F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1"), open_size.alias("own")))
+             .join(group.select("g", "size"), "g").select("doc_id", "size", "root", F.col("m_least").alias("m_0"), F.col("m_most").alias("m_1"), open_size.alias("own")))
     sized = small(cut_lineage(spark, sized, "sizes"))
-    sizes = small(group.select(F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("m_least").alias("g_least"), F.col("m_most").alias("g_most")))
     asking = cut_lineage(spark, rows.join(sized, "doc_id"), "asking")
-    matrix = (asking.groupBy(F.col("token").alias("held"), F.col("grp").alias("g"))
-              .agg(F.first("size").alias("h_size"), F.min("m_0").alias("h_0"), F.max("m_1").alias("h_1"), F.max("own").alias("h_own")))
+    matrix = (asking.groupBy(F.col("token").alias("held"), F.col("g").alias("of")).agg(
+        F.first("size").alias("h_size"), F.min("m_0").alias("h_0"), F.max("m_1").alias("h_1"), F.max("own").alias("h_own"), F.min("root").alias("h_root_0"), F.max("root").alias("h_root_1")))
 
     # Which groups a document's bound lets open; of two groups the smaller one's documents ask.
-    smaller = "token = held AND (size < h_size OR size = h_size AND grp < g) AND " + _fits("m_0", "m_1", "own", "h_0", "h_1", "h_own", percent)
-    met = (asking.join(matrix, F.expr(smaller)).groupBy("doc_id", "grp", "g").agg(F.count("*").alias("shared"), F.first("m_0").alias("m_0"), F.first("m_1").alias("m_1"))
-           .join(sizes, "g"))
+    smaller = ("token = held AND (size < h_size OR size = h_size AND g < of) AND NOT (h_root_0 = root AND h_root_1 = root) AND "
+               + _fits("m_0", "m_1", "own", "h_0", "h_1", "h_own", percent))
+    met = (asking.join(matrix, F.expr(smaller)).groupBy("doc_id", "root", "of").agg(F.count("*").alias("shared"), F.first("m_0").alias("m_0"), F.first("m_1").alias("m_1"))
+           .withColumnRenamed("of", "g").join(small(group), "g"))
     # A document with several versions spans sizes; it is then let through unbounded.
-    bound = _bounded("shared", "m_0", "g_least", "g_most", percent)
-    opened = cut_lineage(spark, met.filter(f"m_0 <> m_1 OR ({bound})").select("doc_id", "grp", "g", "g_size"), "opened")
-    by_leader = cut_lineage(spark, _linked(docs, opened.select(F.col("doc_id").alias("x"), F.col("g").alias("y")), width, percent), "leader-links")
-
-    def joined(links: DataFrame) -> DataFrame:
-        """(grp, root) of the groups that the links of documents connect."""
-        a = member.select(F.col("rep").alias("x"), F.col("grp").alias("gx"))
-        b = member.select(F.col("rep").alias("y"), F.col("grp").alias("gy"))
-        return components(links.join(a, "x").join(b, "y").select("gx", "gy").filter("gx <> gy").distinct(), ("gx", "gy"))
-
-    roots = joined(by_leader)
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    # Members of opened groups that neither the leader nor a chain of links connects.
-    apart = (opened.filter("g_size > 1").join(root_of("grp"), "grp", "left").join(root_of("g"), "g", "left")
-             .filter("coalesce(grp_root, grp) <> coalesce(g_root, g)").select("doc_id", "g"))
-    held = asking.select("token", F.col("doc_id").alias("y"), F.col("grp").alias("g"), F.col("m_0").alias("n_0"), F.col("m_1").alias("n_1"), F.col("own").alias("other"))
-    ask = asking.drop("grp", "size").join(apart, "doc_id").withColumnsRenamed({"token": "asked", "g": "of"})
-    inner = (ask.join(held, F.expr("asked = token AND of = g AND y <> g AND " + _fits("m_0", "m_1", "own", "n_0", "n_1", "other", percent)))
-             .groupBy(F.col("doc_id").alias("x"), "y").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("m_0", "m_1", "n_0", "n_1")))
-             .filter(f"m_0 <> m_1 OR n_0 <> n_1 OR ({_bounded('shared', 'm_0', 'n_0', 'n_1', percent)})").select("x", "y"))
-    inner = cut_lineage(spark, inner, "member-pairs")
-    if not inner.isEmpty():
-        roots = joined(by_leader.union(_linked(docs, inner, width, percent)))
-
-    # Back to rows: a row's set, its class's document, that one's group, the group's root.
-    linked = (classes.join(member.select("rep", "grp"), "rep").join(roots.select(F.col("node").alias("grp"), "root"), "grp", "left")
-              .select("m", "a", "b", F.coalesce("root", "grp").alias("root")))
-    linked = cut_lineage(spark, linked, "classes-linked")
-    per_row = known.join(linked, ["m", "a", "b"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    # Groups carry their smallest representative, which is the smallest document of the component.
+    opened = met.filter(f"m_0 <> m_1 OR ({_bounded('shared', 'm_0', 'g_least', 'g_most', percent)})").select("doc_id", "root", F.col("m_1").alias("m"), "g")
+    # Members of one group that no star connects meet each other too.
+    inside = member.join(small(group.filter("g_root_0 <> g_root_1").select("g")), "g", "left_semi").select(F.col("rep").alias("doc_id"), "root", F.col("m_most").alias("m"), "g")
+    opened = cut_lineage(spark, opened.unionByName(inside), "opened")
+    links = _linked(docs, opened, member.select(F.col("rep").alias("doc_id"), "root", "g"), width, percent)
+    last = components(links)
+
+    # Back to rows: a row's set, its class's document, that one's star, the star's root.
+    final = member.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("rep", F.coalesce("last", "root").alias("root"))
+    linked = cut_lineage(spark, classes.join(final, "rep").select("m", "a", "b", "root"), "classes-linked")
+    per_row = known.select("doc_id", "m", "a", "b").join(linked, ["m", "a", "b"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    # Roots are the smallest representatives, which are the smallest documents of their components.
     return per_row.unionByName(sets.filter("doc_id IS NULL").select("doc_id", F.col("m").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def _versions(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y): representatives of the sets of each id that has several."""
+    several = known.filter("m > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    several = small(cut_lineage(known.sparkSession, several, "repeated-ids"))
+    of = known.select("doc_id", "m", "a", "b").join(several, "doc_id", "left_semi").join(classes.select("m", "a", "b", "rep"), ["m", "a", "b"])
+    least = of.groupBy("doc_id").agg(F.min("rep").alias("x"))
+    return of.join(least, "doc_id").select("x", F.col("rep").alias("y")).filter("x <> y").distinct()

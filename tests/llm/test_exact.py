@@ -249,6 +249,39 @@ def test_jaccard_equals_brute_force(spark, docs, rare, monkeypatch):
     assert got == brute_jaccard(docs)
 
 
+def test_jaccard_in_small_parts_and_ranges(spark, monkeypatch):
+    for name, value in (("PART", 3), ("RANGE", 50), ("HELD", 200), ("RARE", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    # Heavily edited copies of one text, half of them not linked with any other, and lines that many texts share.
+    rnd, vocab = random.Random(9), vocabulary(500, 9)
+    base, line = [rnd.choice(vocab) for _ in range(80)], [rnd.choice(vocab) for _ in range(12)]
+    docs = []
+    for i in range(90):
+        ws = list(base) if i % 3 else [rnd.choice(vocab) for _ in range(30)]
+        for _ in range(rnd.choice([0, 1, 2, 4, 6, 9])):
+            ws[rnd.randrange(len(ws))] = rnd.choice(vocab)
+        docs.append((i, " ".join(ws + line * (i % 2) + line[:8] * (i % 5 == 0))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, docs)).collect()}
+    assert got == brute_jaccard(docs) and 5 < len({c for _, c in got.values()}) < 85
+
+
+def test_cell_links_connect_what_links():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
+    links = set(jaccard.cell_links([(i, i, t) for i, t in enumerate(sets[:15])], [(i + 15, i + 15, t) for i, t in enumerate(sets[15:])], 40))
+    assert all(100 * len(np.intersect1d(sets[x], sets[y])) >= 40 * len(np.union1d(sets[x], sets[y])) for x, y in links)
+    reach = {i: {i} for i in range(30)}
+    every = [(x, y) for x in range(15, 30) for y in range(15) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 40 * len(np.union1d(sets[x], sets[y]))]
+    for pairs, of in ((links, "found"), (every, "all")):
+        for x, y in pairs:
+            whole = reach[x] | reach[y]
+            for z in whole:
+                reach[z] = whole
+        if of == "found":
+            found = {i: set(c) for i, c in reach.items()}
+    assert found == reach and len(links) <= 29
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(4, "a b c"), (3, "A  b\tC"), (None, "a b c"), (None, None), (5, None), (6, ""), (7, "q w"), (7, "a b c"), (8, "q w")]
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, rows)).collect() if r.doc_id)
