@@ -44,7 +44,8 @@ GAPS = "._-~'*"
 EDGES = ".,;:?!\"'()[]{}<>*_-~#%&^=/\\"
 
 ODD = re.compile(r"[^\W\d_][0-9@$!|+€£(*#._~'-]+[^\W\d_]|^[0-9@$|+€£(]+[^\W\d_]{2}|[^\W\d_]{2}[0-9$@]+$|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<![^\s])(?:[^\s][ ._~*-]{1,2}){2,}[^\s](?![^\s.,;:!?])")
+# Signs that part letters are no letters themselves, so that a run reads in one way only; a star may stand for a letter.
+SPACED = re.compile(r"(?<![^\s])(?:[^\s._~*-](?: \* |[ ._~*-]{1,2})){2,}[^\s._~*-](?![^\s.,;:!?_~*-])")
 # What parts the letters of a spaced-out passage.
 BETWEEN = re.compile(r"[ ._~*-]+")
 ENDED = " \n"
