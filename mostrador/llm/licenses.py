@@ -171,6 +171,8 @@ def notices(text: str, templates: dict[str, list[str]] | Wanted, least: float) -
         near, reach = [(k, w) for k, w in places if w in own], len(ws) + len(ws) // 2 + 2
         have: Counter = Counter()
         i = j = common = 0
+        # After an alignment that failed: the place up to which words must enter before another can succeed.
+        wait = 0
         while i < len(near):
             while j < len(near) and near[j][0] < near[i][0] + reach:
                 w = near[j][1]
@@ -178,13 +180,16 @@ def notices(text: str, templates: dict[str, list[str]] | Wanted, least: float) -
                 common += have[w] <= own[w]
                 j += 1
             after = i + 1
-            if common >= need:
+            if common >= need and j >= wait:
                 stretch = near[i:j]
                 pairs = align(ws, [w for _, w in stretch])
                 if len(pairs) >= need:
                     start, end = stretch[pairs[0][1]][0], stretch[pairs[-1][1]][0]
                     found.append((name, len(pairs) / len(ws), len(pairs), spans[start][0], spans[end][1]))
                     after = i + pairs[-1][1] + 1
+                else:
+                    # Every word that enters aligns at most one more; half as many, since the anchors chosen need not be the best.
+                    wait = j + max(1, (need - len(pairs)) // 2)
             for _, w in near[i:after]:
                 common -= have[w] <= own[w]
                 have[w] -= 1
