@@ -6,7 +6,7 @@ limit: words of any language take few tokens, random strings many. Digests of us
 numbers, paths and names of plain words) are excluded from it, as is what a known form covers already. Where a run holds
 such parts beside others, what is left between them is tested by itself, as is the whole run.
 
-Null and empty texts have no span. Every row gives one row, also those without or with repeated ids. An empty table
+Null and empty texts have no span; texts of any length are read whole, in time that grows with their length. Every row gives one row, also those without or with repeated ids. An empty table
 gives no rows; other columns are not read.
 """
 
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,11 +79,16 @@ def is_dense(run: str, count_tokens, most: float) -> bool:
 def dense_spans(text: str, count_tokens, most: float, taken: list[tuple]) -> list[tuple[str, int, int, int]]:
     """Runs with at most ``most`` characters per token, apart from identifiers and known spans."""
     found = []
+    # Known spans by start, and the furthest end up to each: those that reach into a run are a stretch of them.
+    known = sorted((s, e) for _, s, e, _ in taken)
+    starts, reach = [s for s, _ in known], list(accumulate((e for _, e in known), max))
     for m in RUN.finditer(text):
         if NAME.fullmatch(m[0]):
             continue
         words = [(w.start(), w.end(), w[0]) for w in PART.finditer(text, m.start(), m.end())]
-        gone = [(s, e) for _, s, e, _ in taken if s < m.end() and m.start() < e]
+        names = [(s, e) for s, e, w in words if is_identifier(w)]
+        first_names = [s for s, _ in names]
+        gone = [(s, e) for s, e in known[bisect_right(reach, m.start()): bisect_left(starts, m.end())] if e > m.start()]
         gone += [u.span() for u in UUID.finditer(text, m.start(), m.end())]
         gone += [(s, e) for s, e, w in words if len(w) in DIGEST_SIZES and DIGEST.fullmatch(w)]
         for start, end in between(*m.span(), gone):
@@ -89,7 +96,7 @@ def dense_spans(text: str, count_tokens, most: float, taken: list[tuple]) -> lis
                 start += 1
             while start < end < m.end() and text[end - 1] in SIGNS:
                 end -= 1
-            plain = [(s, e) for s, e, w in words if start <= s and e <= end and is_identifier(w)]
+            plain = [(s, e) for s, e in names[bisect_left(first_names, start): bisect_left(first_names, end)] if e <= end]
             left = between(start, end, plain + [(k, k + 1) for k in range(start, end) if plain and text[k] in SIGNS])
             # As it stands, without the plain words at its ends, and without any.
             for parts in ([(start, end)], [(left[0][0], left[-1][1])] if left else [], between(start, end, plain)):
