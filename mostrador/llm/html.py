@@ -4,11 +4,13 @@ Markup is stripped to lines, one for each block; what scripts, styles, comments
 element, role, class or id: menus, page headers, footers, sidebars, notices, adverts, forms, reader comments) held
 goes, and what stood around the text becomes blank lines, unless its container goes on with text. Over windows of neighbouring lines the lengths of unlinked text are summed. Text surges where a sum
 exceeds the limit and dives where sums are zero; lines between are kept, down to the last short one. Where no sum exceeds
-it, the part with most unlinked text is kept if that is more than a word. Of a part that the page itself marks as its
-article or main part all lines are kept, linked ones too.
+it, the part with most unlinked text is kept if that is more than a word. Marks of the page weigh the lines: where its
+article or main part holds at least half of all unlinked text, each line there weighs more than the limit, linked ones
+too, and lines elsewhere nothing.
 
 Null and empty pages give an empty text, and so do pages without unlinked text of two words. Every row gives one row, also with null or
-repeated ids. An empty table gives no rows; other columns are not read. Unclosed elements end with the page.
+repeated ids. An empty table gives no rows; other columns are not read. Elements of another purpose that are never closed
+end with their parent, or before the next paragraph, heading or part of the page beside their content.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ WINDOW = 3
 SURGE = 80
 
 TAG = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
-ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
-HIDDEN = re.compile(r"""(?i)(?<![\w-])hidden(?![\w-])(?!\s*=\s*["']?false)|display\s*:\s*none""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+INVISIBLE = re.compile(r"(?i)display\s*:\s*none")
 # A tag that the page ends in.
 UNCLOSED = re.compile(r"(?s)<[a-zA-Z/!?].*")
 SPACE = re.compile(r"\s+")
@@ -38,6 +40,12 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 OTHER = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "fieldset"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "source", "ruby", "rb", "rt", "rp"}
+# Of these the content is no markup, so that only their own end ends them.
+RAW_TEXT = {"script", "style", "textarea", "title", "noscript", "iframe"}
+# Elements that end where another such begins beside them, and those that a block ends.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+# Where a box that is never closed ends, at the latest.
+BEGINNINGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "section", "blockquote"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 MAIN = {"article", "main"}
 # Elements that hold a text's lines; what holds them is a container.
@@ -47,8 +55,11 @@ LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol
 PURPOSES = {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "topbar", "footer",
             "contentinfo", "sidebar", "aside", "complementary", "widget", "notice", "notification", "alert", "banner", "cookie", "cookies", "consent", "gdpr",
             "popup", "modal", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "comment",
-            "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "newsletter",
+            "comments", "commentlist", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter",
             "subscribe", "subscription", "signup", "login", "search", "searchbox", "form", "toolbar", "copyright", "skip"}
+# Words that may stand beside those; with any other word a name is the text's own, such as ``social-history``.
+BESIDE = {"list", "box", "bar", "section", "area", "block", "site", "top", "bottom", "left", "right", "inner", "outer", "wrap", "item", "items", "link", "links", "post",
+          "posts", "global", "primary", "secondary", "module", "panel", "group", "button", "buttons", "icons", "media", "text", "overlay", "js", "is", "the", "to", "us"}
 LAYOUT = {"has", "with", "no", "without", "content", "main", "body", "article", "layout", "page", "wrapper", "container"}
 
 
@@ -57,12 +68,13 @@ def other_purpose(name: str, attributes: str, inside_main: bool) -> bool:
         return not (name == "header" and inside_main)
     if not attributes or name in ("html", "body", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
     for m in ATTRIBUTE.finditer(attributes):
-        for value in m[2].strip("\"'").lower().split():
-            words = re.findall(r"[a-z]+", value)
-            if not LAYOUT.intersection(words) and PURPOSES.intersection(words):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" and value != "false" or key == "style" and INVISIBLE.search(value):
+            return True
+        for name_of in value.split() if key in ("class", "id", "role") else ():
+            words = re.findall(r"[a-z]+", name_of)
+            if not LAYOUT.intersection(words) and PURPOSES.intersection(words) and PURPOSES.union(BESIDE).issuperset(words):
                 return not (inside_main and words[-1] == "header")
     return False
 
@@ -109,14 +121,16 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             anchors = 0 if closing else 1
         if not closing and name in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"(?i)</{re.escape(name)}(?![\w-])[^>]*>").search(html, at)
-            at = end.end() if end else len(html)
-            if name not in INLINE:
-                add(" ")
+            if name in RAW_TEXT:
+                end = re.compile(rf"(?i)</{re.escape(name)}(?![\w-])[^>]*>").search(html, at)
+                at = end.end() if end else len(html)
+            else:
+                at = after_element(html, at, name, {n for n, _ in opened})
+            add(" ")
             continue
         if not closing and name not in VOID and other_purpose(name, attributes, main > 0):
             close()
-            at = after_element(html, at, name)
+            at = after_element(html, at, name, {n for n, _ in opened})
             # A box inside the text, such as an advert, is skipped; a part of the page around it parts the text.
             if name in OTHER:
                 boxes.append(len(lines))
@@ -148,28 +162,44 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
     return [line for k, line in enumerate(lines) if k not in left_out]
 
 
-def after_element(html: str, at: int, name: str) -> int:
-    """Where the element opened before ``at`` ends, counting those of its name inside; scripts and comments hide tags."""
-    depth = 1
+def after_element(html: str, at: int, name: str, around: set[str]) -> int:
+    """Where the element opened before ``at`` ends, with the elements ``around`` it open; scripts and comments hide tags."""
+    inside = [name]
+    early = None
+    closed = re.compile(rf"(?i)</{re.escape(name)}(?![\w-])").search(html, at)
     while m := TAG.search(html, at):
-        at = m.end()
         found = (m[2] or m[5] or "").lower()
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if found == name:
-            depth += -1 if closing else 0 if attributes.endswith("/") else 1
-            if not depth:
-                return at
-        elif found in ("script", "style", "textarea") and not closing:
-            end = re.compile(rf"(?i)</{found}(?![\w-])[^>]*>").search(html, at)
-            at = end.end() if end else len(html)
-    return len(html)
+        if closing:
+            if found in inside:
+                while inside.pop() != found:
+                    pass
+                if not inside:
+                    return m.end()
+            elif found in around:
+                return early or m.start()
+        elif found:
+            if len(inside) == 1:
+                if found in SIBLINGS.get(name, ()) or name == "p" and found not in INLINE | VOID | RAW:
+                    return m.start()
+                if found in BEGINNINGS:
+                    early = early or m.start()
+                    if not closed:
+                        return early
+            if found in RAW_TEXT:
+                end = re.compile(rf"(?i)</{found}(?![\w-])[^>]*>").search(html, m.end())
+                at = end.end() if end else len(html)
+                continue
+            if found not in VOID and found not in INLINE and not attributes.endswith("/"):
+                inside.append(found)
+        at = m.end()
+    return early or len(html)
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = page_lines(html or "")
-    if any(main for _, _, main in lines):
-        return " ".join(text for text, _, main in lines if text and main)
-    lengths = [n for _, n, _ in lines]
+    marked = any(main for _, _, main in lines) and 2 * sum(n for _, n, main in lines if main) >= sum(n for _, n, _ in lines)
+    lengths = [(len(text) + surge + 1 if main and text else 0) if marked else n for text, n, main in lines]
     sums = [sum(lengths[i: i + window]) for i in range(len(lines))]
     kept: list[str] = []
     densest: tuple[int, list[str]] = (0, [])
@@ -181,7 +211,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         end = i
         while end < len(lines) and sums[end]:
             end += 1
-        texts = [text for text, _, _ in lines[i:end] if text]
+        texts = [text for text, _, main in lines[i:end] if text and (main or not marked)]
         if max(sums[i:end]) > surge:
             kept += texts
         densest = max(densest, (sum(lengths[i:end]), texts), key=lambda d: d[0])

@@ -1,5 +1,6 @@
 """Toxicity, languages, neighbours, pages, licenses, secrets and the pipeline on small cases, rules and brute force."""
 
+import time
 import hashlib
 import json
 import random
@@ -436,3 +437,85 @@ def test_registered_queries():
     keys = list(entry.queries())
     assert [k for n in range(1, 11) for k in keys if k.startswith(f"op{n}_")] == sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0]))
     assert "pipeline" in keys and json.dumps(entry.oracle_sql())
+
+
+# --- lengths and forms that once took too long or lost text
+
+@pytest.mark.parametrize("sign", list(".-*~_ "))
+def test_long_rule_lines_are_quick(sign):
+    start = time.perf_counter()
+    for text in (sign * 100_000 + "word", f" {sign} " * 50_000 + "note", "a" + sign * 100_000, f"{sign}a" * 50_000 + "!x", f"a{sign} " * 30_000):
+        list(toxicity.passages(text))
+    assert time.perf_counter() - start < 5
+
+
+def test_spaced_letters_are_still_found():
+    for text, want in (("you are a m o r o n", "a m o r o n"), ("m.o.r.o.n", "m o r o n"), ("m o * o n", "m o  o n"), ("m - o - r", None)):
+        assert [p for p in toxicity.passages(text)] == ([want] if want else [])
+
+
+def test_whole_licenses_are_quick():
+    templates = {name: licenses.template_words(text) for name, text in licenses.all_templates().items()}
+    wanted = licenses.Wanted({k: v for k, v in templates.items() if v}, 0.8)
+    rnd = random.Random(2)
+    for name in ("LGPL-2.1", "GPL-3.0", "GPL-2.0"):
+        text = next(t for k, t in licenses.all_templates().items() if k == name)
+        for doc in (text, "some words before it\n" + text + "\nand after " * 50):
+            start = time.perf_counter()
+            found = licenses.notices(doc, wanted, 0.8)
+            assert name in {f[0] for f in found} and time.perf_counter() - start < 3
+        mixed = text.split()
+        rnd.shuffle(mixed)
+        start = time.perf_counter()
+        licenses.notices(" ".join(mixed), wanted, 0.8)
+        assert time.perf_counter() - start < 3
+
+
+def test_notices_among_other_words():
+    template = {"T": [f"w{i % 37}x{i // 5}" for i in range(60)]}
+    rnd = random.Random(3)
+    for _ in range(40):
+        ws, body = template["T"], []
+        for w in ws:
+            if rnd.random() < 0.9:
+                body.append(w)
+            if rnd.random() < 0.1:
+                body.append(rnd.choice(ws))
+        text = " ".join([rnd.choice(ws) for _ in range(rnd.randrange(30))] + ["and"] * rnd.randrange(100) + body + [rnd.choice(ws) for _ in range(20)])
+        found = licenses.notices(text, template, 0.6)
+        # Every stretch aligned from scratch at every place finds no notice where none is found.
+        assert found or all(len(licenses.align(ws, text.split()[i: i + 92])) < 36 for i in range(len(text.split())))
+
+
+def test_long_runs_of_secrets_are_quick():
+    rnd = random.Random(4)
+    count = secrets.token_counter(RANKS)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    ids = "-".join("-".join(hexes(n) for n in (8, 4, 4, 4, 12)) for _ in range(8000))
+    for text in (ids, "/".join(hexes(32) for _ in range(8000)), "+".join(rnd.choice(["plain", "words", hexes(9)]) for _ in range(8000))):
+        start = time.perf_counter()
+        secrets.text_spans(text, count, 2.0)
+        assert time.perf_counter() - start < 4
+
+
+LONG = "Words of the article that go on for a while, as articles do, and fill its lines. "
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="social-history">Social history</h2>', '<section id="discussion"><p>Discussed.</p></section>', '<p class="related-work">Related work.</p>',
+    '<p title="hidden gems">Gems.</p>', '<p data-x="class=ad">Odd.</p>'])
+def test_pages_keep_parts_of_the_article(part):
+    inside = re.sub("<[^>]*>", "", part)
+    for around in ("<article><p>%s</p>%s<p>%s</p></article>", "<div><p>%s</p>%s<p>%s</p></div>"):
+        assert html.main_text("<body>" + around % (LONG * 3, part, LONG * 3) + "</body>") == f"{(LONG * 3).strip()} {inside} {(LONG * 3).strip()}"
+
+
+@pytest.mark.parametrize("part", ['<ul><li class="social">x<li>Point</ul>', '<p class="share">Share', '<nav><a href="/">Menu</a>', "<button>Press", '<section class="ad">Buy'])
+def test_pages_unclosed_boxes_do_not_empty_the_page(part):
+    for around in ("<article>%s<p>%s</p><p>%s</p></article>", "<div>%s<p>%s</p><p>%s</p></div>"):
+        assert html.main_text("<body>" + around % (part, LONG * 3, LONG * 2) + "</body>").endswith(f"{(LONG * 3).strip()} {(LONG * 2).strip()}")
+
+
+def test_pages_marks_change_nothing_on_the_real_table(spark):
+    for (page,) in queries.table(spark, SF, "pages").select("html").toLocalIterator():
+        assert html.main_text(re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", page)) == html.main_text(page) != ""
