@@ -1,10 +1,10 @@
 """Toxicity, languages, neighbours, pages, licenses, secrets and the pipeline on small cases, rules and brute force."""
 
-import time
 import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from functools import cache
 
