@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str = "rn") -> DataFrame:
     """First ``k`` rows per key in ``order``, numbered in ``rank``.
@@ -18,28 +20,29 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def collect_parts(
-    df: DataFrame, keys: Sequence[str], element: Column, name: str, spread: Column, max_rows: int = 50_000
-) -> DataFrame:
-    """Sorted array of ``element`` per key, in parts of about ``max_rows`` elements.
+def collect_parts(df: DataFrame, keys: Sequence[str], element: Column, name: str, max_rows: int = 50_000) -> DataFrame:
+    """Sorted array of ``element`` per key in parts of ``max_rows`` elements, numbered in ``part`` from 0; ``parts`` is how
+    many the key has. Parts put one after the other are the key's sorted array.
 
-    Keys up to ``max_rows`` rows give one row with ``part`` 0. A larger key is spread over
-    several parts by the hash of ``spread``; all elements are kept.
+    Rows are ranged by key, element and a number of their own, so that neither a hot key nor an element that comes very often
+    stays in one task. Each task numbers its own rows, and the counts of the ranges before lift them to places in the key.
+    Null elements are left out, as collecting them does; keys may be null.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_rows)
-        .select(*keys, F.ceil(F.col("_n") / max_rows).cast("bigint").alias("_parts"))
-    )
-    marked = df.join(hot, list(keys), "left").withColumn(
-        "part",
-        F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(
-            F.pmod(F.xxhash64(spread), F.coalesce(F.col("_parts"), F.lit(1)))
-        ),
-    )
+    spark = df.sparkSession
+    rows = df.select(F.struct(*keys).alias("_key"), element.alias("_element")).where(F.col("_element").isNotNull())
+    rows = cut_lineage(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "elements")
+    ranged = cut_lineage(spark, rows.repartitionByRange("_key", "_element", "_row").withColumn("_range", F.spark_partition_id()), "ranged-elements")
+    before = Window.partitionBy("_key").orderBy("_range")
+    counts = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_key", "_range", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("_key")).alias("_all"))
+    own = F.row_number().over(Window.partitionBy("_key", "_range").orderBy("_element", "_row"))
+    placed = ranged.withColumn("_place", own).join(offsets, ["_key", "_range"]).select(
+        "_key.*", "_element", F.floor((F.col("_before") + F.col("_place") - 1) / max_rows).alias("part"), F.ceil(F.col("_all") / max_rows).alias("parts"))
     # Spread by part as well: rows clustered by the keys alone would stay in one task.
-    return marked.repartition(*keys, "part").groupBy(*keys, "part").agg(F.sort_array(F.collect_list(element)).alias(name))
+    return placed.repartition(*keys, "part").groupBy(*keys, "part").agg(
+        F.sort_array(F.collect_list("_element")).alias(name), F.first("parts").alias("parts"))
 
 
 # Characters per piece of a long text.

@@ -113,12 +113,12 @@ def first_listings(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def price_summary(live: DataFrame, keys: Sequence[str], ours: str = "our_price", theirs: str = "competitor_price") -> DataFrame:
-    """Least, greatest and mean competitor price and the share of competitive listings."""
+    """Number of listings, least, greatest and mean competitor price and the share of competitive listings."""
     priced = (F.col(theirs) > 0) & (F.col(ours) > 0)
     p = F.when(priced, F.col(theirs))
     known = F.col("is_competitive_live").isNotNull()
     return live.groupBy(*keys).agg(
-        F.min(p).alias("lowest"), F.max(p).alias("highest"),
+        F.count(F.lit(1)).alias("total"), F.min(p).alias("lowest"), F.max(p).alias("highest"),
         js_round(safe_div(money_sum(p), F.count(p)), 2).alias("average"),
         js_round(safe_div(count_where(F.col("is_competitive_live")), count_where(known)) * 100).alias("competitiveness_rate"),
     )
@@ -249,7 +249,7 @@ def calendar_months(calendar: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Dated events grouped by month, each month's events in date order."""
     rows = calendar.where(F.col("event_date").isNotNull()).withColumn("month", F.trunc("event_date", "month"))
     event = F.struct("event_date", "event_name")
-    return skew.collect_parts(rows, ["month"], event, "events", event, max_rows)
+    return skew.collect_parts(rows, ["month"], event, "events", max_rows)
 
 
 def upcoming(calendar: DataFrame, today, k: int = 100) -> DataFrame:
@@ -264,7 +264,7 @@ def known_launches(df: DataFrame) -> DataFrame:
 
 def keyword_groups(items: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Product ids per keyword, so that each keyword is looked up once."""
-    return skew.collect_parts(items, ["keyword"], F.col("product_id"), "product_ids", F.col("product_id"), max_rows)
+    return skew.collect_parts(items, ["keyword"], F.col("product_id"), "product_ids", max_rows)
 
 
 def unique_keywords(items: DataFrame) -> DataFrame:

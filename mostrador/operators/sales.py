@@ -186,9 +186,9 @@ def open_order_rows(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def open_orders(orders: DataFrame, lines: DataFrame, max_lines: int = 50_000) -> DataFrame:
     """Open orders with their lines as an array sorted by line id; orders beyond
-    ``max_lines`` lines continue in further parts."""
+    ``max_lines`` lines continue in further parts, in the same order."""
     rows = open_order_rows(orders, lines)
-    return skew.collect_parts(rows, OPEN_KEYS, F.col("line"), "lines", F.col("line"), max_lines)
+    return skew.collect_parts(rows, OPEN_KEYS, F.col("line"), "lines", max_lines)
 
 
 def filter_open_orders(open_: DataFrame, q: str = "", status: str = "all") -> DataFrame:
