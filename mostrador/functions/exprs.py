@@ -59,8 +59,13 @@ def money_mean(c: str | Column, digits: int = 2) -> Column:
 
 
 def wavg(value: str | Column, weight: str | Column) -> Column:
-    """SUM(value * weight) / NULLIF(SUM(weight), 0)."""
-    return safe_div(F.sum(col(value) * col(weight)), F.sum(col(weight)))
+    """SUM(value * weight) / NULLIF(SUM(weight), 0), in decimals, so that the mean does not depend on row order."""
+    return safe_div(weighted_sum(value, weight), F.sum(col(weight).cast("decimal(17,2)")))
+
+
+def weighted_sum(value: str | Column, weight: str | Column) -> Column:
+    """Order-independent SUM(value * weight), with ten digits of the value's fraction."""
+    return F.sum(col(value).cast("decimal(20,10)") * col(weight).cast("decimal(17,2)"))
 
 
 def sold(c: str | Column, statuses: Iterable[str] = SOLD_NET) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import skew
 from ..functions import text as tx
 from ..functions.dates import day, in_dates, in_range
-from ..functions.exprs import SOLD_NET, micros, money_sum, not_empty, sold, sum_where, wavg, whole_hours_apart
+from ..functions.exprs import SOLD_NET, micros, money_sum, not_empty, sold, sum_where, wavg, weighted_sum, whole_hours_apart
 
 
 def sold_lines(orders: DataFrame, lines: DataFrame, d0, d1, statuses: Sequence[str] = SOLD_NET) -> DataFrame:
@@ -147,13 +147,13 @@ def page_weights(gsc: DataFrame) -> DataFrame:
     """Sums behind the weighted position per page, with the page's handles; summing first
     leaves one address per page to be cut."""
     sums = gsc.groupBy("page").agg(
-        F.sum(F.col("position") * F.col("impressions")).alias("weighted"), F.sum("impressions").alias("impressions"))
+        weighted_sum("position", "impressions").alias("weighted"), F.sum("impressions").alias("impressions"))
     return page_handles(sums)
 
 
 def handle_positions(weights: DataFrame) -> DataFrame:
     total = F.sum("impressions").cast("double")
-    return weights.groupBy("handle").agg(F.try_divide(F.sum("weighted"), total).alias("seo_position"))
+    return weights.groupBy("handle").agg(F.try_divide(F.sum("weighted").cast("double"), total).alias("seo_position"))
 
 
 def product_pages(gsc: DataFrame, products: DataFrame, product_id: int) -> DataFrame:
@@ -319,8 +319,8 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     as whole words; a first name of four or more letters as a word of the first link. Among
     all staff that any rule accepts, the first in list order is taken.
 
-    Names meet messages by substring equi-joins, and a (first, last) pair is looked up by
-    both names at once, so staff sharing a first name do not multiply the rows.
+    Names meet messages by substring equi-joins and stay long rows: rules are joined by their first name and then, within
+    the same text, by the second. No pairs of names of a message are formed.
     """
     gid = F.regexp_extract("id", r"staff_member_id=(\d+)", 1)
     fixed = F.coalesce(not_empty(tx.clean_gid(F.col("author")["id"])), not_empty(gid))
@@ -360,27 +360,25 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     padded = [F.concat(F.lit(" "), c, F.lit(" ")) for c in ("fn", "ln")]
     needles = named.select(F.explode(F.array("full", "fn", "ln", *padded)).alias("name")).where("trim(name) != ''").distinct()
     found = skew.contains_matches(units, ["event", "unit"], "text", needles, "name")
-    per_unit = found.groupBy("event", "unit").agg(F.collect_set("needle").alias("names"))
+    # Found names stay long rows. Inside a link a pair may stand anywhere, in the message as whole words.
+    padded_name = F.col("needle").startswith(" ")
+    inside = found.where(~padded_name).withColumnRenamed("needle", "name")
+    whole = found.where(padded_name).select("event", "unit", F.trim("needle").alias("name"))
+    words = inside.where("unit >= 0").unionByName(whole.where("unit < 0"))
+    of = lambda kind, which: rules.where((F.col("kind") == kind) & which).select("a", "b", F.col("pos").alias("pos"))
+    some, other = F.col("a") != "", F.col("b") != ""
+    full = inside.join(of("full", some), F.col("name") == F.col("a")).select("event", "pos")
+    first = whole.where("unit = 0").join(of("first", some), F.col("name") == F.col("a")).select("event", "pos")
+    # Rules by the first name, then back to the same text by the second.
+    begun = words.join(of("pair", some & other), F.col("name") == F.col("a")).select("event", "unit", F.col("b").alias("name"), "pos")
+    both = begun.join(words, ["event", "unit", "name"], "left_semi").select("event", "pos")
     # A name that normalises to '' is contained in every text that has a letter or digit.
-    some_text = units.where("trim(text) != '' or unit >= 0").select("event", "unit").join(per_unit, ["event", "unit"], "left")
-    blank = F.array(F.lit(""))
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    inside = F.filter(names, lambda n: ~n.startswith(" "))
-    whole = F.transform(F.filter(names, lambda n: n.startswith(" ")), lambda n: F.trim(n))
-
-    def pairs(both: Column) -> Column:
-        many = F.array_union(both, blank)
-        return F.flatten(F.transform(many, lambda a: F.transform(many, lambda b: rule("pair", a, b))))
-
-    nothing = F.array().cast("array<struct<kind:string,a:string,b:string>>")
-    looked_up = F.concat(
-        F.transform(inside, lambda n: rule("full", n)),
-        F.when(F.col("unit") >= 0, pairs(inside)).otherwise(pairs(whole)),
-        F.when(F.col("unit") == 0, F.transform(whole, lambda n: rule("first", n))).otherwise(nothing),
-    )
+    alone = of("pair", some != other).select(F.concat("a", "b").alias("name"), "pos")
+    half = words.join(alone, "name").select("event", "pos")
+    nameless = rules.where((F.col("kind") == "pair") & ~some & ~other).agg(F.min("pos")).scalar()
+    any_text = units.where("trim(text) != '' or unit >= 0").select("event", nameless.alias("pos")).where(F.col("pos").isNotNull())
     best = (
-        some_text.select("event", F.explode(F.array_distinct(looked_up)).alias("k")).select("event", "k.*")
-        .join(rules, ["kind", "a", "b"])
+        full.unionByName(first).unionByName(both).unionByName(half).unionByName(any_text)
         .groupBy("event").agg(F.min("pos").alias("pos"))
         .join(staff.select(F.col(position).alias("pos"), F.col("staff_id").alias("_matched")), "pos")
         .select(F.col("event").alias("id"), "_matched")

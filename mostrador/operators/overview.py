@@ -46,6 +46,6 @@ def overview(orders: DataFrame, daily_traffic: DataFrame, email: DataFrame, conv
     return {
         "metrics": overview_metrics(orders, daily_traffic, email, conversations, reviews, d0, d1, d0, d1),
         "sales_trend": sales.sales_trend(orders, d0, d1).select("date", "net_sales"),
-        "traffic_trend": traffic.traffic_daily(daily_traffic, orders, d0, d1).select("date", "total_sessions", "unique_visitors"),
+        "traffic_trend": traffic.traffic_daily(daily_traffic, orders, d0, d1).select("date", "total_sessions", "unique_visitors", "orders"),
         "top_staff": team.staff_totals(team.activity_daily(audit, staff, d0, d1), 5),
     }

@@ -29,8 +29,10 @@ def reply_sla(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """First user message, first operator message at or after it, and the whole minutes between.
 
     Two aggregates instead of a window per session, so a hot session is pre-summed in every
-    map task. The operator is the greatest name among the replies.
+    map task. The operator is the greatest name among the replies. A table without comments on ratings gives null ones.
     """
+    if "rating_comment" not in conversations.columns:
+        conversations = conversations.withColumn("rating_comment", F.lit(None).cast("string"))
     asked = messages.where("sender_type = 'user'").groupBy("session_id").agg(F.min("created_at").alias("first_user_msg_at"))
     replies = messages.where("sender_type = 'operator'").groupBy("session_id", "created_at").agg(
         F.max("operator_name").alias("operator_name")
@@ -46,7 +48,7 @@ def reply_sla(conversations: DataFrame, messages: DataFrame) -> DataFrame:
         .join(answered, "session_id", "left")
         .select(
             "session_id", F.col("created_at").alias("ticket_created_at"), "status",
-            F.col("rating_value").alias("csat_score"),
+            F.col("rating_value").alias("csat_score"), "rating_comment",
             "first_user_msg_at", "first_operator_msg_at", "operator_name",
             F.timestamp_diff("MINUTE", F.col("first_user_msg_at"), F.col("first_operator_msg_at")).alias("ttfr_minutes"),
         )

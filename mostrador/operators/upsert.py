@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -32,11 +33,14 @@ class MergeSpec:
 
 
 def unique_source(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One struct ``s`` per key; a key that comes twice fails the job."""
-    per_key = source.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*source.columns)).alias("s"))
+    """One struct ``s`` per key; a key that comes twice fails the job. Rows with a null in their key equal nothing, not even
+    each other, so each stays a row of its own."""
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    row = F.struct(*source.columns)
+    per_key = source.where(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(row).alias("s"))
     twice = F.raise_error(F.concat_ws(" ", F.lit("several source rows for key"), *[F.col(k).cast("string") for k in keys]))
-    return per_key.select(*keys, F.when(F.col("_n") > 1, twice.cast(per_key.schema["s"].dataType)).otherwise(F.col("s")).alias("s"))
+    checked = per_key.select(*keys, F.when(F.col("_n") > 1, twice.cast(per_key.schema["s"].dataType)).otherwise(F.col("s")).alias("s"))
+    return checked.unionByName(source.where(~whole).select(*keys, row.alias("s")))
 
 
 def upsert(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:

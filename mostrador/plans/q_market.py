@@ -143,7 +143,7 @@ def _(t):
     return live(t)
 
 
-PRICE_SUMMARY = f"""SELECT product_id, our_price, MIN(CASE WHEN {BOTH} THEN competitor_price END) AS lowest, MAX(CASE WHEN {BOTH} THEN competitor_price END) AS highest,
+PRICE_SUMMARY = f"""SELECT product_id, our_price, COUNT(*) AS total, MIN(CASE WHEN {BOTH} THEN competitor_price END) AS lowest, MAX(CASE WHEN {BOTH} THEN competitor_price END) AS highest,
   {js(safe(money(f'CASE WHEN {BOTH} THEN competitor_price END'), f'COUNT(CASE WHEN {BOTH} THEN 1 END)'), 2)} AS average,
   {js('(' + safe(count_if('is_competitive_live'), count_if('is_competitive_live IS NOT NULL')) + ') * 100')} AS competitiveness_rate FROM ({LIVE}) l GROUP BY 1, 2"""
 
@@ -286,7 +286,7 @@ def _(t):
 
 
 @query("mkt_15_calendar_months", """
-SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, CAST(0 AS BIGINT) AS part, COUNT(*) AS n,
+SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, COUNT(*) AS n,
   string_agg(concat(CAST(event_date AS VARCHAR), ' ', event_name), '|' ORDER BY event_date, event_name) AS events
 FROM commercial_calendar WHERE event_date IS NOT NULL GROUP BY 1""", ["month"])
 def _(t):
@@ -301,7 +301,7 @@ def _(t):
 
 
 @query("mkt_16_keyword_groups", """
-SELECT title AS keyword, CAST(0 AS BIGINT) AS part, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS product_ids FROM shopify_products GROUP BY 1""")
+SELECT title AS keyword, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS product_ids FROM shopify_products GROUP BY 1""")
 def _(t):
     items = t.shopify_products.select(F.col("title").alias("keyword"), F.col("id").alias("product_id"))
     return mkt.keyword_groups(items).withColumn("product_ids", F.array_join("product_ids", ","))

@@ -255,7 +255,7 @@ def _(t):
 
 
 @query("sal_10_open_orders", f"""
-WITH o AS ({OPEN_LINES}) SELECT id, order_number, created_at, total_price, currency, estado_de_pedido, CAST(0 AS BIGINT) AS part,
+WITH o AS ({OPEN_LINES}) SELECT id, order_number, created_at, total_price, currency, estado_de_pedido, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
   COUNT(*) AS line_count, string_agg(COALESCE(CAST(line_id AS VARCHAR), '-') || ':' || COALESCE(title, '-') || ':' || COALESCE(vendor, '-') || ':' || COALESCE(CAST(quantity AS VARCHAR), '-'),
     '|' ORDER BY line_id, title, quantity, price, vendor NULLS FIRST) AS lines
 FROM o GROUP BY id, order_number, created_at, total_price, currency, estado_de_pedido""", ["created_at"])
@@ -296,6 +296,23 @@ def _(t):
                                      t.raw_yotpo_reviews, D0, E1, D0, D1)
 
 
+def overview_part(t, name):
+    return overview.overview(t.shopify_orders, t.shopify_traffic_daily, t.klaviyo_metrics, t.crisp_conversations, t.raw_yotpo_reviews,
+                             t.shopify_audit_log, t.shopify_staff, D0, D1)[name]
+
+
+@query("sal_12_overview_sales_trend", f"SELECT CAST(created_at AS DATE) AS date, {money_if(NET, 'total_price')} AS net_sales {ORDERS_IN} GROUP BY 1", ["date"])
+def _(t):
+    return overview_part(t, "sales_trend")
+
+
+@query("sal_12_overview_traffic_trend", f"""
+SELECT t.date, t.total_sessions, t.unique_visitors, (SELECT COUNT(*) FROM shopify_orders o WHERE o.{NET} AND CAST(o.created_at AS DATE) = t.date) AS orders
+FROM shopify_traffic_daily t WHERE t.date BETWEEN DATE '{D0}' AND DATE '{D1}'""", ["date"])
+def _(t):
+    return overview_part(t, "traffic_trend")
+
+
 @query("sal_12_overview_top_staff", """
 SELECT concat(COALESCE(s.first_name, ''), ' ', COALESCE(s.last_name, '')) AS name, COUNT(*) AS total
 FROM shopify_audit_log a LEFT JOIN shopify_staff s ON a.staff_id = s.staff_id WHERE a.staff_id IS NOT NULL

@@ -36,7 +36,8 @@ def _(t):
     quoted = F.concat(F.lit('"'), "last_name", F.lit(', Jr"'))
     line = F.concat_ws(",", "staff_id", F.concat(F.lit(" "), "email", F.lit("  ")), F.coalesce("first_name", F.lit("")), quoted, "employee_code",
                        F.when(F.col("active"), "TRUE").otherwise("FALSE"), F.lit(""))
-    head.unionAll(t.shopify_staff.select(line.alias("value"))).write.text(path)
+    # A staff list is one file; every file has a header of its own.
+    head.unionAll(t.shopify_staff.select(line.alias("value"))).coalesce(1).write.text(path)
     return tables.read_staff_csv(t.spark, path)
 
 

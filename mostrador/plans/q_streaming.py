@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..operators.upsert import MergeSpec
 from ..session import scratch_path
@@ -10,6 +11,7 @@ from ..sources import schemas
 from ..sources.payloads import flatten_audit, parse
 from ..streaming import ingest
 from . import landed
+from .q_joins import ATTRIBUTED
 from .registry import query
 
 MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -34,15 +36,20 @@ def _(t):
     return ingest.read_batches(t.spark, out, schema)
 
 
-@query("str_01_audit_ingest", """
-SELECT split_part(split_part(id, '?', 1), '/', 5) AS audit_id, action, date_trunc('second', created_at) AS occurred_at FROM audit_raw WHERE to_user""", ["occurred_at"])
+@query("str_01_audit_ingest", f"""
+SELECT split_part(split_part(r.id, '?', 1), '/', 5) AS audit_id, r.action, date_trunc('second', r.created_at) AS occurred_at, x.staff_id
+FROM audit_raw r JOIN ({ATTRIBUTED}) x ON x.id = r.id WHERE r.to_user""", ["occurred_at"])
 def _(t):
-    path, out = scratch_path(t.spark, "audit"), scratch_path(t.spark, "audit-out")
-    landed.audit(t).select(F.col("payload").alias("value")).write.text(path)
-    lines = t.spark.readStream.schema("value string").format("text").load(path)
-    flat = flatten_audit(parse(lines, "value", "audit"))
-    ingest.run_available(flat, scratch_path(t.spark, "checkpoint"), ingest.append_to(out))
-    return ingest.read_batches(t.spark, out, flat.schema).select("audit_id", "action", "occurred_at")
+    path, out, checkpoint = scratch_path(t.spark, "audit"), scratch_path(t.spark, "audit-out"), scratch_path(t.spark, "checkpoint")
+    payloads = landed.audit(t).select(F.col("payload").alias("value"))
+    schema = StructType([*flatten_audit(parse(payloads, "value", "audit")).schema.fields, StructField("day", DateType())])
+    sink = ingest.audit_sink(out, "day", lambda: t.shopify_staff, schema)
+    # Landed twice: the second reading overlaps with the whole first one.
+    for _ in range(2):
+        payloads.write.mode("append").text(path)
+        lines = t.spark.readStream.schema("value string").format("text").load(path)
+        ingest.run_available(parse(lines, "value", "audit"), checkpoint, sink)
+    return t.spark.read.schema(schema).parquet(out).select("audit_id", "action", "occurred_at", "staff_id")
 
 
 def days(stream):

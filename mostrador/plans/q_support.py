@@ -41,9 +41,11 @@ sla AS (SELECT session_id, c.created_at AS ticket_created_at, status, rating_val
   datesub('minute', first_user_msg_at, first_operator_msg_at) AS ttfr_minutes FROM crisp_conversations c LEFT JOIN replied USING (session_id))"""
 
 
-@query("sup_02_reply_sla", f"{SLA} SELECT * FROM sla", ["ticket_created_at", "first_user_msg_at", "first_operator_msg_at"])
+@query("sup_02_reply_sla", f"""{SLA} SELECT *, CASE WHEN csat_score <= 3 THEN concat('slow: ', session_id) END AS rating_comment FROM sla""",
+       ["ticket_created_at", "first_user_msg_at", "first_operator_msg_at"])
 def _(t):
-    return support.reply_sla(t.crisp_conversations, t.crisp_messages)
+    comment = F.when(F.col("rating_value") <= 3, F.concat(F.lit("slow: "), "session_id"))
+    return support.reply_sla(t.crisp_conversations.withColumn("rating_comment", comment), t.crisp_messages)
 
 
 @query("sup_03_agent_stats", f"""{SLA} SELECT operator_name, COUNT(session_id) AS total_tickets, {count_if("status = 'resolved'")} AS resolved_tickets,

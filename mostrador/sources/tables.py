@@ -31,12 +31,12 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType, corrupt: str
 def read_commented_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with '#' comment lines, blank lines, a header line and quoted commas; trimmed.
 
-    The header is matched by content rather than by line number, so files split over
-    several tasks read the same.
+    The first line of a file that is neither a comment nor blank is its header, whatever it says; columns go by place.
     """
     schema = StructType([StructField(c, StringType()) for c in columns])
-    rows = (
+    return (
         spark.read.schema(schema)
+        .option("header", "true")
         .option("comment", "#")
         .option("quote", '"')
         .option("ignoreLeadingWhiteSpace", "true")
@@ -44,10 +44,6 @@ def read_commented_csv(spark: SparkSession, path: str, columns: Sequence[str]) -
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    is_header = F.lit(True)
-    for c in columns[:3]:
-        is_header = is_header & (F.coalesce(F.col(c), F.lit("")) == c)
-    return rows.where(~is_header)
 
 
 def read_staff_csv(spark: SparkSession, path: str) -> DataFrame:

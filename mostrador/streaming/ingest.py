@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.joins import attribute_staff
 from ..operators.upsert import MergeSpec, insert_missing, merge_into_path, only_partitions, read_target
+from ..sources.payloads import flatten_audit
 from ..sources.tables import by_partition
 
 
@@ -51,14 +54,21 @@ def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -> Callable[[DataFrame, int], None]:
     """Insert-only sink: rows of a batch whose key the table lacks. Only the partitions the
-    batch names are compared and replaced."""
+    batch names are compared and replaced.
+
+    A row with a null in its key equals no other by it, so such rows enter each; but one that the table holds already with
+    the same values stays out, so that a repeated batch changes nothing.
+    """
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
-        rows = batch.groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*").persist()
-        target = read_target(spark, path, part, schema)
-        merged = insert_missing(only_partitions(target, rows, part), rows, keys)
+        keyed = batch.where(whole).groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*")
+        rows = keyed.unionByName(batch.where(~whole).distinct()).select(*schema.fieldNames()).persist()
+        target = only_partitions(read_target(spark, path, part, schema), rows, part)
+        held = target.where(~whole).select(*schema.fieldNames())
+        merged = insert_missing(target, rows.where(whole), keys).unionByName(rows.where(~whole).subtract(held))
         (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part).parquet(path))
         rows.unpersist()
@@ -66,6 +76,19 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
     return write
 
 
+def audit_sink(path: str, part: str, read_staff: Callable[[], DataFrame], schema: StructType) -> Callable[[DataFrame, int], None]:
+    """Audit events end to end: parsed payloads of a batch get their author from the staff list as it is then, are flattened
+    and enter the table once each."""
+    insert = insert_only(path, part, ["audit_id"], schema)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        authored = attribute_staff(batch, read_staff())
+        flat = flatten_audit(authored, F.col("staff_id")).withColumn(part, F.to_date("occurred_at"))
+        insert(flat.select(*schema.fieldNames()), batch_id)
+
+    return write
+
+
 def stream_upsert(path: str, part: str, spec: MergeSpec, schema: StructType, order: str) -> Callable[[DataFrame, int], None]:
     """Merge sink: the newest row per key (by ``order``) of a batch enters the table, unless
     the table's own is newer."""

@@ -5,7 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from mostrador import plans
+from mostrador.operators import market
 
 FOLDER = "/root/testdata/sf0.001"
 # These write files or run streams when they are built; their plans are plain scans.
@@ -38,13 +41,21 @@ def test_no_pairwise_joins_or_forced_broadcasts(no_broadcast, key):
 
 @pytest.mark.parametrize("key", [
     "win_01_latest_per_key", "win_02_previous_per_key", "win_02_latest_and_previous", "jn_13_position_report", "cal_01_dedupe_calls",
-    "alg_04_trend_signal", "alg_05_momentum", "mkt_06_price_gap_live", "mkt_17_related_top", "win_04_dedupe_first", "ups_10_load_batch"])
+    "alg_04_trend_signal", "alg_05_momentum", "mkt_17_related_top", "win_04_dedupe_first", "ups_10_load_batch"])
 def test_hot_keys_are_cut_before_the_shuffle(spark, key):
     text = plan(spark, key)
     first = text.index("WindowGroupLimit")
     assert re.search(r"WindowGroupLimit[^\n]*Partial", text) and "Exchange" in text[first:]
 
 
+def test_limited_listings_are_cut_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS product_id", "id AS price")
+    limited = market.first_listings(df, ["product_id"], [F.col("price")], k=20)
+    text = limited._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit[^\n]*Partial", text) and limited.count() == 60
+    assert market.first_listings(df, ["product_id"], [F.col("price")]).count() == 1000
+
+
 # A shuffle by the hot key alone would satisfy these groupings and keep the key in one task.
 @pytest.mark.parametrize("key, columns", [
     ("sup_08_omnichannel_duplicates", "identity_key, target, block"), ("win_05_out_of_order", "source, chunk"),

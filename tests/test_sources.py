@@ -22,6 +22,11 @@ def test_staff_csv(spark):
     assert got == [("1", "a@b", "Ana, M", "Li", "ana.li", "TRUE", "2024-01-02"), ("3", "c@d", None, None, "c.d", None, None)]
 
 
+def test_staff_csv_header_is_the_first_line_whatever_it_says(spark):
+    path = lines(spark, "# a\n\nID;Mail,Name\n1,a@b,Ana,Li,ana.li,TRUE,2024-01-02\nstaff_id,email,first_name,Li,x,y,z\n")
+    assert sorted(r[0] for r in tables.read_staff_csv(spark, path).collect()) == ["1", "staff_id"]
+
+
 def test_csv_round_trip(spark):
     df = spark.createDataFrame([(1, 'say "hi", ok'), (2, "plain")], "i int, t string")
     path = scratch_path(spark, "csv")

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mostrador.functions.exprs import wavg
 from mostrador.operators import scoring, upsert
 from mostrador.operators.upsert import MergeSpec
 from mostrador.session import scratch_path
+from mostrador.streaming import ingest
 
 DDL = "id int, a string, b string"
 
@@ -80,3 +82,25 @@ def test_merge_lists_only_named_folders(spark):
     pruned = upsert.only_partitions(target, batch, "day")
     assert "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString()
     assert [r.id for r in pruned.collect()] == [2] and upsert.only_partitions(target, batch, "day", 0).count() == 1
+
+
+def test_null_keys_enter_as_rows_of_their_own(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "kept")], "id long, v string")
+    batch = spark.createDataFrame([(1, "b"), (None, "x"), (None, "y")], "id long, v string")
+    out = upsert.upsert(target, batch, upsert.MergeSpec(("id",)))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "b"), (None, "kept"), (None, "x"), (None, "y")], key=repr)
+
+
+def test_repeated_batch_with_null_keys_changes_nothing(spark):
+    path = scratch_path(spark, "null-keys")
+    schema = spark.createDataFrame([], "id long, v string, day date").schema
+    write = ingest.insert_only(path, "day", ["id"], schema)
+    batch = spark.sql("select * from values (1L, 'a', date'2024-01-01'), (null, 'x', date'2024-01-01'), (null, 'y', date'2024-01-01') t(id, v, day)")
+    for n in range(2):
+        write(batch, n)
+        assert sorted(r.v for r in spark.read.schema(schema).parquet(path).collect()) == ["a", "x", "y"]
+
+
+def test_weighted_mean_does_not_depend_on_order(spark):
+    df = spark.range(5000).selectExpr("1 + pmod(hash(id), 10007) / 331.0D as position", "pmod(hash(id, 1), 9973) as impressions")
+    assert len({df.repartition(n).agg(wavg("position", "impressions")).first()[0] for n in (1, 3, 7, 16)}) == 1
