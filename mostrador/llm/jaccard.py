@@ -21,6 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,16 +97,23 @@ def _by_range(n_ranges: int, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _unpacked(table: pa.Table, n: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(p, np.uint64).reshape(n, -1) for p in table.column("packed").to_pylist()], axis=1)
+    return np.concatenate([np.zeros((n, 0), np.uint64), *(np.frombuffer(p, np.uint64).reshape(n, -1) for p in table.column("packed").to_pylist())], axis=1)
 
 
 def _common(leads: DataFrame, total: int):
     """The common shingles, sorted, and the place of each by frequency, sent to the tasks. By its threshold their number
     never exceeds COMMON. Each task counts its own shingles and hands them on by range, packed."""
     n_ranges, least = max(1, total // RANGE), max(RARE, -(-total // COMMON))
-    schema = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
+    schema = pa.schema([("range", pa.int32()), ("counted", pa.bool_()), ("packed", pa.binary())])
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray]) -> Iterator[tuple]:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            # Most shingles come once in a task, and travel without a count.
+            once = counts == 1
+            yield from ((k, False, p) for k, p in _by_range(n_ranges, tokens[once][None, :]))
+            yield from ((k, True, p) for k, p in _by_range(n_ranges, np.stack([tokens[~once], counts[~once].astype(np.uint64)])))
+
         def rows():
             held: list[np.ndarray] = [np.zeros(0, np.uint64)]
             have = 0
@@ -113,14 +121,16 @@ def _common(leads: DataFrame, total: int):
                 held.append(np.frombuffer(lead, np.uint64))
                 have += len(held[-1])
                 if have > HELD:
-                    yield from _by_range(n_ranges, np.stack([c.astype(np.uint64) for c in np.unique(np.concatenate(held), return_counts=True)]))
+                    yield from out(held)
                     held, have = held[:1], 0
-            yield from _by_range(n_ranges, np.stack([c.astype(np.uint64) for c in np.unique(np.concatenate(held), return_counts=True)]))
+            yield from out(held)
 
         yield from emit(rows(), schema, 64)
 
     def merged(table: pa.Table) -> pa.Table:
-        tokens, counts = _unpacked(table, 2)
+        once = _unpacked(table.filter(pc.invert(table.column("counted"))), 1)
+        more = _unpacked(table.filter(table.column("counted")), 2)
+        tokens, counts = np.concatenate([np.concatenate([once, np.ones_like(once)]), more], axis=1)
         order = np.argsort(tokens)
         tokens, counts = tokens[order], signed(counts[order])
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -128,7 +138,7 @@ def _common(leads: DataFrame, total: int):
         often = sums > least
         return pa.table({"token": pa.array(signed(tokens[first][often])), "n": pa.array(sums[often])})
 
-    rows = leads.select("lead").mapInArrow(packed, "range int, packed binary").groupBy("range").applyInArrow(merged, "token long, n long").toArrow()
+    rows = leads.select("lead").mapInArrow(packed, "range int, counted boolean, packed binary").groupBy("range").applyInArrow(merged, "token long, n long").toArrow()
     held, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(held)
     ranks = np.empty(len(held), np.int64)
