@@ -246,7 +246,8 @@ def _linked(docs: DataFrame, asks: DataFrame, members: DataFrame, width: int, pe
         yield from emit(((i, shingles(t, width).tobytes()) for i, t in columns(batches)), set_schema, 1000)
 
     sets = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "doc_id long, tokens binary")
-    met = rows.join(sets, "doc_id").select("g", "cell", "asks", "doc_id", "root", "tokens")
+    # Sets are wide and rows are not, so rows go to the sets where they are few enough.
+    met = sets.join(small(rows), "doc_id").select("g", "cell", "asks", "doc_id", "root", "tokens")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
