@@ -435,7 +435,7 @@ def test_pipeline_odd_rows(spark, tmp_path):
 def test_registered_queries():
     import __spark_entry__ as entry
     keys = list(entry.queries())
-    assert [k for n in range(1, 11) for k in keys if k.startswith(f"op{n}_")] == sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0]))
+    assert [k for n in range(1, 14) for k in keys if k.startswith(f"op{n}_")] == sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0]))
     assert "pipeline" in keys and json.dumps(entry.oracle_sql())
 
 
