@@ -21,7 +21,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +53,22 @@ def prefix_size(m: int, percent: int) -> int:
     return m + (percent * m) // -100 + 1
 
 
-def order_key(tokens: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sorted shingles with the common ones last, those by their rank, and the number of the others. ``common`` is sorted,
-    ``ranks`` goes with it."""
+def counted_as(tokens: np.ndarray, n_ranges: int) -> np.ndarray:
+    """What shingles are counted by: their range and 32 bits of a hash. Rare shingles of a common one's code count as common
+    with it, which only moves them back in the order."""
+    h = mix(tokens + np.uint64(1))
+    return (h % np.uint64(n_ranges)) << np.uint64(32) | h >> np.uint64(32)
+
+
+def order_key(tokens: np.ndarray, codes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted shingles with the common ones last, those by their rank and value, and the number of the others. ``codes`` are
+    what the shingles are counted by, ``common`` is sorted, ``ranks`` goes with it."""
     if not len(common):
         return tokens, len(tokens)
-    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    is_common = common[at] == tokens
+    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+    is_common = common[at] == codes
     rare = tokens[~is_common]
-    return np.concatenate([rare, tokens[is_common][np.argsort(ranks[at[is_common]])]]), len(rare)
+    return np.concatenate([rare, tokens[is_common][np.argsort(ranks[at[is_common]], kind="stable")]]), len(rare)
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -85,34 +91,63 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, m long, a long, b long, keys array<long>, lead binary")
 
 
-def _by_range(n_ranges: int, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Columns of ``rows`` by the range of their shingle, which is the first row; leading shingles being least values, ranges
-    go by another hash."""
-    at = (mix(rows[0] + np.uint64(1)) % np.uint64(n_ranges)).astype(np.int64)
+def _edges(at: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values start and end."""
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(at) else []
+    return list(zip(first, [*first[1:], len(at)]))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Differences of neighbours, all first bytes before all second ones and so on, so that small ones compress well."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(packed: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(width, -1).T.copy().view(dtype)[:, 0], dtype=dtype)
+
+
+def _by_range(n_ranges: int, held: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+    """Shingles of (document, group, shingles) by the range of the shingle, packed with their document and group, which
+    often is the document. Leading shingles being least values, ranges go by another hash."""
+    if not held:
+        return
+    held = sorted(held, key=lambda r: r[0])
+    tokens = np.concatenate([t for _, _, t in held])
+    of = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
+    doc = np.array([d for d, _, _ in held], np.int64).view(np.uint64)
+    off = doc - np.array([g for _, g, _ in held], np.int64).view(np.uint64)
+    at = (mix(tokens + np.uint64(1)) % np.uint64(n_ranges)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[:, order]
-    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(at) else []
-    for first, last in zip(edges, [*edges[1:], len(at)]):
-        yield int(at[first]), rows[:, first:last].tobytes()
+    at, tokens, of = at[order], tokens[order], of[order]
+    for first, last in _edges(at):
+        here = of[first:last]
+        yield int(at[first]), tokens[first:last].tobytes() + planes(doc[here]) + planes(off[here])
 
 
-def _unpacked(table: pa.Table, n: int) -> np.ndarray:
-    return np.concatenate([np.zeros((n, 0), np.uint64), *(np.frombuffer(p, np.uint64).reshape(n, -1) for p in table.column("packed").to_pylist())], axis=1)
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, documents and groups of the packed rows."""
+    parts = []
+    for packed in table.column("packed").to_pylist():
+        n = len(packed) // 24
+        doc = from_planes(packed[8 * n: 16 * n], np.uint64)
+        parts.append((np.frombuffer(packed, np.uint64, n), doc, doc - from_planes(packed[16 * n:], np.uint64)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _common(leads: DataFrame, total: int):
-    """The common shingles, sorted, and the place of each by frequency, sent to the tasks. By its threshold their number
-    never exceeds COMMON. Each task counts its own shingles and hands them on by range, packed."""
+    """What common shingles are counted by, sorted, the place of each by frequency, and the number of ranges, sent to the
+    tasks. By its threshold their number never exceeds COMMON. Each task counts its own shingles and hands the counts on by
+    range, packed."""
     n_ranges, least = max(1, total // RANGE), max(RARE, -(-total // COMMON))
-    schema = pa.schema([("range", pa.int32()), ("counted", pa.bool_()), ("packed", pa.binary())])
+    schema = pa.schema([("range", pa.int64()), ("packed", pa.binary())])
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> Iterator[tuple]:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            # Most shingles come once in a task, and travel without a count.
-            once = counts == 1
-            yield from ((k, False, p) for k, p in _by_range(n_ranges, tokens[once][None, :]))
-            yield from ((k, True, p) for k, p in _by_range(n_ranges, np.stack([tokens[~once], counts[~once].astype(np.uint64)])))
+            codes, counts = np.unique(counted_as(np.concatenate(held), n_ranges), return_counts=True)
+            low, counts = codes.astype(np.uint32), counts.astype(np.uint32)
+            for first, last in _edges(codes >> np.uint64(32)):
+                yield int(codes[first] >> np.uint64(32)), planes(low[first:last]) + planes(counts[first:last])
 
         def rows():
             held: list[np.ndarray] = [np.zeros(0, np.uint64)]
@@ -128,22 +163,23 @@ def _common(leads: DataFrame, total: int):
         yield from emit(rows(), schema, 64)
 
     def merged(table: pa.Table) -> pa.Table:
-        once = _unpacked(table.filter(pc.invert(table.column("counted"))), 1)
-        more = _unpacked(table.filter(table.column("counted")), 2)
-        tokens, counts = np.concatenate([np.concatenate([once, np.ones_like(once)]), more], axis=1)
-        order = np.argsort(tokens)
-        tokens, counts = tokens[order], signed(counts[order])
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        halves = [(p[: len(p) // 2], p[len(p) // 2:]) for p in table.column("packed").to_pylist()]
+        low = np.concatenate([from_planes(p, np.uint32) for p, _ in halves])
+        counts = np.concatenate([from_planes(p, np.uint32) for _, p in halves]).astype(np.int64)
+        order = np.argsort(low)
+        low, counts = low[order], counts[order]
+        first = np.array([f for f, _ in _edges(low)])
         sums = np.add.reduceat(counts, first)
         often = sums > least
-        return pa.table({"token": pa.array(signed(tokens[first][often])), "n": pa.array(sums[often])})
+        codes = low[first][often].astype(np.int64) | (table.column("range")[0].as_py() << 32)
+        return pa.table({"code": pa.array(codes), "n": pa.array(sums[often])})
 
-    rows = leads.select("lead").mapInArrow(packed, "range int, counted boolean, packed binary").groupBy("range").applyInArrow(merged, "token long, n long").toArrow()
+    rows = leads.select("lead").mapInArrow(packed, "range long, packed binary").groupBy("range").applyInArrow(merged, "code long, n long").toArrow()
     held, counts = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(held)
     ranks = np.empty(len(held), np.int64)
     ranks[np.lexsort((held[order], counts[order]))] = np.arange(len(held))
-    return leads.sparkSession.sparkContext.broadcast((held[order], ranks))
+    return leads.sparkSession.sparkContext.broadcast((held[order], ranks, n_ranges))
 
 
 def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: int, percent: int) -> DataFrame:
@@ -157,34 +193,34 @@ def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: i
     schema = pa.schema([("range", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int64()), ("packed", pa.binary())])
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ranks = common.value
+        often, ranks, counted_ranges = common.value
 
         def rows():
-            held: list[np.ndarray] = [np.zeros((3, 0), np.uint64)]
+            held: list[tuple[int, int, np.ndarray]] = []
             have = 0
-            out = lambda: ((k, None, None, None, p) for k, p in _by_range(n_ranges, np.concatenate(held, axis=1)))
+            out = lambda: ((k, None, None, None, p) for k, p in _by_range(n_ranges, held))
             for doc_id, g, m, lead, text in columns(batches):
                 t = np.frombuffer(lead, np.uint64) if text is None else shingles(text, width)
                 m = m if text is None else len(t)
                 size = prefix_size(m, percent)
                 whole = len(t) == m
-                t, rare = order_key(t, tokens, ranks)
+                t, rare = order_key(t, counted_as(t, counted_ranges), often, ranks)
                 if rare < size and not whole:
                     yield None, None, doc_id, g, None
                     continue
                 yield from ((None, token, doc_id, g, None) for token in signed(t[rare:size]).tolist())
                 t = t[: min(rare, size)]
-                held.append(np.concatenate([t[None, :], np.repeat(np.array([[doc_id], [g]], np.int64).view(np.uint64), len(t), axis=1)]))
+                held.append((doc_id, g, t))
                 have += len(t)
                 if have > HELD:
                     yield from out()
-                    held, have = held[:1], 0
+                    held, have = [], 0
             yield from out()
 
         yield from emit(rows(), schema, 256)
 
     def shared(table: pa.Table) -> pa.Table:
-        token, doc, g = _unpacked(table, 3)
+        token, doc, g = _unpacked(table)
         order = np.lexsort((g, token))
         token, doc, g = token[order], doc[order], g[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -338,8 +374,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
               .select("rep", "m_least", "m_most", F.coalesce("rep_root", "rep").alias("root"), F.coalesce("rep_root", "like_root", "like", "rep").alias("head")))
     member = cut_lineage(spark, member, "heads")
     parts = member.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("m_most") / PART_SHINGLES)).cast("int").alias("parts")).filter("parts > 1")
-    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
-    member = member.join(small(cut_lineage(spark, parts, "parts")), "head", "left").withColumn("g", F.xxhash64("head", part)).select("rep", "root", "g", "m_least", "m_most")
+    named = F.when(F.col("parts").isNull(), F.col("head")).otherwise(F.xxhash64("head", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    member = member.join(small(cut_lineage(spark, parts, "parts")), "head", "left").withColumn("g", named).select("rep", "root", "g", "m_least", "m_most")
     member = cut_lineage(spark, member, "members")
     group = cut_lineage(spark, member.groupBy("g").agg(F.count("*").alias("size"), F.min("m_least").alias("g_least"), F.max("m_most").alias("g_most"),
                                                        F.min("root").alias("g_root_0"), F.max("root").alias("g_root_1")), "groups")
