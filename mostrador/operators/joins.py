@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
@@ -90,6 +90,49 @@ def duplicate_pairs(conversations: DataFrame, hours: int = 72) -> DataFrame:
     return a.join(b, ["identity_key", "_bucket"]).where(near).drop("_bucket")
 
 
+def nearest_partners(conversations: DataFrame, hours: int = 72) -> DataFrame:
+    """One row per identified conversation with the nearest earlier and later one of the same identity on another channel, at
+    most ``hours`` whole hours away (else null). Of equal times the smaller session id counts as earlier.
+
+    No pairs are formed. Time is cut into blocks as wide as the window, which bounds what a hot identity brings to a task.
+    Inside a block the conversation before the present run of one channel is the partner; where the run began the block, the
+    last conversation per channel of the block before answers. Later partners mirror this. Repeated rows answer each.
+    """
+    width = (hours + 1) * 3_600_000_000
+    at = F.struct("created_at", "session_id", F.col("channel_origin").alias("channel"))
+    rows = identified(conversations).withColumn("_block", F.floor(micros("created_at") / width)).withColumn("_me", at)
+    ends = rows.groupBy("identity_key", "_block", "channel_origin").agg(F.min("_me").alias("_first"), F.max("_me").alias("_last"))
+    ends = ends.groupBy("identity_key", "_block").agg(
+        F.collect_list("_first").alias("_firsts"), F.collect_list("_last").alias("_lasts"))
+
+    own = Window.partitionBy("identity_key", "_block")
+    up, down = own.orderBy("_me"), own.orderBy(F.desc("_me"))
+
+    def other(w):
+        before = F.lag("_me").over(w)
+        return F.when(before["channel"] != F.col("channel_origin"), before)
+
+    # The rows arrive clustered by identity; the shuffle by block keeps a hot one from staying in one task.
+    marked = rows.repartition("identity_key", "_block").withColumn("_up", other(up)).withColumn("_down", other(down))
+    inside = marked.withColumn("_before", F.last("_up", ignorenulls=True).over(up)).withColumn(
+        "_after", F.last("_down", ignorenulls=True).over(down))
+    keys = [F.col("identity_key"), F.col("_block")]
+    previous = ends.select(keys[0], (keys[1] + 1).alias("_block"), "_lasts")
+    following = ends.select(keys[0], (keys[1] - 1).alias("_block"), "_firsts")
+    foreign = lambda c: F.filter(c, lambda p: p["channel"] != F.col("channel_origin"))
+    near = (
+        inside.join(previous, ["identity_key", "_block"], "left").join(following, ["identity_key", "_block"], "left")
+        .withColumn("_before", F.coalesce("_before", F.array_max(foreign("_lasts"))))
+        .withColumn("_after", F.coalesce("_after", F.array_min(foreign("_firsts"))))
+    )
+
+    def fields(c, name):
+        ok = whole_hours_apart(F.col(c)["created_at"], F.col("created_at")) <= hours
+        return [F.when(ok, F.col(c)[f]).alias(f"{name}_{short}") for f, short in (("session_id", "session"), ("channel", "channel"), ("created_at", "at"))]
+
+    return near.select("identity_key", "session_id", "channel_origin", "created_at", *fields("_before", "before"), *fields("_after", "after"))
+
+
 def traffic_with_orders(traffic: DataFrame, orders: DataFrame, d0, d1, statuses: Sequence[str] = SOLD_NET) -> DataFrame:
     """Daily traffic with the number of sold orders; days without orders count 0.
 

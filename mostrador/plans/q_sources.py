@@ -124,6 +124,15 @@ def _(t):
     return kept.agg(F.count("*").alias("rows"), F.min("synced_at").alias("first"))
 
 
+@query("src_10_retain_on_disk", "SELECT CAST(date_trunc('month', synced_at) AS DATE) AS month, COUNT(*) AS rows FROM competitor_prices WHERE date_trunc('month', synced_at) >= DATE '1997-06-01' - INTERVAL 90 DAY GROUP BY 1", ["month"])
+def _(t):
+    path = scratch_path(t.spark, "retained")
+    rows = t.competitor_prices.withColumn("month", F.trunc("synced_at", "month"))
+    tables.rewrite_tail_on_disk(rows, path, "month")
+    tables.drop_expired(t.spark, path, "month", schemas.RETENTION_DAYS["competitor_prices"], date(1997, 6, 1))
+    return t.spark.read.schema(rows.schema).parquet(path).groupBy("month").agg(F.count("*").alias("rows"))
+
+
 @query("src_11_evolve", """
 SELECT session_id, status, CAST(NULL AS VARCHAR) AS segments, CAST(NULL AS VARCHAR) AS rating_comment, rating_value FROM crisp_conversations""")
 def _(t):

@@ -87,8 +87,10 @@ def _counts(t, width, keys):
     path = scratch_path(t.spark, "landed")
     source.repartitionByRange("ts").write.options(**MICROS).json(path)
     counted = ingest.stream_counts(ingest.stream_files(t.spark, path, schemas.struct(EVENT), files_per_batch=2), "ts", width, keys, "40 days")
-    ingest.run_available(counted, scratch_path(t.spark, "checkpoint"), ingest.append_to(out), "update")
-    return ingest.current_counts(ingest.read_batches(t.spark, out, counted.schema), ["window_start", *keys])
+    counted = counted.withColumn("day", F.to_date("window_start"))
+    sink = ingest.keyed_totals(out, "day", ["window_start", *keys], "events", counted.schema)
+    ingest.run_available(counted, scratch_path(t.spark, "checkpoint"), sink, "update")
+    return t.spark.read.schema(counted.schema).parquet(out).drop("day")
 
 
 @query("str_04_daily_counts", "SELECT date_trunc('day', ts) AS window_start, user_id, COUNT(*) AS events FROM events GROUP BY 1, 2", ["window_start"])

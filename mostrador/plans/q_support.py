@@ -121,6 +121,21 @@ def _(t):
     return joins.duplicate_pairs(t.crisp_conversations)
 
 
+def partner(side, earlier):
+    order = "DESC" if earlier else "ASC"
+    sign = "<" if earlier else ">"
+    return f"""SELECT a.session_id, b.session_id AS {side}_session, b.channel_origin AS {side}_channel, b.created_at AS {side}_at FROM ident a JOIN ident b ON {NEAR}
+ AND (b.created_at {sign} a.created_at OR (b.created_at = a.created_at AND b.session_id {sign} a.session_id))
+ QUALIFY row_number() OVER (PARTITION BY a.session_id ORDER BY b.created_at {order}, b.session_id {order}) = 1"""
+
+
+@query("jn_04_nearest_partners", f"""WITH {IDENT}, e AS ({partner('before', True)}), l AS ({partner('after', False)})
+SELECT identity_key, session_id, channel_origin, created_at, before_session, before_channel, before_at, after_session, after_channel, after_at
+FROM ident LEFT JOIN e USING (session_id) LEFT JOIN l USING (session_id) WHERE identity_key IS NOT NULL""", ["created_at", "before_at", "after_at"])
+def _(t):
+    return joins.nearest_partners(t.crisp_conversations)
+
+
 @query("jn_21_message_conversations", """
 SELECT m.message_id, m.session_id, m.sender_type, c.created_at AS ticket_created_at, c.status FROM crisp_messages m
 JOIN crisp_conversations c ON m.session_id = c.session_id""", ["ticket_created_at"])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..operators import joins, team
-from ..sources.tables import union_sources
+from ..session import scratch_path
+from ..sources.tables import read_page, union_sources, write_pages
 from .registry import E0, E1, query, total
 
 IN = f"occurred_at >= TIMESTAMP '{E0}' AND occurred_at <= TIMESTAMP '{E1}' AND staff_id IS NOT NULL"
@@ -65,6 +66,13 @@ def _(t):
     return team.activity_page(t.shopify_audit_log, t.shopify_staff, E0, E1, page=3)
 
 
+@query("tea_04_activity_page_indexed", f"{PAGE} LIMIT 50 OFFSET 450", ["occurred_at"])
+def _(t):
+    path = scratch_path(t.spark, "activity")
+    team.index_activity(t.shopify_audit_log, path, E0, E1)
+    return team.indexed_page(t.shopify_audit_log, t.shopify_staff, path, page=10)
+
+
 @query("tea_04_activity_page_after", f"""SELECT * FROM ({PAGE}) p WHERE occurred_at < TIMESTAMP '2024-01-20 10:00:00' ORDER BY occurred_at DESC, audit_id LIMIT 50""", ["occurred_at"])
 def _(t):
     return team.activity_page(t.shopify_audit_log, t.shopify_staff, E0, E1, after=("2024-01-20 10:00:00", "zzz"))
@@ -197,6 +205,14 @@ def _(t):
     return t.shopify_orders.select("id", "total_price").orderBy(F.desc("total_price"), "id").offset(60).limit(30)
 
 
+@query("srt_04_page_indexed", "SELECT id, total_price FROM shopify_orders ORDER BY total_price DESC, id LIMIT 30 OFFSET 960")
+def _(t):
+    path, order = scratch_path(t.spark, "pages"), [F.desc("total_price"), F.asc("id")]
+    rows = t.shopify_orders.select("id", "total_price")
+    write_pages(rows, path, order)
+    return read_page(t.spark, path, rows.schema, order, page=33, limit=30)
+
+
 @query("set_01_both_sides", """
 SELECT CAST(o_orderkey AS VARCHAR) AS k, 'created' AS side, o_orderdate AS at_time FROM orders UNION ALL
 SELECT CAST(o_orderkey AS VARCHAR), 'paid', o_orderdate + INTERVAL 1 DAY FROM orders""", ["at_time"])

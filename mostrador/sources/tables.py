@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from . import schemas
 
@@ -115,8 +115,14 @@ def by_partition(df: DataFrame, part: str) -> DataFrame:
 
 
 def write_layout(df: DataFrame, path: str, part: str, cluster: Sequence[str]) -> None:
-    """Date folders, rows sorted by the cluster columns so row groups can be skipped."""
-    ordered = by_partition(df, part).sortWithinPartitions(part, *cluster)
+    """Date folders whose files hold ranges of the cluster columns, so that a lookup opens few of them.
+
+    Rows are ranged by date and cluster columns: small dates share a task, a large one is split into ranges that do not
+    overlap. The last range column spreads rows that agree in all cluster columns; rows equal throughout stay together.
+    """
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    ranged = df.withColumn("_spread", F.xxhash64(*hashable)).repartitionByRange(part, *cluster, "_spread")
+    ordered = ranged.drop("_spread").sortWithinPartitions(part, *cluster)
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(part).parquet(path)
 
 
@@ -126,6 +132,60 @@ def retain(df: DataFrame, date_col: str, days: int, as_of: date) -> DataFrame:
     return df.where(F.col(date_col) >= F.lit(first.isoformat()).cast(df.schema[date_col].dataType))
 
 
+def drop_expired(spark: SparkSession, path: str, part: str, days: int, as_of: date) -> list[str]:
+    """Delete the folders of date partition ``part`` that are older than ``days``; their values, oldest first.
+
+    Only folder names are read. The null partition, folders whose value is no date and other files stay; a second run finds
+    nothing to do, so a run cut off half-way is simply repeated. A path that does not exist holds nothing to drop.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first, old = as_of - timedelta(days=days), {}
+    for status in files.listStatus(root) if files.exists(root) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        if name != part or not status.isDirectory():
+            continue
+        try:
+            day = date.fromisoformat(value)
+        except ValueError:
+            continue
+        if day < first:
+            old[value] = status.getPath()
+    for value in sorted(old):
+        files.delete(old[value], True)
+    return sorted(old)
+
+
+def write_pages(df: DataFrame, path: str, order: Sequence[Column]) -> None:
+    """Store ``df`` for reading by page: rows ranged by ``order`` in folders ``rows/_range=n``, and per range its rows and the
+    rows before it (``ranges``). ``order`` ends in unique columns; equal rows share a range."""
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_range").parquet(f"{path}/rows")
+    # One row a range, as many as the write had tasks.
+    stored = df.sparkSession.read.schema(ranged.schema).parquet(f"{path}/rows")
+    counts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts.withColumn("before", F.coalesce(before, F.lit(0))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(f"{path}/ranges")
+
+
+def read_page(spark: SparkSession, path: str, schema: StructType, order: Sequence[Column], page: int, limit: int) -> DataFrame:
+    """Page ``page`` (from 1) of ``limit`` rows of what ``write_pages`` stored in that ``order``.
+
+    Only the ranges the page touches are read and sorted, so page 1,000,000 costs what the first one does. A page behind the
+    last row is empty.
+    """
+    skip = (max(1, page) - 1) * limit
+    ranges = spark.read.schema("_range int, n bigint, before bigint").parquet(f"{path}/ranges")
+    # A range holds at least one row, so these are at most ``limit`` ranges.
+    touched = ranges.where((F.col("before") < skip + limit) & (F.col("before") + F.col("n") > skip)).collect()
+    stored = spark.read.schema(StructType([*schema.fields, StructField("_range", IntegerType())])).parquet(f"{path}/rows")
+    rows = stored.where(F.col("_range").isin([r["_range"] for r in touched])).drop("_range")
+    start = min((r["before"] for r in touched), default=skip)
+    return rows.orderBy(*order).offset(skip - start).limit(limit)
+
+
 def evolve(df: DataFrame, schema: StructType) -> DataFrame:
     """The declared columns, missing ones null; columns not declared stay at the end."""
     have = set(df.columns)

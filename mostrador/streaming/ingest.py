@@ -127,6 +127,25 @@ def current_counts(batches: DataFrame, keys: Sequence[str], value: str = "events
     return batches.groupBy(*keys).agg(F.max(value).alias(value))
 
 
+def keyed_totals(path: str, part: str, keys: Sequence[str], value: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+    """Sink for totals that only grow: one row a key, partitioned by ``part`` (which a key determines), however many batches
+    come. Only the partitions a batch names are read and replaced; the greater total stays, so a repeated or an older batch
+    changes nothing. Null keys are keys like others; a null total gives way to any other.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
+        rows = batch.select(*schema.fieldNames()).persist()
+        target = only_partitions(spark.read.schema(schema).parquet(path), rows, part)
+        merged = target.select(*rows.columns).unionByName(rows).groupBy(part, *keys).agg(F.max(value).alias(value))
+        (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(part).parquet(path))
+        rows.unpersist()
+
+    return write
+
+
 def rewrite_window(stream: DataFrame, path: str, part: str, landing: str, checkpoint: str) -> None:
     """Replace the date partitions that the available files name (late-window rewrite), each
     once and with everything landed for it, in however many batches it came.

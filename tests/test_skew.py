@@ -193,3 +193,33 @@ def test_assignments_in_chunks(spark):
     for chunk in (3, 1000):
         out = upsert.scd2_apply(base, spark.createDataFrame(changes, ddl), chunk).collect()
         assert {r.assignment_id: r.valid_to for r in out} == want
+
+
+def test_nearest_partners_against_brute_force(spark):
+    """Busy visitors, equal times, repeated rows, null channels and identities; window edges of 72 whole hours."""
+    import random
+    from datetime import datetime, timedelta
+
+    from mostrador.operators import joins
+
+    rng, start, data = random.Random(5), datetime(2024, 1, 1), []
+    for i in range(600):
+        person = rng.choice(["p1", "p1", "p1", "p2", "p3", None])
+        at = start + timedelta(minutes=rng.choice([rng.randrange(0, 60 * 24 * 40), rng.randrange(0, 3) * 73 * 60, 72 * 60]))
+        data.append((f"s{rng.randrange(10_000):05d}-{i}", person, rng.choice(["chat", "chat", "email", "whatsapp", None]), at))
+    data += data[:5]
+    df = spark.createDataFrame(
+        [(*r, None, None) for r in data], "session_id string, people_id string, channel_origin string, created_at timestamp, visitor_email string, visitor_phone string")
+
+    known = [r for r in data if r[1] and r[2]]
+
+    def nearest(r, sign):
+        others = [o for o in known if o[1] == r[1] and o[2] != r[2] and int(abs((o[3] - r[3]).total_seconds()) // 3600) <= 72]
+        side = [(o[3], o[0]) for o in others if sign * ((o[3], o[0]) > (r[3], r[0])) + (1 - sign) * ((o[3], o[0]) < (r[3], r[0]))]
+        return (min(side) if sign else max(side))[1] if side else None
+
+    want = sorted((r[0], nearest(r, 0), nearest(r, 1)) for r in known)
+    got = joins.nearest_partners(df).select("session_id", "before_session", "after_session").collect()
+    key = lambda t: tuple(x or "" for x in t)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert joins.nearest_partners(df.limit(0)).count() == 0

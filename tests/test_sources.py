@@ -1,6 +1,7 @@
 import os
 from datetime import date
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from mostrador.session import cut_lineage, scratch_path
@@ -86,3 +87,90 @@ def test_stream_resumes_from_its_checkpoint(spark):
 def test_cut_lineage(spark):
     df = spark.range(5).withColumn("r", F.col("id") * 2)
     assert sorted(r.r for r in cut_lineage(spark, df, "cut").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_layout_files_of_a_large_day_do_not_overlap(spark):
+    """A point lookup needs one file of a day: the footers say so."""
+    rows = spark.range(500_000).select(F.lit("2024-01-01").cast("date").alias("day"), (F.col("id") * 7919 % 500_009).alias("k"))
+    path, size = scratch_path(spark, "clustered"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1MB")
+    tables.write_layout(rows.repartition(8), path, "day", ["k"])
+    spark.conf.unset(size)
+    folder = f"{path}/day=2024-01-01"
+    spans = []
+    for name in os.listdir(folder):
+        if name.endswith(".parquet"):
+            stats = [pq.ParquetFile(f"{folder}/{name}").metadata.row_group(g).column(0).statistics
+                     for g in range(pq.ParquetFile(f"{folder}/{name}").metadata.num_row_groups)]
+            spans.append((min(s.min for s in stats), max(s.max for s in stats)))
+    spans.sort()
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert spark.read.parquet(path).count() == 500_000
+
+
+def test_layout_splits_one_cluster_value(spark):
+    rows = spark.range(50_000).select(F.lit("2024-01-01").cast("date").alias("day"), F.lit("hot").alias("k"), "id")
+    path = scratch_path(spark, "hot")
+    tables.write_layout(rows.repartition(8), path, "day", ["k"])
+    assert spark.read.parquet(path).select("id").distinct().count() == 50_000
+    assert set(spark.read.parquet(path).columns) == {"day", "k", "id"}
+
+
+def test_expired_folders_go_and_the_rest_stays(spark):
+    path = scratch_path(spark, "expired")
+    days = [date(2024, 1, 1), date(2024, 2, 1), date(2024, 3, 1), None]
+    spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, day date").write.partitionBy("day").parquet(path)
+    os.makedirs(f"{path}/day=never")
+    os.makedirs(f"{path}/other=2020-01-01")
+    before = {n: sorted(os.listdir(f"{path}/{n}")) for n in os.listdir(path) if n.startswith("day=2024-03")}
+    assert tables.drop_expired(spark, path, "day", 30, date(2024, 3, 2)) == ["2024-01-01"]
+    assert tables.drop_expired(spark, path, "day", 30, date(2024, 3, 2)) == []
+    folders = {n for n in os.listdir(path) if "=" in n}
+    assert folders == {"day=2024-02-01", "day=2024-03-01", "day=__HIVE_DEFAULT_PARTITION__", "day=never", "other=2020-01-01"}
+    assert {n: sorted(os.listdir(f"{path}/{n}")) for n in before} == before
+    assert tables.drop_expired(spark, path + "-none", "day", 30, date(2024, 3, 2)) == []
+
+
+def test_pages_read_their_own_range(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 11 else None) for i in range(1000)], "id int, v int").repartition(8)
+    path, order = scratch_path(spark, "pages"), [F.desc("v"), F.asc("id")]
+    # So small a table would become one range.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.write_pages(rows, path, order)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    ranges = spark.read.parquet(f"{path}/ranges").collect()
+    assert len(ranges) > 1 and sum(r.n for r in ranges) == 1000
+    for limit in (1, 33, 400, 2000):
+        for page in (0, 1, 2, 9, 30, 31, 1000):
+            got = [tuple(r) for r in tables.read_page(spark, path, rows.schema, order, page, limit).collect()]
+            first = (max(1, page) - 1) * limit
+            assert got == want[first:first + limit]
+    one = tables.read_page(spark, path, rows.schema, order, 1000, 1)
+    assert len(one.inputFiles()) < len(spark.read.parquet(f"{path}/rows").inputFiles())
+
+
+def test_pages_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "id int")
+    path = scratch_path(spark, "no-pages")
+    tables.write_pages(rows, path, [F.asc("id")])
+    assert tables.read_page(spark, path, rows.schema, [F.asc("id")], 1, 10).collect() == []
+
+
+def test_totals_stay_one_row_a_key(spark):
+    schema, path = schemas.struct("w timestamp, k string, n long, day date"), scratch_path(spark, "totals")
+    sink = ingest.keyed_totals(path, "day", ["w", "k"], "n", schema)
+
+    def land(batch, *rows):
+        data = spark.createDataFrame(rows, "w string, k string, n long").withColumn("w", F.col("w").cast("timestamp"))
+        sink(data.withColumn("day", F.to_date("w")), batch)
+        kept = spark.read.schema(schema).parquet(path)
+        return sorted(((str(r.w)[:10], r.k, r.n) for r in kept.collect()), key=str)
+
+    first = [("2024-01-01", "a", 1), ("2024-01-01", None, 2), ("2024-01-02", "a", 5)]
+    assert land(0, *first) == sorted(first, key=str)
+    second = [("2024-01-01", "a", 4), ("2024-01-01", "b", 1)]
+    now = sorted([("2024-01-01", "a", 4), ("2024-01-01", "b", 1), *first[1:]], key=str)
+    assert land(1, *second) == now
+    assert land(1, *second) == now
+    assert land(0, *first) == now
