@@ -41,7 +41,7 @@ RARE = 64
 # Documents and shingles of a part of a group, and of those that meet it in one task.
 PART, PART_SHINGLES = 2048, 1 << 22
 # Shingles that are compared in one task, and that a task holds before it deals them out.
-RANGE, HELD = 1 << 18, 1 << 21
+RANGE, HELD = 1 << 18, 1 << 20
 
 def least_overlap(m, n, percent):
     """The smallest intersection of sets of m and n that links them."""
@@ -209,7 +209,8 @@ def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: i
                     yield None, None, doc_id, g, None
                     continue
                 yield from ((None, token, doc_id, g, None) for token in signed(t[rare:size]).tolist())
-                t = t[: min(rare, size)]
+                # A copy, since a slice would keep all kept shingles in memory.
+                t = t[: min(rare, size)].copy()
                 held.append((doc_id, g, t))
                 have += len(t)
                 if have > HELD:
