@@ -58,16 +58,19 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
     text from the position up to the longest needle, never the whole text, and a needle
     shared by many rows costs one row per match: no pairs of rows and needles are formed.
     Empty needles are left to the caller.
+
+    The anchors are stored first: their size is then known, and while they are few they go to
+    the positions, which are many more, and not the positions to them.
     """
     words = (
         needles.select(F.col(needle).alias("needle")).where(F.length("needle") > 0).distinct()
         .withColumn("_len", F.length("needle"))
         .withColumn("_anchor", F.substring("needle", 1, anchor))
     )
-    anchors = words.groupBy("_anchor").agg(F.collect_set("_len").alias("_lens"))
+    anchors = cut_lineage(needles.sparkSession, words.groupBy("_anchor").agg(F.collect_set("_len").alias("_lens")), "anchors")
     # One row of facts about the needles: the longest, and the anchor sizes in use.
-    facts = words.agg(F.struct(
-        F.max("_len").alias("longest"), F.sort_array(F.collect_set(F.length("_anchor"))).alias("sizes"))).scalar()
+    facts = anchors.agg(F.struct(
+        F.max(F.array_max("_lens")).alias("longest"), F.sort_array(F.collect_set(F.length("_anchor"))).alias("sizes"))).scalar()
     # Long texts are cut into pieces that overlap by the longest needle, and each piece into
     # the windows that start at its characters: every character is visited once per window,
     # however long the text is.
@@ -94,3 +97,19 @@ def contains_matches(hay: DataFrame, ids: Sequence[str], text: str, needles: Dat
     # Spread by row id before the distinct, so that a needle many rows contain is not one task.
     kept = hits.join(words.select("needle"), "needle", "left_semi").select(*ids, "needle")
     return kept.repartition(*ids, "needle").distinct()
+
+
+def word_matches(hay: DataFrame, ids: Sequence[str], text: str, names: DataFrame, name: str) -> DataFrame:
+    """Every (row id, name) where the name stands in the row's text as whole words, by an equi-join.
+
+    Texts and names are words joined by one space each. A text offers its runs of as many words
+    as some name has, one row a run; a name that many rows hold costs one row per match.
+    """
+    known = names.select(F.col(name).alias(name)).where(F.col(name) != "").distinct()
+    sizes = known.agg(F.collect_set(F.size(F.split(name, " ")))).scalar()
+    run = F.concat(F.lit("(?<![^ ])(?=([^ ]+(?: [^ ]+){"), (F.col("_size") - 1).cast("string"), F.lit("})(?![^ ])).[^ ]*"))
+    runs = (
+        hay.select(*ids, F.col(text).alias("_text"), F.explode(sizes).alias("_size"))
+        .select(*ids, F.explode(F.regexp_extract_all("_text", run, F.lit(1))).alias(name))
+    )
+    return runs.join(known, name, "left_semi").select(*ids, name).repartition(*ids, name).distinct()

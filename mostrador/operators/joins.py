@@ -15,6 +15,7 @@ from ..functions import skew
 from ..functions import text as tx
 from ..functions.dates import day, in_dates, in_range
 from ..functions.exprs import SOLD_NET, micros, money_sum, not_empty, sold, sum_where, wavg, weighted_sum, whole_hours_apart
+from ..session import cut_lineage
 
 
 def sold_lines(orders: DataFrame, lines: DataFrame, d0, d1, statuses: Sequence[str] = SOLD_NET) -> DataFrame:
@@ -362,24 +363,21 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     as whole words; a first name of four or more letters as a word of the first link. Among
     all staff that any rule accepts, the first in list order is taken.
 
-    Names meet messages by substring equi-joins and stay long rows: rules are joined by their first name and then, within
-    the same text, by the second. No pairs of names of a message are formed.
+    Names meet texts by equi-joins and stay long rows: as runs of whole words, and inside links as substrings. A rule on two
+    names is joined by the one that fewer rules hold and then, within the same text, by the other, so that neither a name that
+    a large part of the staff shares nor a message of many names forms pairs.
     """
     gid = F.regexp_extract("id", r"staff_member_id=(\d+)", 1)
     fixed = F.coalesce(not_empty(tx.clean_gid(F.col("author")["id"])), not_empty(gid))
     links = F.transform(
         F.regexp_extract_all("message", F.lit(r"<a[^>]*>(.*?)</a>"), F.lit(1)), lambda x: tx.normalize_text(x)
     )
-    open_events = events.where(fixed.isNull() & not_empty("message").isNotNull()).select(
+    open_events = cut_lineage(events.sparkSession, events.where(fixed.isNull() & not_empty("message").isNotNull()).select(
         F.col("id").alias("event"), tx.normalize_text("message").alias("text"), links.alias("links")
-    )
-    # The message is unit -1, its links are units 0, 1, ... Texts are padded with a space on
-    # both sides, so that a name padded the same way matches whole words only.
-    units = open_events.select(
-        "event", F.explode(F.concat(
-            F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("text"))),
-            F.transform("links", lambda x, i: F.struct(i.alias("unit"), x.alias("text"))))).alias("u"),
-    ).select("event", "u.unit", F.concat(F.lit(" "), "u.text", F.lit(" ")).alias("text"))
+    ), "open-events")
+    # The message is unit -1, its links are units 0, 1, ...
+    linked = open_events.select("event", F.posexplode("links").alias("unit", "text"))
+    messages = open_events.select("event", F.lit(-1).alias("unit"), "text")
 
     named = staff.where(not_empty("first_name").isNotNull() & not_empty("last_name").isNotNull()).select(
         F.col(position).alias("pos"),
@@ -387,41 +385,33 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
         tx.normalize_text("last_name").alias("ln"),
         tx.normalize_text(F.concat_ws(" ", "first_name", "last_name")).alias("full"),
     )
-
-    def rule(kind: str, a: Column, b: Column = F.lit("")) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
-
-    # What each rule looks up, and the first staff member it leads to.
-    keys = F.array(
-        rule("full", F.col("full")), rule("pair", F.col("fn"), F.col("ln")),
-        rule("first", F.when(F.length("fn") >= 4, F.col("fn"))))
-    rules = (
-        named.select("pos", F.explode(keys).alias("k")).select("pos", "k.*")
-        .where(F.col("a").isNotNull() & ~((F.col("kind") == "full") & (F.col("a") == "")))
-        .groupBy("kind", "a", "b").agg(F.min("pos").alias("pos"))
+    # What each rule looks up, and the first staff member it leads to. The full name covers staff of whom only one name has
+    # letters or digits; what stands in a link stands in the message too.
+    full_names = named.where("full != ''").groupBy(F.col("full").alias("name")).agg(F.min("pos").alias("pos"))
+    first_names = named.where("length(fn) >= 4").groupBy(F.col("fn").alias("name")).agg(F.min("pos").alias("pos"))
+    pairs = named.where("fn != '' AND ln != ''").groupBy("fn", "ln").agg(F.min("pos").alias("pos"))
+    by_first, by_last = (pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"_{c}s")) for c in ("fn", "ln"))
+    rarer = F.col("_fns") <= F.col("_lns")
+    pair_rules = pairs.join(by_first, "fn").join(by_last, "ln").select(
+        F.when(rarer, F.col("fn")).otherwise(F.col("ln")).alias("name"), F.when(rarer, F.col("ln")).otherwise(F.col("fn")).alias("other"), "pos")
+    names = named.select(F.explode(F.array("fn", "ln")).alias("name")).where("name != ''").distinct()
+
+    inside = skew.contains_matches(linked, ["event", "unit"], "text", names, "name").withColumnRenamed("needle", "name")
+    whole = skew.word_matches(messages.unionByName(linked.where("unit = 0")), ["event", "unit"], "text", names, "name")
+    full = (
+        skew.contains_matches(open_events, ["event"], "text", full_names, "name").withColumnRenamed("needle", "name")
+        .join(full_names, "name").select("event", "pos")
     )
-    padded = [F.concat(F.lit(" "), c, F.lit(" ")) for c in ("fn", "ln")]
-    needles = named.select(F.explode(F.array("full", "fn", "ln", *padded)).alias("name")).where("trim(name) != ''").distinct()
-    found = skew.contains_matches(units, ["event", "unit"], "text", needles, "name")
-    # Found names stay long rows. Inside a link a pair may stand anywhere, in the message as whole words.
-    padded_name = F.col("needle").startswith(" ")
-    inside = found.where(~padded_name).withColumnRenamed("needle", "name")
-    whole = found.where(padded_name).select("event", "unit", F.trim("needle").alias("name"))
-    words = inside.where("unit >= 0").unionByName(whole.where("unit < 0"))
-    of = lambda kind, which: rules.where((F.col("kind") == kind) & which).select("a", "b", F.col("pos").alias("pos"))
-    some, other = F.col("a") != "", F.col("b") != ""
-    full = inside.join(of("full", some), F.col("name") == F.col("a")).select("event", "pos")
-    first = whole.where("unit = 0").join(of("first", some), F.col("name") == F.col("a")).select("event", "pos")
-    # Rules by the first name, then back to the same text by the second.
-    begun = words.join(of("pair", some & other), F.col("name") == F.col("a")).select("event", "unit", F.col("b").alias("name"), "pos")
+    first = whole.where("unit = 0").join(first_names, "name").select("event", "pos")
+    # Inside a link a pair may stand anywhere, in the message as whole words.
+    words = inside.unionByName(whole.where("unit < 0"))
+    begun = words.join(pair_rules, "name").select("event", "unit", F.col("other").alias("name"), "pos")
     both = begun.join(words, ["event", "unit", "name"], "left_semi").select("event", "pos")
     # A name that normalises to '' is contained in every text that has a letter or digit.
-    alone = of("pair", some != other).select(F.concat("a", "b").alias("name"), "pos")
-    half = words.join(alone, "name").select("event", "pos")
-    nameless = rules.where((F.col("kind") == "pair") & ~some & ~other).agg(F.min("pos")).scalar()
-    any_text = units.where("trim(text) != '' or unit >= 0").select("event", nameless.alias("pos")).where(F.col("pos").isNotNull())
+    nameless = named.where("fn = '' AND ln = ''").agg(F.min("pos")).scalar()
+    any_text = open_events.where("text != '' OR size(links) > 0").select("event", nameless.alias("pos")).where(F.col("pos").isNotNull())
     best = (
-        full.unionByName(first).unionByName(both).unionByName(half).unionByName(any_text)
+        full.unionByName(first).unionByName(both).unionByName(any_text)
         .groupBy("event").agg(F.min("pos").alias("pos"))
         .join(staff.select(F.col(position).alias("pos"), F.col("staff_id").alias("_matched")), "pos")
         .select(F.col("event").alias("id"), "_matched")
