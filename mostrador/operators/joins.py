@@ -365,14 +365,15 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
 
     Names meet texts by equi-joins and stay long rows: as runs of whole words, and inside links as substrings. A rule on two
     names is joined by the one that fewer rules hold and then, within the same text, by the other, so that neither a name that
-    a large part of the staff shares nor a message of many names forms pairs.
+    a large part of the staff shares nor a message of many names forms pairs. Only what may be such a name is shuffled.
     """
+    spark = events.sparkSession
     gid = F.regexp_extract("id", r"staff_member_id=(\d+)", 1)
     fixed = F.coalesce(not_empty(tx.clean_gid(F.col("author")["id"])), not_empty(gid))
     links = F.transform(
         F.regexp_extract_all("message", F.lit(r"<a[^>]*>(.*?)</a>"), F.lit(1)), lambda x: tx.normalize_text(x)
     )
-    open_events = cut_lineage(events.sparkSession, events.where(fixed.isNull() & not_empty("message").isNotNull()).select(
+    open_events = cut_lineage(spark, events.where(fixed.isNull() & not_empty("message").isNotNull()).select(
         F.col("id").alias("event"), tx.normalize_text("message").alias("text"), links.alias("links")
     ), "open-events")
     # The message is unit -1, its links are units 0, 1, ...
@@ -380,41 +381,39 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     messages = open_events.select("event", F.lit(-1).alias("unit"), "text")
 
     named = staff.where(not_empty("first_name").isNotNull() & not_empty("last_name").isNotNull()).select(
-        F.col(position).alias("pos"),
+        F.struct(F.col(position).alias("pos"), "staff_id").alias("who"),
         tx.normalize_text("first_name").alias("fn"),
         tx.normalize_text("last_name").alias("ln"),
         tx.normalize_text(F.concat_ws(" ", "first_name", "last_name")).alias("full"),
     )
     # What each rule looks up, and the first staff member it leads to. The full name covers staff of whom only one name has
     # letters or digits; what stands in a link stands in the message too.
-    full_names = named.where("full != ''").groupBy(F.col("full").alias("name")).agg(F.min("pos").alias("pos"))
-    first_names = named.where("length(fn) >= 4").groupBy(F.col("fn").alias("name")).agg(F.min("pos").alias("pos"))
-    pairs = named.where("fn != '' AND ln != ''").groupBy("fn", "ln").agg(F.min("pos").alias("pos"))
+    first_who = F.min("who").alias("who")
+    full_names = cut_lineage(spark, named.where("full != ''").groupBy(F.col("full").alias("needle")).agg(first_who), "full-names")
+    first_names = cut_lineage(spark, named.where("length(fn) >= 4").groupBy(F.col("fn").alias("needle")).agg(first_who), "first-names")
+    pairs = named.where("fn != '' AND ln != ''").groupBy("fn", "ln").agg(first_who)
     by_first, by_last = (pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"_{c}s")) for c in ("fn", "ln"))
     rarer = F.col("_fns") <= F.col("_lns")
-    pair_rules = pairs.join(by_first, "fn").join(by_last, "ln").select(
-        F.when(rarer, F.col("fn")).otherwise(F.col("ln")).alias("name"), F.when(rarer, F.col("ln")).otherwise(F.col("fn")).alias("other"), "pos")
-    names = named.select(F.explode(F.array("fn", "ln")).alias("name")).where("name != ''").distinct()
-
-    inside = skew.contains_matches(linked, ["event", "unit"], "text", names, "name").withColumnRenamed("needle", "name")
-    whole = skew.word_matches(messages.unionByName(linked.where("unit = 0")), ["event", "unit"], "text", names, "name")
-    full = (
-        skew.contains_matches(open_events, ["event"], "text", full_names, "name").withColumnRenamed("needle", "name")
-        .join(full_names, "name").select("event", "pos")
-    )
-    first = whole.where("unit = 0").join(first_names, "name").select("event", "pos")
-    # Inside a link a pair may stand anywhere, in the message as whole words.
-    words = inside.unionByName(whole.where("unit < 0"))
-    begun = words.join(pair_rules, "name").select("event", "unit", F.col("other").alias("name"), "pos")
-    both = begun.join(words, ["event", "unit", "name"], "left_semi").select("event", "pos")
+    pair_rules = cut_lineage(spark, pairs.join(by_first, "fn").join(by_last, "ln").select(
+        F.when(rarer, F.col("fn")).otherwise(F.col("ln")).alias("needle"), F.when(rarer, F.col("ln")).otherwise(F.col("fn")).alias("other"), "who"),
+        "pair-rules")
+
+    full = skew.contained(open_events, ["event"], "text", full_names, "needle").join(full_names, "needle").select("event", "who")
+    first = skew.contained_words(linked.where("unit = 0"), ["event"], "text", first_names, "needle").join(first_names, "needle").select("event", "who")
+
+    def names_of(column: str) -> DataFrame:
+        # Inside a link a pair may stand anywhere, in the message as whole words.
+        found = (skew.contained(linked, ["event", "unit"], "text", pair_rules, column), skew.contained_words(messages, ["event", "unit"], "text", pair_rules, column))
+        return found[0].unionByName(found[1])
+
+    begun = names_of("needle").join(pair_rules, "needle").select("event", "unit", F.col("other").alias("needle"), "who")
+    both = begun.join(names_of("other"), ["event", "unit", "needle"], "left_semi").select("event", "who")
     # A name that normalises to '' is contained in every text that has a letter or digit.
-    nameless = named.where("fn = '' AND ln = ''").agg(F.min("pos")).scalar()
-    any_text = open_events.where("text != '' OR size(links) > 0").select("event", nameless.alias("pos")).where(F.col("pos").isNotNull())
+    nameless = named.where("fn = '' AND ln = ''").agg(F.min("who")).scalar()
+    any_text = open_events.where("text != '' OR size(links) > 0").select("event", nameless.alias("who")).where(F.col("who").isNotNull())
     best = (
         full.unionByName(first).unionByName(both).unionByName(any_text)
-        .groupBy("event").agg(F.min("pos").alias("pos"))
-        .join(staff.select(F.col(position).alias("pos"), F.col("staff_id").alias("_matched")), "pos")
-        .select(F.col("event").alias("id"), "_matched")
+        .groupBy(F.col("event").alias("id")).agg(F.min("who")["staff_id"].alias("_matched"))
     )
     return events.join(best, "id", "left").withColumn("staff_id", F.coalesce(fixed, "_matched")).drop("_matched")
 
