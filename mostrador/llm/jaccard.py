@@ -42,6 +42,9 @@ RARE = 64
 PART, PART_SHINGLES = 2048, 1 << 22
 # Shingles that are compared in one task, and that a task holds before it deals them out.
 RANGE, HELD = 1 << 18, 1 << 20
+# Bytes of sets or packed shingles that a task hands on at once; both sides of the hand-over hold them.
+BATCH = 1 << 22
+
 
 def least_overlap(m, n, percent):
     """The smallest intersection of sets of m and n that links them."""
@@ -86,7 +89,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 keys = [int(signed(mix(t ^ seed).min(keepdims=True))[0]) for seed in seeds] if len(t) else None
                 yield doc_id, len(t), int(a), int(b), keys, t[: COUNTED * prefix_size(len(t), percent)].tobytes()
 
-        yield from emit(rows(), schema, 2000)
+        yield from emit(rows(), schema, 2000, BATCH)
 
     return docs.mapInArrow(run, "doc_id long, m long, a long, b long, keys array<long>, lead binary")
 
@@ -114,10 +117,10 @@ def _by_range(n_ranges: int, held: list[tuple[int, int, np.ndarray]]) -> Iterato
         return
     held = sorted(held, key=lambda r: r[0])
     tokens = np.concatenate([t for _, _, t in held])
-    of = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
+    of = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for _, _, t in held])
     doc = np.array([d for d, _, _ in held], np.int64).view(np.uint64)
     off = doc - np.array([g for _, g, _ in held], np.int64).view(np.uint64)
-    at = (mix(tokens + np.uint64(1)) % np.uint64(n_ranges)).astype(np.int64)
+    at = (mix(tokens + np.uint64(1)) % np.uint64(n_ranges)).astype(np.int32)
     order = np.argsort(at, kind="stable")
     at, tokens, of = at[order], tokens[order], of[order]
     for first, last in _edges(at):
@@ -160,7 +163,7 @@ def _common(leads: DataFrame, total: int):
                     held, have = held[:1], 0
             yield from out(held)
 
-        yield from emit(rows(), schema, 64)
+        yield from emit(rows(), schema, 64, BATCH)
 
     def merged(table: pa.Table) -> pa.Table:
         halves = [(p[: len(p) // 2], p[len(p) // 2:]) for p in table.column("packed").to_pylist()]
@@ -218,7 +221,7 @@ def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: i
                     held, have = [], 0
             yield from out()
 
-        yield from emit(rows(), schema, 256)
+        yield from emit(rows(), schema, 4096, BATCH)
 
     def shared(table: pa.Table) -> pa.Table:
         token, doc, g = _unpacked(table)
@@ -280,7 +283,7 @@ def _linked(docs: DataFrame, asks: DataFrame, members: DataFrame, width: int, pe
     set_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emit(((i, shingles(t, width).tobytes()) for i, t in columns(batches)), set_schema, 1000)
+        yield from emit(((i, shingles(t, width).tobytes()) for i, t in columns(batches)), set_schema, 1000, BATCH)
 
     sets = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "doc_id long, tokens binary")
     # Sets are wide and rows are not, so rows go to the sets where they are few enough.

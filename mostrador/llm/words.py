@@ -97,16 +97,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def emit(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Record batches from rows of plain values."""
+def emit(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Record batches from rows of plain values; with ``most`` a batch ends with the row that brings its binary values to so many bytes."""
     kept: list[tuple] = []
+    have = 0
     for row in rows:
         kept.append(row)
-        if len(kept) >= size:
+        if most:
+            have += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(kept) >= size or most and have >= most:
             yield _batch(kept, schema)
-            kept = []
+            kept, have = [], 0
     if kept:
         yield _batch(kept, schema)
+    # Workers live on between tasks and would keep what Arrow has freed.
+    kept = []
+    pa.default_memory_pool().release_unused()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

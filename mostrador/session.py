@@ -63,5 +63,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(spark: SparkSession, df, name: str):
     """Write ``df`` to the shared folder and read it back: survives lost executors."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # Rows may be wide; without this a page is closed after 100 rows at the earliest and read back whole.
+    df.write.option("parquet.page.size.row.check.min", "4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -249,6 +249,18 @@ def test_jaccard_equals_brute_force(spark, docs, rare, monkeypatch):
     assert got == brute_jaccard(docs)
 
 
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from mostrador.llm.words import emit
+
+    schema = pa.schema([("i", pa.int64()), ("packed", pa.binary())])
+    sizes = [10, 0, 900, 400, 5000, 1, 2, 300]
+    batches = list(emit(((i, b"x" * n if n else None) for i, n in enumerate(sizes)), schema, 100, 1000))
+    assert [b.num_rows for b in batches] == [4, 1, 3] and [i for b in batches for i in b.column(0).to_pylist()] == list(range(8))
+    assert [b.num_rows for b in emit(((i, b"") for i in range(8)), schema, 3, 1000)] == [3, 3, 2]
+
+
 def test_jaccard_in_small_parts_and_ranges(spark, monkeypatch):
     for name, value in (("PART", 3), ("RANGE", 50), ("HELD", 200), ("RARE", 2)):
         monkeypatch.setattr(jaccard, name, value)
