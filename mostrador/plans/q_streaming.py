@@ -44,9 +44,9 @@ def _(t):
     payloads = landed.audit(t).select(F.col("payload").alias("value"))
     schema = StructType([*flatten_audit(parse(payloads, "value", "audit")).schema.fields, StructField("day", DateType())])
     sink = ingest.audit_sink(out, "day", lambda: t.shopify_staff, schema)
-    # Landed twice: the second reading overlaps with the whole first one.
+    # Landed twice: the second reading overlaps with the whole first one. Compressed files cannot be split, so they are many.
     for _ in range(2):
-        payloads.write.mode("append").text(path)
+        payloads.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
         lines = t.spark.readStream.schema("value string").format("text").load(path)
         ingest.run_available(parse(lines, "value", "audit"), checkpoint, sink)
     return t.spark.read.schema(schema).parquet(out).select("audit_id", "action", "occurred_at", "staff_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.joins import attribute_staff
-from ..operators.upsert import MergeSpec, insert_missing, merge_into_path, only_partitions, read_target
+from ..operators.upsert import MergeSpec, merge_into_path, only_partitions, read_target
 from ..sources.payloads import flatten_audit
 from ..sources.tables import by_partition
 
@@ -68,9 +68,13 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
         rows = keyed.unionByName(batch.where(~whole).distinct()).select(*schema.fieldNames()).persist()
         target = only_partitions(read_target(spark, path, part, schema), rows, part)
         held = target.where(~whole).select(*schema.fieldNames())
-        merged = insert_missing(target, rows.where(whole), keys).unionByName(rows.where(~whole).subtract(held))
-        (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part).parquet(path))
+        fresh = rows.where(whole).join(target.select(*keys), list(keys), "left_anti").unionByName(rows.where(~whole).subtract(held)).persist()
+        if not fresh.isEmpty():
+            # Partitions without a new row stay as they are.
+            merged = only_partitions(target, fresh, part).unionByName(fresh, allowMissingColumns=True)
+            (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(part).parquet(path))
+        fresh.unpersist()
         rows.unpersist()
 
     return write

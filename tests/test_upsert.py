@@ -101,6 +101,23 @@ def test_repeated_batch_with_null_keys_changes_nothing(spark):
         assert sorted(r.v for r in spark.read.schema(schema).parquet(path).collect()) == ["a", "x", "y"]
 
 
+def test_insert_only_leaves_held_partitions_alone(spark):
+    import os
+
+    path = scratch_path(spark, "held")
+    schema = spark.createDataFrame([], "id long, v string, day date").schema
+    write = ingest.insert_only(path, "day", ["id"], schema)
+    files = lambda: {d: sorted(f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")) for d in os.listdir(path) if "=" in d}
+    batch = "select * from values (1L, 'a', date'2024-01-01'), (null, 'x', date'2024-01-01'), (2L, 'b', date'2024-01-02')"
+    write(spark.sql(batch + " t(id, v, day)"), 0)
+    first = files()
+    write(spark.sql(batch + " t(id, v, day)"), 1)
+    assert files() == first and len(first) == 2
+    write(spark.sql(batch + ", (3L, 'c', date'2024-01-02') t(id, v, day)"), 2)
+    assert [d for d in first if files()[d] != first[d]] == ["day=2024-01-02"]
+    assert sorted(r.v for r in spark.read.schema(schema).parquet(path).collect()) == ["a", "b", "c", "x"]
+
+
 def test_weighted_mean_does_not_depend_on_order(spark):
     df = spark.range(5000).selectExpr("1 + pmod(hash(id), 10007) / 331.0D as position", "pmod(hash(id, 1), 9973) as impressions")
     assert len({df.repartition(n).agg(wavg("position", "impressions")).first()[0] for n in (1, 3, 7, 16)}) == 1
