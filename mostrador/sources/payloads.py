@@ -11,9 +11,13 @@ from . import schemas
 
 
 def parse(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """JSON text column to the payload's declared columns."""
+    """JSON text column to the payload's declared columns.
+
+    The payload is a list of one to ``inline``, past which no condition on its fields moves: a text is read once, where
+    conditions (those that exploding a list implies, too) would each read it again.
+    """
     parsed = F.from_json(F.col(column), schemas.struct(schemas.PAYLOAD[kind]))
-    return df.select(parsed.alias("p")).select("p.*")
+    return df.select(F.inline(F.array(parsed)))
 
 
 def iso_time(c) -> Column:
