@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import handed_back
+
 KINDS = ("assign", "access", "hex", "dense")
 # The known forms.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -138,24 +140,30 @@ def redact(text: str | None, spans: list[tuple[str, int, int, int]], mark: str =
 
 def spans_of(ranks_path: str, most: float = 2.0):
     """A column function: the secrets of a text, in code points, ends exclusive."""
-    @F.arrow_udf(SPANS)
-    def spans(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = token_counter(ranks_path)
         names = ("kind", "start", "end", "value_start")
         for part in parts:
             yield pa.array([[dict(zip(names, s)) for s in text_spans(text.as_py(), count, most)] for text in part], ARROW)
 
+    @F.arrow_udf(SPANS)
+    def spans(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from handed_back(found(parts))
+
     return spans
 
 
 def redactor(ranks_path: str, most: float = 2.0):
     """A column function: a text without its secrets."""
-    @F.arrow_udf("string")
-    def redacted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = token_counter(ranks_path)
         for part in parts:
             yield pa.array([redact(text, text_spans(text, count, most)) for text in (t.as_py() for t in part)], pa.string())
 
+    @F.arrow_udf("string")
+    def redacted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from handed_back(texts(parts))
+
     return redacted
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .sides import small
 from .counting import LETTERS, gathered, letter_pieces, summed, to_code
-from .words import columns, emit, emit_arrays, shingles, signed
+from .words import columns, emit, emit_arrays, handed_back, shingles, signed
 
 # Least share of toxic documents among those with a word of the lexicon.
 LEAST_SHARE = 0.5
@@ -286,9 +286,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str
     texts = texts.join(small(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(Grams(*characters.value))
-        parts = ((((w, y > 0), 1) for w in text_words(text, speller)) for _, text, y in columns(batches))
-        yield from summed(parts, pa.schema([("word", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())]))
+        def parts():
+            speller = Speller(Grams(*characters.value))
+            yield from ((((w, y > 0), 1) for w in text_words(text, speller)) for _, text, y in columns(batches))
+
+        yield from summed(parts(), pa.schema([("word", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())]))
 
     seen = (texts.mapInArrow(words, "word string, toxic boolean, n long").groupBy("word")
             .agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c")))
@@ -305,8 +307,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, characters, id_column: str
 
 def scorer(characters, lexicon, prior: float):
     """A column function: the score of a text, from 0 to 1."""
-    @F.arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         speller, odds = Speller(Grams(*characters.value)), lexicon.value
 
         def one(text: str | None) -> float:
@@ -318,6 +319,10 @@ def scorer(characters, lexicon, prior: float):
         for part in parts:
             yield pa.array([one(text.as_py()) for text in part], pa.float64())
 
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from handed_back(scores(parts))
+
     return score
 
 

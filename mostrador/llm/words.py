@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +13,8 @@ import xxhash
 BLOCK = 1 << 22
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
 ODD = 0x9E3779B97F4A7C15
+# Of the C library; others than GNU's do without.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -97,6 +100,19 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def hand_back() -> None:
+    """Gives the system what a task has freed; workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
+def handed_back(parts: Iterator) -> Iterator:
+    """The results of a task, whose memory is handed back after the last."""
+    yield from parts
+    hand_back()
+
+
 def emit(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches from rows of plain values; with ``most`` a batch ends with the row that brings its binary values to so many bytes."""
     kept: list[tuple] = []
@@ -110,9 +126,8 @@ def emit(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most: int
             kept, have = [], 0
     if kept:
         yield _batch(kept, schema)
-    # Workers live on between tasks and would keep what Arrow has freed.
     kept = []
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -133,6 +148,8 @@ def emit_arrays(parts: Iterable[tuple[np.ndarray, ...]], schema: pa.Schema, size
             kept, have = [], 0
     if kept:
         yield _arrays(kept, schema)
+    kept = []
+    hand_back()
 
 
 def _arrays(parts: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> pa.RecordBatch:

@@ -305,3 +305,32 @@ def test_jaccard_real_table(spark):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, SF, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, SF).collect()}
     assert got == brute_jaccard(docs)
+
+
+def test_tasks_hand_back_what_they_held(spark, monkeypatch):
+    import weakref
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    from mostrador.llm import words
+
+    made, gone = [], []
+    monkeypatch.setattr(words, "TRIM", lambda _: gone.append([ref() is None for ref in made]))
+
+    class Encoder(packing.Encoder):
+        def __init__(self, *paths):
+            super().__init__(*paths)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(packing, "Encoder", Encoder)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    docs = SimpleNamespace(select=lambda *columns: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    run = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = list(run([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})]))
+    assert sum(b.num_rows for b in pieces) and gone == [[True]]
+
+    schema = pa.schema([("i", pa.int64())])
+    assert [b.num_rows for b in words.emit_arrays([(np.arange(3),)], schema)] == [3] and len(gone) == 2
+    assert list(words.handed_back(iter([1, 2]))) == [1, 2] and len(gone) == 3
