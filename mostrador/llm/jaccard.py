@@ -22,11 +22,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .sides import small
+from ..functions.skew import hashed_in
+from ..session import cut_lineage, store_parts
+from .sides import file_of, meeting, meeting_by_file, small
 from .words import columns, emit, mix, shingles, signed
 
 # The shingles that count as common are at most this many, so that they can be sent to every task.
@@ -185,14 +186,14 @@ def _common(leads: DataFrame, total: int):
     return leads.sparkSession.sparkContext.broadcast((held[order], ranks, n_ranges))
 
 
-def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: int, percent: int) -> DataFrame:
-    """(token, doc_id, g): the leading shingles that documents of at least two groups lead with. ``leads`` has doc_id, g, m
-    and lead.
+def _matrix_rows(spark: SparkSession, leads: Iterable[DataFrame], docs: DataFrame, common, total: int, width: int, percent: int) -> DataFrame:
+    """(token, doc_id, g): the leading shingles that documents of at least two groups lead with. ``leads``, in parts, have
+    doc_id, g, m and lead.
 
     Shingles are compared by range. The common ones, of which a range might hold any number, are rows at once. Where too
     many of a document's kept shingles are common, its text is read again.
     """
-    spark, n_ranges = leads.sparkSession, max(1, total // RANGE)
+    n_ranges = max(1, total // RANGE)
     schema = pa.schema([("range", pa.int32()), ("token", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int64()), ("packed", pa.binary())])
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +234,10 @@ def _matrix_rows(leads: DataFrame, docs: DataFrame, common, total: int, width: i
         return pa.table({"token": pa.array(signed(token[many])), "doc_id": pa.array(signed(doc[many])), "g": pa.array(signed(g[many]))})
 
     made = "range int, token long, doc_id long, g long, packed binary"
-    kept = cut_lineage(spark, leads.select("doc_id", "g", "m", "lead", F.lit(None).cast("binary").alias("text")).mapInArrow(dealt, made), "leading-shingles")
+    read = (part.select("doc_id", "g", "m", "lead", F.lit(None).cast("binary").alias("text")).mapInArrow(dealt, made) for part in leads)
+    kept = store_parts(spark, read, "leading-shingles")
     unread = cut_lineage(spark, kept.filter("range IS NULL AND token IS NULL").select("doc_id", "g").distinct(), "texts-to-read-again")
-    texts = docs.join(small(unread), "doc_id").select("doc_id", "g", F.lit(0).cast("long").alias("m"), F.lit(b"").alias("lead"), "text").filter("text IS NOT NULL")
+    texts = meeting(docs, unread, "doc_id").select("doc_id", "g", F.lit(0).cast("long").alias("m"), F.lit(b"").alias("lead"), "text").filter("text IS NOT NULL")
     kept = kept.filter("range IS NOT NULL OR token IS NOT NULL").unionByName(texts.mapInArrow(dealt, made))
     compared = kept.filter("range IS NOT NULL").select("range", "packed").groupBy("range").applyInArrow(shared, "token long, doc_id long, g long")
     return compared.unionByName(kept.filter("token IS NOT NULL").select("token", "doc_id", "g"))
@@ -279,24 +281,18 @@ def _linked(docs: DataFrame, asks: DataFrame, members: DataFrame, width: int, pe
     rows = asks.join(cells, "g").select("g", cell.alias("cell"), "doc_id", "root", F.lit(True).alias("asks")).unionByName(
         members.join(cells, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "doc_id", "root", F.lit(False).alias("asks")))
     rows = cut_lineage(spark, rows, "cell-rows")
-    needed = small(cut_lineage(spark, rows.select("doc_id").distinct(), "compared"))
-    set_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emit(((i, shingles(t, width).tobytes()) for i, t in columns(batches)), set_schema, 1000, BATCH)
-
-    sets = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(read, "doc_id long, tokens binary")
-    # Sets are wide and rows are not, so rows go to the sets where they are few enough.
-    met = sets.join(small(rows), "doc_id").select("g", "cell", "asks", "doc_id", "root", "tokens")
+    # Texts travel, which are narrower than their sets.
+    met = meeting(docs, rows, "doc_id").select("g", "cell", "asks", "doc_id", "root", "text")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
             for _, cell in groupby(columns(batches), key=lambda r: r[:2]):
                 sides: tuple[list, list] = ([], [])
-                for _, _, asking, doc_id, root, tokens in cell:
-                    if tokens:
-                        sides[asking].append((doc_id, root, np.frombuffer(tokens, np.uint64)))
+                for _, _, asking, doc_id, root, text in cell:
+                    t = shingles(text, width)
+                    if len(t):
+                        sides[asking].append((doc_id, root, t))
                 if sides[0] and sides[1]:
                     yield from cell_links(*sides, percent)
 
@@ -385,11 +381,15 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75, id_column
                                                        F.min("root").alias("g_root_0"), F.max("root").alias("g_root_1")), "groups")
 
     # The matrix: shingles that lead sets of at least two groups.
-    ours = classes.select("m", "a", "b", F.col("rep").alias("doc_id"))
-    leads = known.select("doc_id", "m", "a", "b", "lead").join(small(ours), ["doc_id", "m", "a", "b"], "left_semi")
-    leads = leads.join(small(member.select(F.col("rep").alias("doc_id"), "g")), "doc_id")
+    one = ["doc_id", "m", "a", "b"]
+    ours = classes.join(member.select("rep", "g"), "rep").select(F.col("rep").alias("doc_id"), "m", "a", "b", "g")
+    ours = known.select(*one, file_of().alias("file")).join(ours, one).groupBy(*one, "g").agg(F.min("file").alias("file"))
+    ours = cut_lineage(spark, ours, "sets-of-groups")
+    # To be counted, a few other sets do no harm.
+    counted = known.filter(hashed_in(ours.select(F.xxhash64(*one).alias("set")))(F.xxhash64(*one)))
+    leads = meeting_by_file(known, ours, one)
     total = int(classes.agg(F.coalesce(F.sum(F.col("m") - F.ceil(F.col("m") * percent / 100) + 1), F.lit(0))).first()[0])
-    rows = cut_lineage(spark, _matrix_rows(leads, docs, _common(leads, COUNTED * total), total, width, percent), "matrix-rows")
+    rows = cut_lineage(spark, _matrix_rows(spark, leads, docs, _common(counted, COUNTED * total), total, width, percent), "matrix-rows")
     # With each set's size without the leading shingles left out. A document with several versions spans sizes, and counts
     # as its largest.
     left_out = F.col("m_least") - F.ceil(F.col("m_least") * percent / 100) + 1 - F.col("n")

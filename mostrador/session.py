@@ -60,9 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(spark: SparkSession, df, name: str):
-    """Write ``df`` to the shared folder and read it back: survives lost executors."""
+def store_parts(spark: SparkSession, parts, name: str):
+    """Write the DataFrames ``parts`` (one at least, of one schema) to one table in the shared folder, one after the other,
+    and read it back."""
     path = scratch_path(spark, name)
-    # Rows may be wide; without this a page is closed after 100 rows at the earliest and read back whole.
-    df.write.option("parquet.page.size.row.check.min", "4").parquet(path)
+    for df in parts:
+        # Rows may be wide; without this a page is closed after 100 rows at the earliest and read back whole.
+        df.write.mode("append").option("parquet.page.size.row.check.min", "4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(spark: SparkSession, df, name: str):
+    """Write ``df`` to the shared folder and read it back: survives lost executors."""
+    return store_parts(spark, [df], name)

@@ -9,9 +9,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mostrador.llm import decontaminate, jaccard, packing, queries, substring
+from mostrador.llm import decontaminate, jaccard, packing, queries, sides, substring
+from mostrador.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -294,6 +296,47 @@ def test_cell_links_connect_what_links():
     assert found == reach and len(links) <= 29
 
 
+def test_jaccard_shuffles_no_sets(spark, monkeypatch):
+    """With more documents than may be sent, sets stay in the files they were written to, and only texts that meet others travel."""
+    monkeypatch.setattr(sides, "SENT", 20)
+    monkeypatch.setattr(sides.small, "__defaults__", (20,))
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    plans, cut, store = {}, jaccard.cut_lineage, getattr(jaccard, "store_parts", None)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().explainString(mode))
+        return df
+
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda spark, df, name: cut(spark, seen(df, name), name))
+    monkeypatch.setattr(jaccard, "store_parts", lambda spark, parts, name: store(spark, (seen(df, name) for df in parts), name), raising=False)
+    docs = corpus(11, 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, docs)).collect()}
+    assert got == brute_jaccard(docs)
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)", "\n".join(p for ps in plans.values() for p in ps))
+    assert shuffled and not [x for x in shuffled if re.search(r"\b(lead|tokens)#", x)]
+    assert len(plans["leading-shingles"]) > 3
+
+
+def test_wide_rows_meet_rows_by_file(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sides, "SENT", 10)
+    wide = [(i, i % 3, "x" * i) for i in range(60)] + [(7, 1, "again"), (None, 0, "none")]
+    spark.createDataFrame(wide, "a long, b long, w string").repartition(5).write.parquet(str(tmp_path / "wide"))
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    rows = stored.filter("a % 4 = 3 OR a < 30").select("a", "b", (F.col("a") * 10).alias("g"), sides.file_of().alias("file")).distinct()
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    parts = list(sides.meeting_by_file(stored, rows, ["a", "b"]))
+    got = sorted(tuple(r) for part in parts for r in part.select("a", "b", "w", "g").collect())
+    assert got == sorted((a, b, w, a * 10) for a, b, w in wide if a is not None and (a % 4 == 3 or a < 30)) and len(parts) > 3
+    assert [p.count() for p in sides.meeting_by_file(stored, rows.filter("false"), ["a", "b"])] == [0]
+    for limit in (3, 1000):
+        monkeypatch.setattr(sides, "SENT", limit)
+        few = rows.filter("a < 9").select("a", "g").distinct()
+        met = sides.meeting(stored, cut_lineage(spark, few, "few"), "a").select("a", "w", "g").collect()
+        assert sorted(tuple(r) for r in met) == sorted((a, w, a * 10) for a, _, w in wide if a is not None and a < 9)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(4, "a b c"), (3, "A  b\tC"), (None, "a b c"), (None, None), (5, None), (6, ""), (7, "q w"), (7, "a b c"), (8, "q w")]
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, rows)).collect() if r.doc_id)
