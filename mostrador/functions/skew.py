@@ -67,7 +67,10 @@ def hashed_in(values: DataFrame) -> Callable[[Column], Column]:
     # Every word is there, so that a word's number is its place.
     none = values.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
     words = rows.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])).scalar()
+    # Put together by runs of words, which tasks hold as numbers; a million words in one task would each be an object there.
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda w: w[value])
+    runs = words.groupBy(F.shiftright("word", 10).alias("run")).agg(in_order("word", "bits").alias("bits"))
+    table = runs.agg(F.flatten(in_order("run", "bits"))).scalar()
 
     def test(c: Column) -> Column:
         h = place(c)

@@ -6,7 +6,7 @@ statistics and adaptive execution choose, and split skewed partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from ..functions import skew
 from ..functions import text as tx
 from ..functions.dates import day, in_dates, in_range
 from ..functions.exprs import SOLD_NET, micros, money_sum, not_empty, sold, sum_where, wavg, weighted_sum, whole_hours_apart
-from ..session import cut_lineage
+from ..session import cut_lineage, store_parts
 
 
 def sold_lines(orders: DataFrame, lines: DataFrame, d0, d1, statuses: Sequence[str] = SOLD_NET) -> DataFrame:
@@ -401,18 +401,19 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
     full = skew.contained(open_events, ["event"], "text", full_names, "needle").join(full_names, "needle").select("event", "who")
     first = skew.contained_words(linked.where("unit = 0"), ["event"], "text", first_names, "needle").join(first_names, "needle").select("event", "who")
 
-    def names_of(column: str) -> DataFrame:
-        # Inside a link a pair may stand anywhere, in the message as whole words.
-        found = (skew.contained(linked, ["event", "unit"], "text", pair_rules, column), skew.contained_words(messages, ["event", "unit"], "text", pair_rules, column))
-        return found[0].unionByName(found[1])
+    def pairs_in(texts: DataFrame, names: Callable[..., DataFrame]) -> DataFrame:
+        begun = names(texts, ["event", "unit"], "text", pair_rules, "needle").join(pair_rules, "needle")
+        begun = begun.select("event", "unit", F.col("other").alias("needle"), "who")
+        return begun.join(names(texts, ["event", "unit"], "text", pair_rules, "other"), ["event", "unit", "needle"], "left_semi").select("event", "who")
 
-    begun = names_of("needle").join(pair_rules, "needle").select("event", "unit", F.col("other").alias("needle"), "who")
-    both = begun.join(names_of("other"), ["event", "unit", "needle"], "left_semi").select("event", "who")
+    # Inside a link a pair may stand anywhere, in the message as whole words. One rule at a time: tasks get what bits its names
+    # have, and those of all rules together fill the memory of driver and tasks.
+    ruled = store_parts(spark, [full, first, pairs_in(linked, skew.contained), pairs_in(messages, skew.contained_words)], "ruled")
     # A name that normalises to '' is contained in every text that has a letter or digit.
     nameless = named.where("fn = '' AND ln = ''").agg(F.min("who")).scalar()
     any_text = open_events.where("text != '' OR size(links) > 0").select("event", nameless.alias("who")).where(F.col("who").isNotNull())
     best = (
-        full.unionByName(first).unionByName(both).unionByName(any_text)
+        ruled.unionByName(any_text)
         .groupBy(F.col("event").alias("id")).agg(F.min("who")["staff_id"].alias("_matched"))
     )
     return events.join(best, "id", "left").withColumn("staff_id", F.coalesce(fixed, "_matched")).drop("_matched")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +74,15 @@ def store_parts(spark: SparkSession, parts, name: str):
 def cut_lineage(spark: SparkSession, df, name: str):
     """Write ``df`` to the shared folder and read it back: survives lost executors."""
     return store_parts(spark, [df], name)
+
+
+@contextmanager
+def held(spark: SparkSession, df, name: str):
+    """``df`` written to the shared folder for as long as the block lasts, where ``persist`` would fill the executors' memory."""
+    path = scratch_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.joins import attribute_staff
 from ..operators.upsert import MergeSpec, merge_into_path, only_partitions, read_target
+from ..session import held
 from ..sources.payloads import flatten_audit
 from ..sources.tables import by_partition
 
@@ -65,17 +66,17 @@ def insert_only(path: str, part: str, keys: Sequence[str], schema: StructType) -
         spark = batch.sparkSession
         spark.createDataFrame([], schema).write.mode("append").partitionBy(part).parquet(path)
         keyed = batch.where(whole).groupBy(*keys).agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*")
-        rows = keyed.unionByName(batch.where(~whole).distinct()).select(*schema.fieldNames()).persist()
-        target = only_partitions(read_target(spark, path, part, schema), rows, part)
-        held = target.where(~whole).select(*schema.fieldNames())
-        fresh = rows.where(whole).join(target.select(*keys), list(keys), "left_anti").unionByName(rows.where(~whole).subtract(held)).persist()
-        if not fresh.isEmpty():
-            # Partitions without a new row stay as they are.
-            merged = only_partitions(target, fresh, part).unionByName(fresh, allowMissingColumns=True)
-            (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(part).parquet(path))
-        fresh.unpersist()
-        rows.unpersist()
+        once = keyed.unionByName(batch.where(~whole).distinct()).select(*schema.fieldNames())
+        with held(spark, once, "batch-rows") as rows:
+            target = only_partitions(read_target(spark, path, part, schema), rows, part)
+            same = target.where(~whole).select(*schema.fieldNames())
+            new = rows.where(whole).join(target.select(*keys), list(keys), "left_anti").unionByName(rows.where(~whole).subtract(same))
+            with held(spark, new, "new-rows") as fresh:
+                if not fresh.isEmpty():
+                    # Partitions without a new row stay as they are.
+                    merged = only_partitions(target, fresh, part).unionByName(fresh, allowMissingColumns=True)
+                    (by_partition(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                     .partitionBy(part).parquet(path))
 
     return write
 

@@ -46,3 +46,33 @@ def test_long_messages_are_not_shuffled_by_position(spark):
     assert {r.id: r.staff_id for r in out.collect()} == {f"e{i}": "s7" if i % 2 == 0 else None for i in range(40)}
     hits = skew.contained(events.select("id", F.lower("message").alias("t")), ["id"], "t", staff.select(F.concat_ws(" ", F.lower("first_name"), F.lower("last_name")).alias("f")), "f")
     assert hits.count() < 200
+
+
+def test_tasks_hold_the_bits_of_few_names(spark, monkeypatch):
+    """Each rule is looked up in a job of its own, so that no plan carries the bits of all names at once."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    cut, store = joins.cut_lineage, getattr(joins, "store_parts", None)
+    monkeypatch.setattr(joins, "cut_lineage", lambda spark, df, name: cut(spark, seen(df), name))
+    monkeypatch.setattr(joins, "store_parts", lambda spark, parts, name: store(spark, [seen(df) for df in parts], name), raising=False)
+    staff = spark.createDataFrame([(f"s{i}", i, f"quentin{i}", f"zyl{i}") for i in range(9)], "staff_id string, list_pos int, first_name string, last_name string")
+    events = spark.createDataFrame([("a", "Quentin3 Zyl3 sent it"), ("b", "by <a>Zyl4 - Quentin4</a>"), ("c", "<a>quentin5</a> and zyl9"), ("d", "zyl1")], "id string, message string")
+    out = joins.attribute_staff(events.withColumn("author", F.lit(None).cast("struct<id:string>")), staff)
+    assert {r.id: r.staff_id for r in out.collect()} == {"a": "s3", "b": "s4", "c": "s5", "d": None}
+    seen(out)
+    # A start, a whole name and the name it is joined with, of both names of a pair.
+    held = [p.count("getbit(") for p in plans]
+    assert max(held) <= 6 < sum(held), held
+
+
+def test_bits_are_put_together_by_runs(spark):
+    values = spark.range(70_000).select(F.concat(F.lit("v"), "id").alias("v"))
+    may_be = skew.hashed_in(values)
+    plan = spark.range(1).where(may_be(F.lit("v1"))).select("id")
+    assert "flatten(" in plan._jdf.queryExecution().analyzed().toString()
+    got = spark.range(60_000, 200_000).select(F.concat(F.lit("v"), "id").alias("v")).where(may_be(F.col("v")))
+    assert got.where("cast(substr(v, 2) as int) < 70000").count() == 10_000 and got.count() < 30_000

@@ -118,6 +118,22 @@ def test_insert_only_leaves_held_partitions_alone(spark):
     assert sorted(r.v for r in spark.read.schema(schema).parquet(path).collect()) == ["a", "b", "c", "x"]
 
 
+def test_insert_only_keeps_no_batch_in_memory(spark, monkeypatch):
+    import os
+
+    path, df = scratch_path(spark, "unheld"), type(spark.range(0))
+    monkeypatch.setattr(df, "persist", lambda *a, **b: pytest.fail("a batch in the executors' memory"))
+    schema = spark.createDataFrame([], "id long, v string, day date").schema
+    write = ingest.insert_only(path, "day", ["id"], schema)
+    for n, last in enumerate(("a", "b")):
+        write(spark.sql(f"select * from values (1L, 'a', date'2024-01-01'), (1L, 'a', date'2024-01-01'), ({n + 2}L, '{last}', null) t(id, v, day)"), n)
+    assert sorted((r.id, r.v) for r in spark.read.schema(schema).parquet(path).collect()) == [(1, "a"), (2, "a"), (3, "b")]
+    # What it wrote meanwhile goes with the batch, also when that fails.
+    with pytest.raises(Exception):
+        write(spark.sql("select id, raise_error('x') v, day from values (4L, date'2024-01-01') t(id, day)"), 2)
+    assert not [f for f in os.listdir(os.path.dirname(path)) if f.startswith(("batch-rows", "new-rows"))]
+
+
 def test_weighted_mean_does_not_depend_on_order(spark):
     df = spark.range(5000).selectExpr("1 + pmod(hash(id), 10007) / 331.0D as position", "pmod(hash(id, 1), 9973) as impressions")
     assert len({df.repartition(n).agg(wavg("position", "impressions")).first()[0] for n in (1, 3, 7, 16)}) == 1
