@@ -406,14 +406,15 @@ def attribute_staff(events: DataFrame, staff: DataFrame, position: str = "list_p
         begun = begun.select("event", "unit", F.col("other").alias("needle"), "who")
         return begun.join(names(texts, ["event", "unit"], "text", pair_rules, "other"), ["event", "unit", "needle"], "left_semi").select("event", "who")
 
-    # Inside a link a pair may stand anywhere, in the message as whole words. One rule at a time: tasks get what bits its names
-    # have, and those of all rules together fill the memory of driver and tasks.
-    ruled = store_parts(spark, [full, first, pairs_in(linked, skew.contained), pairs_in(messages, skew.contained_words)], "ruled")
+    # Inside a link a pair may stand anywhere, in the message as whole words. One rule at a time, the last in the plan returned:
+    # tasks get what bits its names have, and those of all rules together fill the memory of driver and tasks.
+    ruled = store_parts(spark, [full, first, pairs_in(messages, skew.contained_words)], "ruled")
+    both = pairs_in(linked, skew.contained)
     # A name that normalises to '' is contained in every text that has a letter or digit.
     nameless = named.where("fn = '' AND ln = ''").agg(F.min("who")).scalar()
     any_text = open_events.where("text != '' OR size(links) > 0").select("event", nameless.alias("who")).where(F.col("who").isNotNull())
     best = (
-        ruled.unionByName(any_text)
+        ruled.unionByName(both).unionByName(any_text)
         .groupBy(F.col("event").alias("id")).agg(F.min("who")["staff_id"].alias("_matched"))
     )
     return events.join(best, "id", "left").withColumn("staff_id", F.coalesce(fixed, "_matched")).drop("_matched")
